@@ -54,7 +54,7 @@ def discard(df: DataFrame) -> None:
 
 def input_bytes(df: DataFrame) -> int:
     """Catalyst's size estimate of ``df`` in bytes, 0 where it has none; runs no job."""
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     return size if size < 1 << 60 else 0
 
 
