@@ -246,6 +246,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, max_span: int = MAX_SPA
     """
     found = scan(docs, benchmark)
     size = F.aggregate("hit_spans", F.lit(0), lambda s, x: s + x["b"] - x["a"])
+    names = docs.columns
     kept = found.filter(F.col("hit_spans").isNull() | (size <= max_coverage * F.col("n_words")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -262,7 +263,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, max_span: int = MAX_SPA
                         out.append(data[at : edge[x["a"]]])
                         at = int(edge[x["b"]])
                     texts[i] = b"".join([*out, data[at:]]).decode()
-            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == "text" else batch.column(c) for c in docs.columns], names=docs.columns)
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == "text" else batch.column(c) for c in names], names=names)
 
     return kept.mapInArrow(run, docs.schema)
 
