@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard, licences, linededup, packing, quality, sharding, suffixes
+from . import decontaminate, html_tree, jaccard, licences, linededup, packing, quality, sharding, suffixes, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -29,6 +29,11 @@ def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(_table(spark, sf_dir, "documents"), words=4, percent=85)
 
 
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html_tree.extract_main_text(_table(spark, sf_dir, "pages"))
+    return found.withColumn("n_chars", F.char_length("text").cast("long"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), window=2048)
 
@@ -52,17 +57,25 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.duplicate_lines(_table(spark, sf_dir, "documents")).drop("text_hash")
 
 
+def op10_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.resolve_revisits(warc.captures_of_pages(_table(spark, sf_dir, "pages")))
+    return found.withColumn("headers", warc.header_lines(F.col("headers")))
+
+
 QUERIES: dict[str, Query] = {
     "op1_sharding": op1_sharding,
     "op2_licences": op2_licences,
     "op3_ngram_jaccard": op3_ngram_jaccard,
+    "op4_html_extraction": op4_html_extraction,
     "op5_packing": op5_packing,
     "op6_quality": op6_quality,
     "op7_suffix_dedup": op7_suffix_dedup,
     "op8_decontamination": op8_decontamination,
     "op9_line_dedup": op9_line_dedup,
+    "op10_warc_revisits": op10_warc_revisits,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op2_licences": licences.oracle(),
+    "op10_warc_revisits": warc.ORACLE,
 }
