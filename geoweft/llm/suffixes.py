@@ -12,7 +12,7 @@ suffixes (with what stands to their left) finds every repeated window.
    by their leading bytes; each bucket is sorted by multikey quicksort, and neighbours' common prefixes
    with hashes of the left contexts give the repeated windows.
 3. A bucket's first and last group of suffixes may go on in the next bucket, and a hot group fills many
-   buckets: their windows are compared across boundaries by window hashes.
+   buckets: their distinct windows are compared across boundaries by hash, packed by hash range.
 4. Repeated windows go back to the documents as byte ranges.
 
 Edge cases: null texts are empty; documents shorter than ``length`` bytes lose nothing; repeated rows
@@ -27,11 +27,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytekit as bk
 from .decontaminate import merged
+from .jaccard import _grouped
 from .quality import _repeated
 from .store import materialize
 
@@ -126,14 +128,76 @@ def multikey_quicksort(words: np.ndarray) -> np.ndarray:
     return order
 
 
-def _bucket(length: int, gram: int):
-    """Repeated windows inside a bucket as byte ranges of contexts; window hashes of the edge groups."""
-    names = ["key", "context", "a", "b", "window"]
+_WINDOW = np.dtype([("hash", "<u8"), ("key", "<i8"), ("context", "<i8"), ("a", "<i4")])
 
-    def rows(key, context, a, b, window) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays(
-            [pa.array(key, pa.int64()), pa.array(context, pa.int64()), pa.array(a, pa.int32()), pa.array(b, pa.int32()), pa.array(window, pa.int64())], names=names
-        )
+
+def _sorted_windows(raw, bounds, spot, anchor, served, inner, length, gram, hasher, prefix, hits) -> None:
+    """Adds to ``hits`` the windows of the contexts ``inner`` that another of them holds.
+
+    The suffixes at the anchors are sorted; windows that begin s bytes before the anchor are equal where
+    neighbours share length - s bytes and the s bytes to the left have equal hashes.
+    """
+    width = -(-length // 8) * 8
+    right = np.zeros((len(inner), width), np.uint8)
+    for k, i in enumerate(inner.tolist()):
+        piece = raw[spot[i] : min(bounds[i + 1], spot[i] + width)]
+        right[k, : len(piece)] = piece
+    order = multikey_quicksort(right.view(">u8").astype(np.uint64))
+    right, inner = right[order], inner[order]
+    differ = right[1:] != right[:-1]
+    common = np.where(differ.any(axis=1), differ.argmax(axis=1), width)
+    for s in range(length - gram + 1):
+        group = np.concatenate([[0], np.cumsum(common < length - s)])
+        has = (anchor[inner] >= s) & (anchor[inner] - s < served[inner])
+        who = inner[has]
+        left = hasher.of(prefix, spot[who] - s, spot[who])
+        found = _repeated(bk.mix(left ^ bk.mix(group[has].astype(np.uint64))))
+        for i in who[found].tolist():
+            at = int(anchor[i]) - s
+            hits.setdefault(i, []).append((at, at + length))
+
+
+def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Windows of edge groups that several buckets hold, given back to their buckets."""
+    for _, sent in _grouped(batches, "dest"):
+        windows = [np.frombuffer(r["packed"], _WINDOW) for r in sent]
+        found = _repeated(np.concatenate(windows)["hash"])
+        buckets, packed, at = [], [], 0
+        for r, w in zip(sent, windows, strict=True):
+            hit = w[found[at : at + len(w)] & (w["a"] >= 0)]
+            at += len(w)
+            if len(hit):
+                buckets.append(r["bucket"])
+                packed.append(hit.tobytes())
+        if packed:
+            yield pa.RecordBatch.from_arrays([pa.array(buckets, pa.int64()), pa.array(packed, pa.binary())], names=["bucket", "packed"])
+
+
+def _ranges(length: int):
+    """Windows of a bucket as byte ranges of contexts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, got in _grouped(batches, "bucket"):
+            w = np.concatenate([np.frombuffer(r["packed"], _WINDOW) for r in got])
+            w = w[np.lexsort((w["a"], w["context"], w["key"]))]
+            new = np.ones(len(w), dtype=bool)
+            new[1:] = (w["key"][1:] != w["key"][:-1]) | (w["context"][1:] != w["context"][:-1]) | (w["a"][1:] > w["a"][:-1] + length)
+            first = np.flatnonzero(new)
+            last = np.append(first[1:], len(w)) - 1
+            columns = [pa.array(w["key"][first]), pa.array(w["context"][first]), pa.array(w["a"][first]), pa.array(w["a"][last] + np.int32(length))]
+            yield pa.RecordBatch.from_arrays(columns, names=["key", "context", "a", "b"])
+
+    return run
+
+
+def _bucket(length: int, gram: int, bits: int):
+    """Repeated windows inside a bucket as byte ranges of contexts; packed window hashes of the edge groups."""
+
+    def rows(key=(), context=(), a=(), b=(), dest=(), bucket=(), packed=()) -> pa.RecordBatch:
+        columns = {"key": key, "context": context, "a": a, "b": b, "dest": dest, "bucket": bucket, "packed": packed}
+        types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
+        n = max(map(len, columns.values()))
+        return pa.RecordBatch.from_arrays([pa.array(v if len(v) else [None] * n, t) for v, t in zip(columns.values(), types, strict=True)], names=list(columns))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = [x for x in batches if x.num_rows]
@@ -152,37 +216,27 @@ def _bucket(length: int, gram: int):
         prefix = hasher.prefix(raw)
         ends = np.lexsort((key, table.column("lead1").to_numpy(), table.column("lead0").to_numpy()))[[0, -1]]
         edge = np.isin(key, key[ends])
-        for i in np.flatnonzero(edge).tolist():
-            at = start[i] + np.arange(served[i])
-            window = bk.mix(hasher.of(prefix, at, at + length) ^ key[i].view(np.uint64))
-            n = len(at)
-            yield rows(np.full(n, key[i]), np.full(n, context[i]), np.arange(n), np.arange(n) + length, window.view(np.int64))
-        inner = np.flatnonzero(~edge)
-        if not len(inner):
-            return
-        width = -(-length // 8) * 8
-        right = np.zeros((len(inner), width), np.uint8)
-        for k, i in enumerate(inner.tolist()):
-            piece = raw[spot[i] : min(bounds[i + 1], spot[i] + width)]
-            right[k, : len(piece)] = piece
-        order = multikey_quicksort(right.view(">u8").astype(np.uint64))
-        right, inner = right[order], inner[order]
-        differ = right[1:] != right[:-1]
-        common = np.where(differ.any(axis=1), differ.argmax(axis=1), width)
         hits: dict[int, list[tuple[int, int]]] = {}
-        for s in range(length - gram + 1):
-            group = np.concatenate([[0], np.cumsum(common < length - s)])
-            has = (anchor[inner] >= s) & (anchor[inner] - s < served[inner])
-            who = inner[has]
-            left = hasher.of(prefix, spot[who] - s, spot[who])
-            found = _repeated(bk.mix(left ^ bk.mix(group[has].astype(np.uint64))))
-            for i in who[found].tolist():
-                at = int(anchor[i]) - s
-                hits.setdefault(i, []).append((at, at + length))
+        who = np.flatnonzero(edge)
+        owner = np.repeat(who, served[who])
+        offset = np.arange(len(owner)) - np.repeat(np.cumsum(served[who]) - served[who], served[who])
+        at = start[owner] + offset
+        window = bk.mix(hasher.of(prefix, at, at + length) ^ bk.mix(key[owner].view(np.uint64)))
+        for i, k in zip(*(x[_repeated(window)].tolist() for x in (owner, offset)), strict=True):
+            hits.setdefault(i, []).append((k, k + length))
+        _, once, count = np.unique(window, return_index=True, return_counts=True)
+        sent = np.empty(len(once), _WINDOW)
+        sent["hash"], sent["key"], sent["context"], sent["a"] = window[once], key[owner[once]], context[owner[once]], np.where(count > 1, -1, offset[once])
+        cuts = np.searchsorted(sent["hash"], np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits))
+        packed = [(k, x.tobytes()) for k, x in enumerate(np.split(sent, cuts)) if len(x)]
+        yield rows(dest=[k for k, _ in packed], bucket=[TaskContext.get().partitionId()] * len(packed), packed=[x for _, x in packed])
+        inner = np.flatnonzero(~edge)
+        if len(inner):
+            _sorted_windows(raw, bounds, spot, anchor, served, inner, length, gram, hasher, prefix, hits)
         out = [(i, a, b) for i, spans in hits.items() for a, b in merged(spans)]
         if out:
             i = np.array([x[0] for x in out])
-            yield rows(key[i], context[i], [x[1] for x in out], [x[2] for x in out], [None] * len(out))
+            yield rows(key[i], context[i], [x[1] for x in out], [x[2] for x in out])
 
     return run
 
@@ -201,13 +255,17 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
     fetched = texts.join(wanted, ["text_hash", "n_bytes"]).select("text", "wanted")
     suffixes = materialize(fetched.mapInArrow(_contexts, "lead0 long, lead1 long, key long, context long, anchor int, bytes binary"), "suffixes")
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), suffixes.count() // BUCKET + 1)
+    bits = max(4, buckets.bit_length() - 1)
     sorted_ = materialize(
-        suffixes.repartitionByRange(buckets, "lead0", "lead1", "key", "context").mapInArrow(_bucket(length, gram), "key long, context long, a int, b int, window long"), "windows"
+        suffixes.repartitionByRange(buckets, "lead0", "lead1", "key", "context").mapInArrow(
+            _bucket(length, gram, bits), "key long, context long, a int, b int, dest long, bucket long, packed binary"
+        ),
+        "windows",
     )
-    inside = sorted_.filter("window IS NULL").select("key", "context", "a", "b")
-    across = sorted_.filter("window IS NOT NULL")
-    twice = across.groupBy("window").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("window")
-    across = across.join(twice, "window").select("key", "context", "a", "b")
+    inside = sorted_.filter("dest IS NULL").select("key", "context", "a", "b")
+    sent = sorted_.filter("dest IS NOT NULL").select("dest", "bucket", "packed").repartition(buckets, "dest").sortWithinPartitions("dest")
+    met = sent.mapInArrow(_meet, "bucket long, packed binary").repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    across = met.mapInArrow(_ranges(length), "key long, context long, a int, b int")
     found = whole.unionByName(inside).unionByName(across)
     spans = anchors.join(found, ["key", "context"]).select("text_hash", "n_bytes", F.struct((F.col("first") + F.col("a")).alias("a"), (F.col("first") + F.col("b")).alias("b")).alias("r"))
     return spans.distinct().groupBy("text_hash", "n_bytes").agg(F.collect_list("r").alias("ranges"))
