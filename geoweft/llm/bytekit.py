@@ -127,7 +127,7 @@ def take(arrays: list[np.ndarray], dtype) -> np.ndarray:
     return np.concatenate(arrays) if arrays else np.zeros(0, dtype)
 
 
-def slices(batches, column: str, limit: int = 8 << 20):
+def slices(batches, column: str, limit: int = 4 << 20):
     """Arrow batches cut so that ``column`` holds about ``limit`` bytes in each; a longer row stands alone."""
     for batch in batches:
         if not batch.num_rows:

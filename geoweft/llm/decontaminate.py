@@ -5,8 +5,8 @@ it; the state and the matched length say, at each word, the longest run of words
 some item holds.  A run of ``window`` words (or a whole shorter item) is an occurrence; its words are
 hit.
 
-The automaton is built from blocks of items of bounded size; more blocks are further passes over the
-rows, without a shuffle.  Words that no item holds reset the automaton, so stretches whose word pairs
+The automaton is built from blocks of items of bounded size; with more blocks each batch of rows is
+streamed through several automata in turn, without a shuffle.  Words that no item holds reset the automaton, so stretches whose word pairs
 are in no item are skipped by a vectorised test before the automaton runs.
 
 Edge cases: null or empty texts and items have no words and match nothing; items with equal ids count
@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytekit as bk
+from .store import narrow, placed
 
 WINDOW = 8
 #: Words of benchmark items in one automaton; what is sent to the executors is bounded by it.
@@ -32,6 +33,8 @@ BLOCK_WORDS = 1_000_000
 #: Hit spans of so many words are removed; a document of which more than this share is hit is dropped.
 MAX_SPAN, MAX_COVERAGE = 8, 0.5
 
+#: Automata that a worker keeps.
+MAX_CACHED = 8
 _CACHE: dict[str, "Automaton"] = {}
 
 
@@ -178,53 +181,69 @@ class Automaton:
 
 
 def _blocks(benchmark: DataFrame, block_words: int) -> list[DataFrame]:
-    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), "text").filter(F.col("text").isNotNull())
+    items = narrow(benchmark, "item_id", "text").select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), "text").filter(F.col("text").isNotNull())
     total = items.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     n = total // (4 * block_words) + 1
     return [items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k) for k in range(n)]
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """``docs`` with ``n_words``, ``hit_spans`` (merged word ranges) and ``hit_items``."""
-    spark = docs.sparkSession
-    out = docs.withColumns({"n_words": F.lit(0).cast("long"), "hit_spans": F.lit(None).cast("array<struct<a:int,b:int>>"), "hit_items": F.lit(None).cast("array<string>")})
-    schema = out.schema
-    for block in _blocks(benchmark, block_words):
-        items = spark.sparkContext.broadcast([(r["item_id"], r["text"]) for r in block.toLocalIterator()])
-        out = out.mapInArrow(_scanner(items, uuid.uuid4().hex, window, schema.names), schema)
-    return out
+    """All rows: doc_id, n_words, ``hit_spans`` (merged word ranges) and ``hit_items``."""
+    rows = narrow(docs, "doc_id", "text")
+    passes = _passes(docs.sparkSession, benchmark, window, block_words)
 
-
-def _scanner(items, key: str, window: int, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if key not in _CACHE:
-            _CACHE[key] = Automaton([(name, words_of(text)) for name, text in items.value], window)
-        automaton, hasher = _CACHE[key], bk.Hasher()
-        for batch in bk.slices(batches, "text", 4 << 20):
-            raw, bounds = bk.utf8(batch.column("text"))
-            raw = bk.LOWER[raw]
-            start, end, wb = bk.runs(raw, bounds, bk.ALNUM)
-            hashes = bk.word_hashes(raw, start, end, hasher)
-            spans, found = batch.column("hit_spans").to_pylist(), batch.column("hit_items").to_pylist()
-            touched: dict[int, tuple[list, set]] = {}
+        for batch, hits in _hits(batches, "text", passes):
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("doc_id"), pa.array([h[0] for h in hits], pa.int64()),
+                    pa.array([[{"a": a, "b": b} for a, b in h[1]] for h in hits], pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))),
+                    pa.array([h[2] for h in hits], pa.list_(pa.string())),
+                ],
+                names=["doc_id", "n_words", "hit_spans", "hit_items"],
+            )
+
+    schema = rows.select("doc_id", F.lit(0).cast("long").alias("n_words"), F.lit(None).cast("array<struct<a:int,b:int>>").alias("hit_spans"), F.lit(None).cast("array<string>").alias("hit_items")).schema
+    return rows.mapInArrow(run, schema)
+
+
+def _passes(spark, benchmark: DataFrame, window: int, block_words: int) -> list[tuple]:
+    """(broadcast items, cache key, window) of each block of the benchmark."""
+    blocks = _blocks(benchmark, block_words)
+    return [(spark.sparkContext.broadcast([(r["item_id"], r["text"]) for r in b.toLocalIterator()]), uuid.uuid4().hex, window) for b in blocks]
+
+
+def _automaton(items, key: str, window: int) -> Automaton:
+    if key not in _CACHE:
+        if len(_CACHE) >= MAX_CACHED:
+            _CACHE.clear()
+        _CACHE[key] = Automaton([(name, words_of(text)) for name, text in items.value], window)
+    return _CACHE[key]
+
+
+def _hits(batches: Iterator[pa.RecordBatch], text: str, passes: list[tuple]) -> Iterator[tuple[pa.RecordBatch, list[tuple[int, list, list]]]]:
+    """Batches with each row's number of words, merged hit ranges and items."""
+    hasher = bk.Hasher()
+    for batch in bk.slices(batches, text):
+        raw, bounds = bk.utf8(batch.column(text))
+        raw = bk.LOWER[raw]
+        start, end, wb = bk.runs(raw, bounds, bk.ALNUM)
+        hashes = bk.word_hashes(raw, start, end, hasher)
+        touched: dict[int, tuple[list, set]] = {}
+        for one in passes:
+            automaton = _automaton(*one)
             for a, b in automaton.candidates(hashes, wb).tolist():
-                hits, which = automaton.stream([raw[i:j].tobytes() for i, j in zip(start[a:b].tolist(), end[a:b].tolist(), strict=True)])
-                if hits:
+                found, which = automaton.stream([raw[i:j].tobytes() for i, j in zip(start[a:b].tolist(), end[a:b].tolist(), strict=True)])
+                if found:
                     row = int(np.searchsorted(wb, a, "right")) - 1
                     at = a - int(wb[row])
-                    own = touched.setdefault(row, ([(x["a"], x["b"]) for x in spans[row] or ()], set(found[row] or ())))
-                    own[0].extend((at + x, at + y) for x, y in hits)
+                    own = touched.setdefault(row, ([], set()))
+                    own[0].extend((at + x, at + y) for x, y in found)
                     own[1].update(automaton.items[k] for k in which)
-            for row, (hits, which) in touched.items():
-                spans[row], found[row] = [{"a": x, "b": y} for x, y in merged(hits)], sorted(which)
-            new = {
-                "n_words": pa.array(np.diff(wb)),
-                "hit_spans": pa.array(spans, pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))),
-                "hit_items": pa.array(found, pa.list_(pa.string())),
-            }
-            yield pa.RecordBatch.from_arrays([new.get(c, batch.column(c) if c not in new else None) for c in names], names=names)
-
-    return run
+        rows = [(n, [], []) for n in np.diff(wb).tolist()]
+        for row, (found, which) in touched.items():
+            rows[row] = (rows[row][0], merged(found), sorted(which))
+        yield batch, rows
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -241,31 +260,32 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 def decontaminate(docs: DataFrame, benchmark: DataFrame, max_span: int = MAX_SPAN, max_coverage: float = MAX_COVERAGE) -> DataFrame:
     """Documents without their contaminated spans; all columns stay.
 
-    A hit span of ``max_span`` words or more (or a whole short item) is cut out of the text with the
-    separators up to the next word; a document of which more than ``max_coverage`` is hit goes.
+    A hit span of ``max_span`` words or more (a whole item, if that is shorter) is cut out of the text with
+    the separators up to the next word; a document of which more than ``max_coverage`` is hit goes.
     """
-    found = scan(docs, benchmark)
-    size = F.aggregate("hit_spans", F.lit(0), lambda s, x: s + x["b"] - x["a"])
-    names = docs.columns
-    kept = found.filter(F.col("hit_spans").isNull() | (size <= max_coverage * F.col("n_words")))
+    inner, at = placed(docs)
+    names, text = inner.columns, at["text"]
+    passes = _passes(docs.sparkSession, benchmark, max_span, BLOCK_WORDS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column("text").to_pylist()
-            for i, spans in enumerate(batch.column("hit_spans").to_pylist()):
-                if spans:
+        for batch, hits in _hits(batches, text, passes):
+            texts, stays = batch.column(text).to_pylist(), []
+            for i, (n, spans, _) in enumerate(hits):
+                stays.append(sum(b - a for a, b in spans) <= max_coverage * n)
+                if spans and stays[-1]:
                     data = texts[i].encode()
                     raw = bk.LOWER[np.frombuffer(data, dtype=np.uint8)]
                     start, _, _ = bk.runs(raw, np.array([0, len(raw)]), bk.ALNUM)
                     edge = np.append(start, len(data))
-                    out, at = [], 0
-                    for x in spans:
-                        out.append(data[at : edge[x["a"]]])
-                        at = int(edge[x["b"]])
-                    texts[i] = b"".join([*out, data[at:]]).decode()
-            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == "text" else batch.column(c) for c in names], names=names)
-
-    return kept.mapInArrow(run, docs.schema)
+                    out, place = [], 0
+                    for a, b in spans:
+                        out.append(data[place : edge[a]])
+                        place = int(edge[b])
+                    texts[i] = b"".join([*out, data[place:]]).decode()
+            whole = pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == text else batch.column(c) for c in names], names=names)
+            yield whole.filter(pa.array(stays, pa.bool_()))
+
+    return inner.mapInArrow(run, inner.schema).toDF(*docs.columns)
 
 
 def digest(found: DataFrame) -> DataFrame:

@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .html_labels import labelled_pages
+from .store import narrow
 
 # Elements that break text into blocks, that hold raw text, that are never shown, that have no end tag.
 BLOCKS = frozenset(
@@ -262,4 +263,5 @@ def extract_main_text(pages: DataFrame, model: Model | None = None) -> DataFrame
                 texts = own.texts(batch.column("html").to_pylist())
                 yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
-    return pages.select("page_id", "url", "html").mapInArrow(run, pages.select("page_id", "url", F.col("html").alias("text")).schema)
+    own = narrow(pages, "page_id", "url", "html").withColumn("html", F.col("html").cast("string"))
+    return own.mapInArrow(run, own.withColumnRenamed("html", "text").schema)

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from . import bytekit as bk
 from .components import components
-from .store import input_bytes, materialize
+from .store import input_bytes, materialize, narrow, placed
 
 #: N-grams and documents of a chunk at most (one longer document is a chunk of its own).
 CHUNK_GRAMS, CHUNK_DOCS = 1_500_000, 60_000
@@ -135,7 +135,7 @@ def _chunks(words: int, bits: int):
                 names=[c.split()[0] for c in _CHUNK.split(", ")],
             )
 
-        for batch in bk.slices(batches, "text", 4 << 20):
+        for batch in bk.slices(batches, "text"):
             for at in range(0, batch.num_rows, CHUNK_DOCS):
                 piece = batch.slice(at, CHUNK_DOCS)
                 row, gram = _gram_hashes(piece.column("text"), words, hasher, sequences)
@@ -258,7 +258,7 @@ def gram_sets(docs: DataFrame, words: int, percent: int) -> DataFrame:
     size = input_bytes(docs)
     bits = min(20, max(4, math.ceil(math.log2(size / RANGE_BYTES + 1))))
     n = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), (1 << bits) // 4)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    texts = narrow(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
     sent = texts.mapInArrow(_chunks(words, bits), _CHUNK).repartition(n, "dest").sortWithinPartitions("dest")
     back = sent.mapInArrow(_frequencies, _REPLY).repartition(n, "chunk").sortWithinPartitions("chunk")
     return materialize(back.mapInArrow(_survivors(percent), SETS), "jaccard-sets")
@@ -384,4 +384,5 @@ def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     row with an id is in their component.
     """
     gone = jaccard_components(docs, words, percent).filter("NOT doc_id <=> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
+    inner, at = placed(docs)
+    return inner.join(gone, F.col(at["doc_id"]).cast("long").eqNullSafe(F.col("_gone")), "left_anti").toDF(*docs.columns)

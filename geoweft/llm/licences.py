@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .store import narrow
+
 # Known licence sentences, normalised (lower case, words of a-z and 0-9, one blank).
 SENTENCES: dict[int, str] = {
     1: "licensed under the apache license version 2 0",
@@ -127,7 +129,7 @@ def match(sequence: Column, rules: list[tuple[str, list[int]]] = RULES) -> Colum
 
 def scan_licences(docs: DataFrame) -> DataFrame:
     """All documents with ``sentence_ids`` and ``licences`` (sorted, comma-joined; empty if none)."""
-    ids = docs.select("doc_id", F.coalesce(identifiers(F.col("text")), F.lit("")).alias("sentence_ids"))
+    ids = narrow(docs, "doc_id", "text").select("doc_id", F.coalesce(identifiers(F.col("text")), F.lit("")).alias("sentence_ids"))
     return ids.select("doc_id", "sentence_ids", match(F.col("sentence_ids")).alias("licences"))
 
 

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from . import bytekit as bk
 from .quality import LineKit
-from .store import materialize
+from .store import materialize, narrow, placed
 
 #: Shorter lines have too little in common for one edit to mean anything: one word of five is a fifth.
 MIN_WORDS = 5
@@ -44,7 +44,7 @@ def _tagged(hashes: np.ndarray, tag: np.ndarray, kind: int) -> np.ndarray:
 def _line_table(min_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, sequences = bk.Hasher(), bk.SequenceHasher()
-        for batch in bk.slices(batches, "text", 4 << 20):
+        for batch in bk.slices(batches, "text"):
             kit = LineKit(hasher, sequences, batch.column("text"))
             row, first, last, m = kit.line_row, kit.first_word, kit.last_word, kit.line_words
             number = np.arange(len(row)) - np.searchsorted(row, row)
@@ -71,7 +71,7 @@ def _line_table(min_words: int):
 def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Word hashes of the lines whose numbers ``wanted`` lists."""
     hasher, sequences = bk.Hasher(), bk.SequenceHasher()
-    for batch in bk.slices(batches, "text", 4 << 20):
+    for batch in bk.slices(batches, "text"):
         kit = LineKit(hasher, sequences, batch.column("text"))
         start = np.searchsorted(kit.line_row, np.arange(batch.num_rows))
         wanted = batch.column("wanted").to_pylist()
@@ -156,7 +156,7 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def duplicate_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """The lines that go: doc_id, text_hash, line_no, n_words, edits, and the earliest line within the bound."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
+    texts = narrow(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
     rank = F.coalesce("doc_id", F.lit(LAST))
     lines = materialize(texts.mapInArrow(_line_table(min_words), _LINES), "lines").withColumn("rank", rank)
     firsts = lines.groupBy("line").agg(F.min(F.struct("rank", "line_no", "text_hash")).alias("first"))
@@ -195,17 +195,18 @@ def duplicate_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` without the duplicate lines; all columns stay, and so do documents that lose all lines."""
     gone = duplicate_lines(docs, min_words).groupBy(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h")).agg(F.collect_set("line_no").alias("_gone"))
-    hashed = docs.withColumn("_t", F.xxhash64("text"))
-    joined = hashed.join(gone, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_t") == F.col("_h")), "left").drop("_d", "_h", "_t")
-    names = docs.columns
+    inner, at = placed(docs)
+    hashed = inner.withColumn("_t", F.xxhash64(at["text"]))
+    joined = hashed.join(gone, F.col(at["doc_id"]).cast("long").eqNullSafe(F.col("_d")) & (F.col("_t") == F.col("_h")), "left").drop("_d", "_h", "_t")
+    names, text = inner.columns, at["text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column("text").to_pylist()
+        for batch in bk.slices(batches, text):
+            texts = batch.column(text).to_pylist()
             for i, lost in enumerate(batch.column("_gone").to_pylist()):
                 if lost:
                     lost = set(lost)
                     texts[i] = "\n".join(x for k, x in enumerate(texts[i].split("\n")) if k not in lost)
-            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == "text" else batch.column(c) for c in names], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == text else batch.column(c) for c in names], names=names)
 
-    return joined.mapInArrow(run, docs.schema)
+    return joined.mapInArrow(run, inner.schema).toDF(*docs.columns)

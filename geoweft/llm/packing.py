@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytekit import slices
-from .store import materialize
+from .store import materialize, narrow
 
 #: Beyond so many placement runs the join is left to Spark's own choice instead of a broadcast.
 MAX_BROADCAST_RUNS = 200_000
@@ -70,7 +70,7 @@ def tokenize(docs: DataFrame, tokenizer: str, window: int, with_ids: bool = Fals
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer)
-        for batch in slices(batches, "text", 4 << 20):
+        for batch in slices(batches, "text"):
             out: list[list] = [[] for _ in range(5 + with_ids)]
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 ids = np.array([*encode(text or ""), 0], dtype="<u4")
@@ -83,7 +83,7 @@ def tokenize(docs: DataFrame, tokenizer: str, window: int, with_ids: bool = Fals
             names = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names=names)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, PIECES + ", ids array<int>" * with_ids)
+    return narrow(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(run, PIECES + ", ids array<int>" * with_ids)
 
 
 class CapacityTree:

@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import bytekit as bk
+from .store import materialize, narrow, placed
 
 # Fixed values of the base rules.
 MIN_WORDS = 10
@@ -86,7 +87,7 @@ def features(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, sequences = bk.Hasher(), bk.SequenceHasher()
-        for batch in bk.slices(batches, "text", 4 << 20):
+        for batch in bk.slices(batches, "text"):
             kit = LineKit(hasher, sequences, batch.column("text"))
             raw, bounds, wb = kit.raw, kit.bounds, kit.word_bounds
             n = len(bounds) - 1
@@ -129,7 +130,8 @@ def features(docs: DataFrame) -> DataFrame:
                 names=["doc_id", "source", "text_hash", *_BASE, "line_hash", "line_words"],
             )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, FEATURES)
+    own = narrow(docs, "doc_id", "source", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "source", F.xxhash64("text").alias("text_hash"), "text")
+    return own.mapInArrow(run, FEATURES)
 
 
 def frequent_lines(found: DataFrame, max_docs: int = MAX_DOCS, max_share: float = MAX_SHARE) -> DataFrame:
@@ -171,40 +173,38 @@ def judge(found: DataFrame, frequent: DataFrame, min_left: float = MIN_LEFT) ->
 
 def quality(docs: DataFrame, max_docs: int = MAX_DOCS, max_share: float = MAX_SHARE, min_left: float = MIN_LEFT) -> DataFrame:
     """Verdicts of all documents; see ``judge``."""
-    from .store import materialize
-
     found = materialize(features(docs), "quality")
     return judge(found, frequent_lines(found, max_docs, max_share), min_left)
 
 
-def drop_lines(docs: DataFrame, column: str) -> DataFrame:
-    """``docs`` with the lines whose hashes ``column`` lists taken out of ``text``; the column goes."""
-    kept = [c for c in docs.columns if c != column]
-    schema = docs.select(*kept).schema
+def drop_lines(docs: DataFrame, text: str, gone: str) -> DataFrame:
+    """``docs`` with the lines whose hashes ``gone`` lists taken out of ``text``; the column ``gone`` goes."""
+    kept = [c for c in docs.columns if c != gone]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, sequences = bk.Hasher(), bk.SequenceHasher()
-        for batch in bk.slices(batches, "text", 4 << 20):
-            kit = LineKit(hasher, sequences, batch.column("text"))
-            texts, lists = batch.column("text").to_pylist(), batch.column(column).to_pylist()
+        for batch in bk.slices(batches, text):
+            kit = LineKit(hasher, sequences, batch.column(text))
+            texts, lists = batch.column(text).to_pylist(), batch.column(gone).to_pylist()
             at = np.searchsorted(kit.line_row, np.arange(len(texts) + 1))
             hashes = kit.line_hash.view(np.int64)
-            for i, gone in enumerate(lists):
-                if gone:
-                    out = np.isin(hashes[at[i] : at[i + 1]], np.array(gone, np.int64)) & (kit.line_words[at[i] : at[i + 1]] > 0)
+            for i, hidden in enumerate(lists):
+                if hidden:
+                    out = np.isin(hashes[at[i] : at[i + 1]], np.array(hidden, np.int64)) & (kit.line_words[at[i] : at[i + 1]] > 0)
                     texts[i] = "\n".join(line for line, x in zip(texts[i].split("\n"), out, strict=True) if not x)
-            cols = [pa.array(texts, pa.string()) if c == "text" else batch.column(c) for c in kept]
-            yield pa.RecordBatch.from_arrays(cols, names=kept)
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == text else batch.column(c) for c in kept], names=kept)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(run, docs.select(*kept).schema)
 
 
 def filter_documents(docs: DataFrame, **limits) -> DataFrame:
     """The documents that are kept, without their boilerplate lines; all columns stay."""
-    verdict = quality(docs, **limits).filter("kept").select("doc_id", "source", "text_hash", "removed_lines")
-    verdict = verdict.dropDuplicates(["doc_id", "source", "text_hash"]).select(
+    verdict = quality(docs, **limits).filter("kept").select(
         F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("text_hash").alias("_h"), F.col("removed_lines").alias("_removed")
     )
-    hashed = docs.withColumn("_t", F.xxhash64("text"))
-    same = F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("source").eqNullSafe(F.col("_s")) & (F.col("_t") == F.col("_h"))
-    return drop_lines(hashed.join(verdict, same).drop("_d", "_s", "_h", "_t"), "_removed")
+    verdict = verdict.dropDuplicates(["_d", "_s", "_h"])
+    inner, at = placed(docs)
+    hashed = inner.withColumn("_t", F.xxhash64(at["text"]))
+    same = F.col(at["doc_id"]).cast("long").eqNullSafe(F.col("_d")) & F.col(at["source"]).eqNullSafe(F.col("_s")) & (F.col("_t") == F.col("_h"))
+    joined = hashed.join(verdict, same).drop("_d", "_s", "_h", "_t")
+    return drop_lines(joined, at["text"], "_removed").toDF(*docs.columns)

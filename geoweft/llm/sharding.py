@@ -15,7 +15,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .store import shared_dir, text_or_empty
+from .store import narrow, shared_dir, text_or_empty
 
 #: Virtual slots.  A slot is the unit that moves; it is fixed for the life of a data set.
 N_SLOTS = 8192
@@ -93,7 +93,7 @@ def shard_documents(docs: DataFrame, n_shards: int = 16, n_slots: int = N_SLOTS,
     """
     spark = docs.sparkSession
     folder = folder or f"{shared_dir(spark)}/slot-map-{uuid.uuid4().hex}"
-    rows = docs.select("doc_id", size_of().alias("size"), F.crc32(text_or_empty()).alias("text_crc32"))
+    rows = narrow(docs, "doc_id", "text").select("doc_id", size_of().alias("size"), F.crc32(text_or_empty()).alias("text_crc32"))
     rows = rows.groupBy("doc_id", "size", "text_crc32").agg(F.count(F.lit(1)).alias("copies"))
     rows = rows.select("doc_id", "size", "text_crc32", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
     rows = rows.withColumn("virtual_slot", slot_of(F.col("doc_id"), F.col("text_crc32"), F.col("copy"), n_slots=n_slots))

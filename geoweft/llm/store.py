@@ -64,5 +64,22 @@ def parts(df: DataFrame, bytes_each: int, expansion: float = 1.0) -> int:
     return max(least, int(input_bytes(df) * expansion / bytes_each) + 1)
 
 
+def placed(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``df`` with its columns renamed by place, and the new name of each (of equal names the first).
+
+    Columns that an operator adds can then not clash with the caller's, whatever their names or case.
+    """
+    found: dict[str, str] = {}
+    for i, name in enumerate(df.columns):
+        found.setdefault(name, f"_c{i}")
+    return df.toDF(*(f"_c{i}" for i in range(len(df.columns)))), found
+
+
+def narrow(df: DataFrame, *names: str) -> DataFrame:
+    """Only the named columns of ``df``, matched by exact name."""
+    inner, at = placed(df)
+    return inner.select(*(F.col(at[n]).alias(n) for n in names))
+
+
 def text_or_empty(col: str = "text"):
     return F.coalesce(F.col(col), F.lit(""))

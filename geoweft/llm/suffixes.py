@@ -35,7 +35,7 @@ from . import bytekit as bk
 from .decontaminate import merged
 from .jaccard import _grouped
 from .quality import _repeated
-from .store import materialize
+from .store import materialize, narrow
 
 LENGTH, GRAM = 400, 200
 #: Windows handled at once, and contexts of a bucket.
@@ -63,7 +63,7 @@ def window_minima(values: np.ndarray, width: int) -> np.ndarray:
 def _anchors(length: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, places = bk.Hasher(), np.arange(STEP + length)
-        for batch in bk.slices(batches, "text", 4 << 20):
+        for batch in bk.slices(batches, "text"):
             raw, bounds = bk.utf8(batch.column("text"))
             for begin in range(0, max(0, len(raw) - length + 1), STEP):
                 piece = raw[begin : begin + STEP + length - 1]
@@ -98,7 +98,7 @@ def _anchors(length: int, gram: int):
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The bytes of the wanted contexts, with the leading bytes of the suffix in order-keeping integers."""
-    for batch in bk.slices(batches, "text", 4 << 20):
+    for batch in bk.slices(batches, "text"):
         out: dict[str, list] = {c: [] for c in ("lead0", "lead1", "key", "context", "anchor", "bytes")}
         for text, wanted in zip(batch.column("text").to_pylist(), batch.column("wanted").to_pylist(), strict=True):
             data = (text or "").encode()
@@ -244,7 +244,7 @@ def _bucket(length: int, gram: int, bits: int):
 def repeated_ranges(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """(text_hash, n_bytes, ranges): byte ranges to remove, of the texts that have any."""
     spark = docs.sparkSession
-    texts = docs.select(F.xxhash64("text").alias("text_hash"), F.octet_length("text").cast("long").alias("n_bytes"), "text").filter(F.col("n_bytes") >= length)
+    texts = narrow(docs, "text").select(F.xxhash64("text").alias("text_hash"), F.octet_length("text").cast("long").alias("n_bytes"), "text").filter(F.col("n_bytes") >= length)
     anchors = materialize(texts.mapInArrow(_anchors(length, gram), _ANCHORS), "anchors")
     kinds = anchors.groupBy("key", "context").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("text_hash", "n_bytes", "first", "anchor", "size")).alias("at"))
     keys = kinds.groupBy("key").agg(F.count(F.lit(1)).alias("kinds"), F.sum("n").alias("total")).filter("total > 1")
@@ -257,8 +257,7 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), suffixes.count() // BUCKET + 1)
     bits = max(4, buckets.bit_length() - 1)
     sorted_ = materialize(
-        suffixes.repartitionByRange(buckets, "lead0", "lead1", "key", "context").mapInArrow(
-            _bucket(length, gram, bits), "key long, context long, a int, b int, dest long, bucket long, packed binary"
+        suffixes.repartitionByRange(buckets, "lead0", "lead1", "key", "context").mapInArrow(_bucket(length, gram, bits), "key long, context long, a int, b int, dest long, bucket long, packed binary"
         ),
         "windows",
     )
@@ -288,6 +287,6 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def dedup_suffixes(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """All rows: doc_id, n_bytes, n_removed, n_spans and ``kept``, the bytes left (a cut may split a character)."""
     ranges = repeated_ranges(docs, length, gram).select(F.col("text_hash").alias("_h"), F.col("n_bytes").alias("_n"), "ranges")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("_t"), F.octet_length("text").cast("long").alias("_b"))
+    texts = narrow(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("_t"), F.octet_length("text").cast("long").alias("_b"))
     joined = texts.join(ranges, (F.col("_t") == F.col("_h")) & (F.col("_b") == F.col("_n")), "left").select("doc_id", "text", "ranges")
     return joined.mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")

@@ -18,6 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .store import narrow
+
 DAY = 86_400
 
 # Stored headers that a not-modified answer must not change (they describe the payload or one connection).
@@ -82,7 +84,7 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
     Resolved and unverified revisits get the payload digest, the status and the merged headers of their
     full response, named by ``source_record_id``; the others keep what they have.
     """
-    rows = records.select("record_id", "url", "date", "type", "status", F.coalesce(_lower_keys(F.col("headers")), F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))).alias("headers"), "payload_digest")
+    rows = narrow(records, "record_id", "url", "date", "type", "status", "headers", "payload_digest").select("record_id", "url", "date", "type", "status", F.coalesce(_lower_keys(F.col("headers")), F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))).alias("headers"), "payload_digest")
     rows = rows.withColumn("canonical_url", canonical_url(F.col("url")))
     fulls = latest_full(rows).select(F.col("canonical_url").alias("_u"), F.col("date").alias("_d"), "full")
     revisit = F.col("type") == "revisit"
@@ -117,7 +119,7 @@ def captures_of_pages(pages: DataFrame) -> DataFrame:
     """
     base = 1_600_000_000 + F.col("page_id") * 3600
     html = F.coalesce("html", F.lit(""))
-    rows = pages.select("page_id", "url", base.alias("base"), F.sha2(html, 256).alias("digest"), F.octet_length(html).alias("size"))
+    rows = narrow(pages, "page_id", "url", "html").select("page_id", "url", base.alias("base"), F.sha2(html, 256).alias("digest"), F.octet_length(html).alias("size"))
     rows = rows.withColumn("k", F.explode(F.array(*(F.lit(k) for k in range(4)))))
     rows = rows.filter("NOT (k = 0 AND page_id % 7 = 3) AND NOT (k = 2 AND page_id % 4 <> 1)")
     full = F.col("k").isin(0, 2)
