@@ -6,6 +6,9 @@ and word hashes of a whole Arrow batch come from a few passes over its UTF-8 buf
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 
@@ -99,7 +102,7 @@ class Hasher:
             return mix((prefix[end] - prefix[start]) * self.inverse[start] + (end - start).astype(_U))
 
 
-def word_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray, hasher: Hasher, step: int = 1 << 22) -> np.ndarray:
+def word_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray, hasher: Hasher, step: int = 1 << 19) -> np.ndarray:
     """Hashes of words; the buffer is passed in pieces of ``step`` bytes, which bounds memory."""
     out = np.empty(len(start), _U)
     i = 0
@@ -127,7 +130,7 @@ def take(arrays: list[np.ndarray], dtype) -> np.ndarray:
     return np.concatenate(arrays) if arrays else np.zeros(0, dtype)
 
 
-def slices(batches, column: str, limit: int = 4 << 20):
+def slices(batches, column: str, limit: int = 2 << 20):
     """Arrow batches cut so that ``column`` holds about ``limit`` bytes in each; a longer row stands alone."""
     for batch in batches:
         if not batch.num_rows:
@@ -140,6 +143,20 @@ def slices(batches, column: str, limit: int = 4 << 20):
             at = to
 
 
+def tidy(f):
+    """A partition function that gives freed memory back at its end: workers live on, and allocators keep it."""
+
+    def run(batches):
+        try:
+            yield from f(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return run
+
+
 def range_sums(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Sums of ``values`` over index ranges."""
     total = np.zeros(len(values) + 1, np.int64)

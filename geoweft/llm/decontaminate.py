@@ -204,7 +204,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_word
             )
 
     schema = rows.select("doc_id", F.lit(0).cast("long").alias("n_words"), F.lit(None).cast("array<struct<a:int,b:int>>").alias("hit_spans"), F.lit(None).cast("array<string>").alias("hit_items")).schema
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(bk.tidy(run), schema)
 
 
 def _passes(spark, benchmark: DataFrame, window: int, block_words: int) -> list[tuple]:
@@ -285,7 +285,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, max_span: int = MAX_SPA
             whole = pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == text else batch.column(c) for c in names], names=names)
             yield whole.filter(pa.array(stays, pa.bool_()))
 
-    return inner.mapInArrow(run, inner.schema).toDF(*docs.columns)
+    return inner.mapInArrow(bk.tidy(run), inner.schema).toDF(*docs.columns)
 
 
 def digest(found: DataFrame) -> DataFrame:

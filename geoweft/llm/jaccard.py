@@ -39,7 +39,7 @@ from .components import components
 from .store import input_bytes, materialize, narrow, placed
 
 #: N-grams and documents of a chunk at most (one longer document is a chunk of its own).
-CHUNK_GRAMS, CHUNK_DOCS = 1_500_000, 60_000
+CHUNK_GRAMS, CHUNK_DOCS = 1_000_000, 60_000
 #: Input bytes of a hash range; about three times as many n-grams fit as a range has then.
 RANGE_BYTES = 6 << 20
 #: Sets of a block; a pair of blocks is compared in one task.
@@ -259,9 +259,9 @@ def gram_sets(docs: DataFrame, words: int, percent: int) -> DataFrame:
     bits = min(20, max(4, math.ceil(math.log2(size / RANGE_BYTES + 1))))
     n = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), (1 << bits) // 4)
     texts = narrow(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
-    sent = texts.mapInArrow(_chunks(words, bits), _CHUNK).repartition(n, "dest").sortWithinPartitions("dest")
-    back = sent.mapInArrow(_frequencies, _REPLY).repartition(n, "chunk").sortWithinPartitions("chunk")
-    return materialize(back.mapInArrow(_survivors(percent), SETS), "jaccard-sets")
+    sent = texts.mapInArrow(bk.tidy(_chunks(words, bits)), _CHUNK).repartition(n, "dest").sortWithinPartitions("dest")
+    back = sent.mapInArrow(bk.tidy(_frequencies), _REPLY).repartition(n, "chunk").sortWithinPartitions("chunk")
+    return materialize(back.mapInArrow(bk.tidy(_survivors(percent)), SETS), "jaccard-sets")
 
 
 def _partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -368,8 +368,8 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80) -> Da
     near = components(ties).select(F.col("node").alias("cid"), "component")
     members = classes.join(near, "cid").select("component", "cid", "n", "tokens", "freqs")
     cut = _fragments(_units(members, percent)).repartition(n, "unit", "fragment").sortWithinPartitions("unit", "fragment")
-    partial = cut.mapInArrow(_partial, "unit long, cids array<long>, sizes array<long>, overlap binary")
-    links = partial.repartition(n, "unit").sortWithinPartitions("unit").mapInArrow(_links(percent), "a long, b long")
+    partial = cut.mapInArrow(bk.tidy(_partial), "unit long, cids array<long>, sizes array<long>, overlap binary")
+    links = partial.repartition(n, "unit").sortWithinPartitions("unit").mapInArrow(bk.tidy(_links(percent)), "a long, b long")
     groups = components(links).select(F.col("node").alias("cid"), "component")
     named = classes.select("cid", "first_doc").join(groups, "cid", "left").withColumn("component", F.coalesce("component", "cid"))
     least = named.groupBy("component").agg(F.min("first_doc").alias("component_id"))

@@ -158,15 +158,15 @@ def duplicate_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """The lines that go: doc_id, text_hash, line_no, n_words, edits, and the earliest line within the bound."""
     texts = narrow(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
     rank = F.coalesce("doc_id", F.lit(LAST))
-    lines = materialize(texts.mapInArrow(_line_table(min_words), _LINES), "lines").withColumn("rank", rank)
+    lines = materialize(texts.mapInArrow(bk.tidy(_line_table(min_words)), _LINES), "lines").withColumn("rank", rank)
     firsts = lines.groupBy("line").agg(F.min(F.struct("rank", "line_no", "text_hash")).alias("first"))
     halves = lines.select(F.explode("halves").alias("half"), "line")
     met = halves.groupBy("half").agg(F.min("line").alias("a"), F.max("line").alias("b")).filter("a <> b").select("half")
     candidates = halves.join(met, "half").select("line").distinct()
     wanted = candidates.join(firsts, "line").groupBy(F.col("first.rank").alias("rank"), F.col("first.text_hash").alias("text_hash")).agg(F.collect_set("first.line_no").alias("wanted"))
     found = texts.withColumn("rank", rank).select("rank", "text_hash", "text").join(wanted, ["rank", "text_hash"])
-    known = materialize(found.mapInArrow(_words, "line long, rank long, line_no int, words array<long>").dropDuplicates(["line"]), "line-words")
-    keys = known.mapInArrow(_variants, "key long, kind byte, line long, rank long, line_no int").withColumn("at", F.struct("rank", "line_no", "line")).drop("rank", "line_no")
+    known = materialize(found.mapInArrow(bk.tidy(_words), "line long, rank long, line_no int, words array<long>").dropDuplicates(["line"]), "line-words")
+    keys = known.mapInArrow(bk.tidy(_variants), "key long, kind byte, line long, rank long, line_no int").withColumn("at", F.struct("rank", "line_no", "line")).drop("rank", "line_no")
     place, short = keys.filter(F.col("kind") == PLACE), keys.filter(F.col("kind") != PLACE)
     same = place.groupBy("key").agg(F.min("at").alias("least"), F.max("at").alias("most")).filter("least <> most").select("key", "least")
     replaced = place.join(same, "key").filter("least < at").select("line", F.col("least").alias("near"))
@@ -209,4 +209,4 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
                     texts[i] = "\n".join(x for k, x in enumerate(texts[i].split("\n")) if k not in lost)
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == text else batch.column(c) for c in names], names=names)
 
-    return joined.mapInArrow(run, inner.schema).toDF(*docs.columns)
+    return joined.mapInArrow(bk.tidy(run), inner.schema).toDF(*docs.columns)

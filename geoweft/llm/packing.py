@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bytekit import slices
+from .bytekit import slices, tidy
 from .store import materialize, narrow
 
 #: Beyond so many placement runs the join is left to Spark's own choice instead of a broadcast.
@@ -83,7 +83,7 @@ def tokenize(docs: DataFrame, tokenizer: str, window: int, with_ids: bool = Fals
             names = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names=names)
 
-    return narrow(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(run, PIECES + ", ids array<int>" * with_ids)
+    return narrow(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(tidy(run), PIECES + ", ids array<int>" * with_ids)
 
 
 class CapacityTree:

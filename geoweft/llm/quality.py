@@ -131,7 +131,7 @@ def features(docs: DataFrame) -> DataFrame:
             )
 
     own = narrow(docs, "doc_id", "source", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "source", F.xxhash64("text").alias("text_hash"), "text")
-    return own.mapInArrow(run, FEATURES)
+    return own.mapInArrow(bk.tidy(run), FEATURES)
 
 
 def frequent_lines(found: DataFrame, max_docs: int = MAX_DOCS, max_share: float = MAX_SHARE) -> DataFrame:
@@ -194,7 +194,7 @@ def drop_lines(docs: DataFrame, text: str, gone: str) -> DataFrame:
                     texts[i] = "\n".join(line for line, x in zip(texts[i].split("\n"), out, strict=True) if not x)
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == text else batch.column(c) for c in kept], names=kept)
 
-    return docs.mapInArrow(run, docs.select(*kept).schema)
+    return docs.mapInArrow(bk.tidy(run), docs.select(*kept).schema)
 
 
 def filter_documents(docs: DataFrame, **limits) -> DataFrame:

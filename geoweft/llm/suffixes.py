@@ -245,7 +245,7 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
     """(text_hash, n_bytes, ranges): byte ranges to remove, of the texts that have any."""
     spark = docs.sparkSession
     texts = narrow(docs, "text").select(F.xxhash64("text").alias("text_hash"), F.octet_length("text").cast("long").alias("n_bytes"), "text").filter(F.col("n_bytes") >= length)
-    anchors = materialize(texts.mapInArrow(_anchors(length, gram), _ANCHORS), "anchors")
+    anchors = materialize(texts.mapInArrow(bk.tidy(_anchors(length, gram)), _ANCHORS), "anchors")
     kinds = anchors.groupBy("key", "context").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("text_hash", "n_bytes", "first", "anchor", "size")).alias("at"))
     keys = kinds.groupBy("key").agg(F.count(F.lit(1)).alias("kinds"), F.sum("n").alias("total")).filter("total > 1")
     kinds = materialize(kinds.join(keys, "key"), "contexts")
@@ -253,11 +253,12 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
     mixed = kinds.filter("kinds > 1")
     wanted = mixed.select("at.text_hash", "at.n_bytes", F.struct("at.first", "at.size", "at.anchor", "key", "context").alias("w")).groupBy("text_hash", "n_bytes").agg(F.collect_list("w").alias("wanted"))
     fetched = texts.join(wanted, ["text_hash", "n_bytes"]).select("text", "wanted")
-    suffixes = materialize(fetched.mapInArrow(_contexts, "lead0 long, lead1 long, key long, context long, anchor int, bytes binary"), "suffixes")
+    suffixes = materialize(fetched.mapInArrow(bk.tidy(_contexts), "lead0 long, lead1 long, key long, context long, anchor int, bytes binary"), "suffixes")
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), suffixes.count() // BUCKET + 1)
     bits = max(4, buckets.bit_length() - 1)
     sorted_ = materialize(
-        suffixes.repartitionByRange(buckets, "lead0", "lead1", "key", "context").mapInArrow(_bucket(length, gram, bits), "key long, context long, a int, b int, dest long, bucket long, packed binary"
+        suffixes.repartitionByRange(buckets, "lead0", "lead1", "key", "context").mapInArrow(
+            bk.tidy(_bucket(length, gram, bits)), "key long, context long, a int, b int, dest long, bucket long, packed binary"
         ),
         "windows",
     )
@@ -289,4 +290,4 @@ def dedup_suffixes(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     ranges = repeated_ranges(docs, length, gram).select(F.col("text_hash").alias("_h"), F.col("n_bytes").alias("_n"), "ranges")
     texts = narrow(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("_t"), F.octet_length("text").cast("long").alias("_b"))
     joined = texts.join(ranges, (F.col("_t") == F.col("_h")) & (F.col("_b") == F.col("_n")), "left").select("doc_id", "text", "ranges")
-    return joined.mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    return joined.mapInArrow(bk.tidy(_cut), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
