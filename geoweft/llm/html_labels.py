@@ -28,6 +28,8 @@ def labelled_pages(n: int, seed: int) -> list[tuple[str, list[int]]]:
 class _Writer:
     def __init__(self, rng: random.Random) -> None:
         self.rng, self.out, self.labels = rng, [], []
+        #: Most words of a paragraph: some pages are short throughout.
+        self.longest = rng.choice([3, 8, 30, 90, 90])
 
     def words(self, low: int, high: int) -> str:
         r = self.rng
@@ -153,7 +155,7 @@ class _Writer:
     def paragraph(self) -> None:
         r = self.rng
         kind = r.random()
-        text = self.words(1, 90)
+        text = self.words(1, self.longest)
         if r.random() < 0.12:
             text = f"{text} " * r.randint(2, 40)
         if r.random() < 0.15:
@@ -212,7 +214,7 @@ class _Writer:
             self.open(tag, 1, names)
         if r.random() < 0.85:
             self.leaf("h1", 1, self.words(1, 14))
-        for _ in range(r.choice([0, 1, 1, 2, 3, 5, 8, 12])):
+        for _ in range(r.choice([0, 1, 1, 1, 2, 3, 5, 8, 12])):
             self.paragraph()
             if r.random() < 0.04:
                 self.noise()
@@ -223,14 +225,18 @@ class _Writer:
 
     def page(self) -> tuple[str, list[int]]:
         r = self.rng
-        self.out.append("<!DOCTYPE html>")
-        self.open("html", 0)
-        self.open("head", 0)
-        self.leaf("title", 0, self.words(1, 12))
-        for _ in range(r.randint(0, 2)):
-            self.unseen()
-        self.close("head")
-        self.open("body", 0)
+        outer = r.choice(["html", "html", "html", "html", "body", ""])
+        if outer == "html":
+            self.out.append("<!DOCTYPE html>")
+            self.open("html", 0)
+            if r.random() < 0.9:
+                self.open("head", 0)
+                self.leaf("title", 0, self.words(1, 12))
+                for _ in range(r.randint(0, 2)):
+                    self.unseen()
+                self.close("head")
+        if outer:
+            self.open("body", 0)
         if r.random() < 0.5:
             self.top()
         if r.random() < 0.8:
@@ -244,7 +250,8 @@ class _Writer:
             self.comments()
         if r.random() < 0.85:
             self.bottom()
-        if r.random() < 0.9:
+        if outer and r.random() < 0.9:
             self.close("body")
-            self.close("html")
+            if outer == "html":
+                self.close("html")
         return "".join(self.out), self.labels

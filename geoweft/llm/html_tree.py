@@ -141,8 +141,9 @@ class Page:
         """Features with those of text: amount, share of links, rights notices; own and below."""
         words, links = self.words[:], self.links[:]
         for i in range(len(words) - 1, 0, -1):
-            words[self.parent[i]] += words[i]
-            links[self.parent[i]] += links[i]
+            if self.features[i][0][4:] not in UNSEEN:
+                words[self.parent[i]] += words[i]
+                links[self.parent[i]] += links[i]
         for i, f in enumerate(self.features):
             own = self.words[i]
             f.append(f"own={min(own.bit_length(), 7)}")
@@ -161,8 +162,8 @@ class Forest:
         for page in pages:
             base = len(parent)
             for i, (p, names) in enumerate(zip(page.parent, page.described(), strict=True)):
-                parent.append(base + p if p >= 0 else -1)
                 unseen.append(names[0][4:] in UNSEEN)
+                parent.append(base + p if p >= 0 and not unseen[-1] else -1)
                 for name in names:
                     k = vocabulary.setdefault(name, len(vocabulary)) if grow else vocabulary.get(name)
                     if k is not None:
@@ -170,7 +171,7 @@ class Forest:
                         owner.append(base + i)
             self.bounds.append(len(parent))
         self.parent, self.index, self.owner = np.array(parent, np.int64), np.array(index, np.int64), np.array(owner, np.int64)
-        #: Elements that are never shown are observed, not inferred.
+        #: Elements that are never shown are observed, not inferred, and say nothing about their parents.
         self.observed = np.where(np.array(unseen, bool), -40.0, 0.0)
         level = np.zeros(len(parent), np.int64)
         for i, p in enumerate(parent):
@@ -221,7 +222,7 @@ class Model:
         return out
 
 
-def fit(pages: list[tuple[str, list[int]]], rounds: int = 400, rate: float = 0.5, decay: float = 1e-4) -> Model:
+def fit(pages: list[tuple[str, list[int]]], rounds: int = 400, rate: float = 1.0, decay: float = 1e-5) -> Model:
     """Maximum-likelihood weights from labelled pages: html, and the label of each element in order."""
     vocabulary: dict[str, int] = {}
     parsed = [Page(html) for html, _ in pages]
@@ -245,7 +246,7 @@ def fit(pages: list[tuple[str, list[int]]], rounds: int = 400, rate: float = 0.5
 
 
 @lru_cache(maxsize=1)
-def default_model(n_pages: int = 400, seed: int = 11) -> Model:
+def default_model(n_pages: int = 800, seed: int = 11) -> Model:
     """The model of the built-in labelled pages; their number is the bound of the training sample."""
     return fit(labelled_pages(n_pages, seed))
 

@@ -52,7 +52,7 @@ _MANY = 65535
 
 _CHUNK = "chunk long, dest long, hashes binary, ords binary, counts binary, doc_ids binary, has_id binary, sizes binary, signs binary"
 _REPLY = "chunk long, hashes binary, ords binary, counts binary, doc_ids binary, has_id binary, sizes binary, signs binary, freq binary"
-SETS = "doc_id long, n long, sign1 long, sign2 long, prefix int, tokens array<long>, freqs array<int>"
+SETS = "doc_id long, text_hash long, n long, sign1 long, sign2 long, prefix int, tokens array<long>, freqs array<int>"
 
 
 def _pack(sorted_hashes: np.ndarray) -> bytes:
@@ -95,7 +95,7 @@ def _chunks(words: int, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, sequences = bk.Hasher(), bk.SequenceHasher()
         part, number = TaskContext.get().partitionId(), 0
-        rows, grams, ids, n_docs, n_grams = [], [], [], 0, 0
+        rows, grams, ids, marks, n_docs, n_grams = [], [], [], [], 0, 0
 
         def flush() -> pa.RecordBatch:
             row, gram, id_ = np.concatenate(rows), np.concatenate(grams) >> _DROP, pa.chunked_array(ids).combine_chunks()
@@ -122,7 +122,7 @@ def _chunks(words: int, bits: int):
                     for name, value in zip(out, (chunk, k, _pack(distinct[a:b]), ords[a:b].tobytes(), count[a:b][many[a:b]].astype(np.uint32).tobytes()), strict=True):
                         out[name].append(value)
             posting = np.repeat(many, count)
-            values = id_.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            values = np.stack([id_.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64), np.concatenate(marks)])
             own = (chunk, -1 - chunk, distinct[many].tobytes(), row[posting].astype(np.uint16).tobytes(), count[many].astype(np.uint32).tobytes())
             for name, value in zip(out, own, strict=True):
                 out[name].append(value)
@@ -142,10 +142,11 @@ def _chunks(words: int, bits: int):
                 if n_docs and (n_docs + piece.num_rows > CHUNK_DOCS or n_grams + len(gram) > CHUNK_GRAMS):
                     yield flush()
                     number += 1
-                    rows, grams, ids, n_docs, n_grams = [], [], [], 0, 0
+                    rows, grams, ids, marks, n_docs, n_grams = [], [], [], [], 0, 0
                 rows.append(row + n_docs)
                 grams.append(gram)
                 ids.append(piece.column("doc_id"))
+                marks.append(piece.column("text_hash").to_numpy())
                 n_docs += piece.num_rows
                 n_grams += len(gram)
         if n_docs:
@@ -235,13 +236,13 @@ def _survivors(percent: int):
             order = np.lexsort((token, freq, ord_))
             token, freq = token[order].view(np.int64), freq[order]
             prefix = sizes - (percent * sizes + 99) // 100 + 1 - (sizes - shared)
-            signs = np.frombuffer(own["signs"], np.int64).reshape(2, n_docs)
+            signs, ids = (np.frombuffer(own[c], np.int64).reshape(2, n_docs) for c in ("signs", "doc_ids"))
             offsets = np.zeros(n_docs + 1, np.int32)
             np.cumsum(np.where(stays, shared, 0), out=offsets[1:])
             absent = ~stays
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(np.frombuffer(own["doc_ids"], np.int64), mask=np.frombuffer(own["has_id"], np.uint8) == 0),
+                    pa.array(ids[0], mask=np.frombuffer(own["has_id"], np.uint8) == 0), pa.array(ids[1]),
                     pa.array(sizes), pa.array(signs[0]), pa.array(signs[1]),
                     pa.array(np.where(stays, np.maximum(prefix, 0), 0).astype(np.int32)),
                     pa.ListArray.from_arrays(pa.array(offsets), pa.array(token), mask=pa.array(absent)),
@@ -258,7 +259,7 @@ def gram_sets(docs: DataFrame, words: int, percent: int) -> DataFrame:
     size = input_bytes(docs)
     bits = min(20, max(4, math.ceil(math.log2(size / RANGE_BYTES + 1))))
     n = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), (1 << bits) // 4)
-    texts = narrow(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
+    texts = narrow(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
     sent = texts.mapInArrow(bk.tidy(_chunks(words, bits)), _CHUNK).repartition(n, "dest").sortWithinPartitions("dest")
     back = sent.mapInArrow(bk.tidy(_frequencies), _REPLY).repartition(n, "chunk").sortWithinPartitions("chunk")
     return materialize(back.mapInArrow(bk.tidy(_survivors(percent)), SETS), "jaccard-sets")
@@ -352,7 +353,7 @@ def _fragments(units: DataFrame) -> DataFrame:
 
 
 def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of all rows: documents link whose sets are so similar."""
+    """(doc_id, text_hash, n_shingles, component_id) of all rows: documents link whose sets are so similar."""
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     sets = gram_sets(docs, words, percent).withColumn("cid", F.expr("IF(tokens IS NULL, NULL, xxhash64(sign1, sign2, n))"))
@@ -374,15 +375,17 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80) -> Da
     named = classes.select("cid", "first_doc").join(groups, "cid", "left").withColumn("component", F.coalesce("component", "cid"))
     least = named.groupBy("component").agg(F.min("first_doc").alias("component_id"))
     named = named.join(least, "component").select("cid", "component_id")
-    return sets.join(named, "cid", "left").select("doc_id", F.col("n").alias("n_shingles"), F.expr("IF(cid IS NULL, doc_id, component_id)").alias("component_id"))
+    return sets.join(named, "cid", "left").select("doc_id", "text_hash", F.col("n").alias("n_shingles"), F.expr("IF(cid IS NULL, doc_id, component_id)").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` without the documents whose component has a smaller id; all columns stay.
+    """``docs`` without the rows whose component has a smaller id; all columns stay.
 
-    Rows that share an id are one document and stay or go together; rows without id stay unless a
-    row with an id is in their component.
+    Rows of one component that share its least id are one document and all stay; rows without id stay
+    unless their component has an id.
     """
-    gone = jaccard_components(docs, words, percent).filter("NOT doc_id <=> component_id").select(F.col("doc_id").alias("_gone")).distinct()
+    gone = jaccard_components(docs, words, percent).filter("NOT doc_id <=> component_id")
+    gone = gone.select(F.col("doc_id").alias("_gone"), F.col("text_hash").alias("_hash")).distinct()
     inner, at = placed(docs)
-    return inner.join(gone, F.col(at["doc_id"]).cast("long").eqNullSafe(F.col("_gone")), "left_anti").toDF(*docs.columns)
+    same = F.col(at["doc_id"]).cast("long").eqNullSafe(F.col("_gone")) & (F.xxhash64(at["text"]) == F.col("_hash"))
+    return inner.join(gone, same, "left_anti").toDF(*docs.columns)

@@ -26,7 +26,7 @@ def op2_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.jaccard_components(_table(spark, sf_dir, "documents"), words=4, percent=85)
+    return jaccard.jaccard_components(_table(spark, sf_dir, "documents"), words=4, percent=85).drop("text_hash")
 
 
 def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

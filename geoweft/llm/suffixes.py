@@ -96,19 +96,24 @@ def _anchors(length: int, gram: int):
     return run
 
 
-def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The bytes of the wanted contexts, with the leading bytes of the suffix in order-keeping integers."""
-    for batch in bk.slices(batches, "text"):
-        out: dict[str, list] = {c: [] for c in ("lead0", "lead1", "key", "context", "anchor", "bytes")}
-        for text, wanted in zip(batch.column("text").to_pylist(), batch.column("wanted").to_pylist(), strict=True):
-            data = (text or "").encode()
-            for w in wanted:
-                piece = data[w["first"] : w["first"] + w["size"]]
-                lead = [int.from_bytes(piece[w["anchor"] + k : w["anchor"] + k + 8], "big") - (1 << 63) for k in (0, 8)]
-                for c, v in zip(out, (*lead, w["key"], w["context"], w["anchor"], piece), strict=True):
-                    out[c].append(v)
-        types = [pa.int64()] * 4 + [pa.int32(), pa.binary()]
-        yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), types, strict=True)], names=list(out))
+def _contexts(gram: int):
+    """The bytes of the wanted contexts, with the gram's leading bytes in order-keeping integers."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in bk.slices(batches, "text"):
+            out: dict[str, list] = {c: [] for c in ("lead0", "lead1", "key", "context", "anchor", "bytes")}
+            for text, wanted in zip(batch.column("text").to_pylist(), batch.column("wanted").to_pylist(), strict=True):
+                data = (text or "").encode()
+                for w in wanted:
+                    piece = data[w["first"] : w["first"] + w["size"]]
+                    head = piece[w["anchor"] : w["anchor"] + gram][:16].ljust(16, b"\0")
+                    lead = [int.from_bytes(head[k : k + 8], "big") - (1 << 63) for k in (0, 8)]
+                    for c, v in zip(out, (*lead, w["key"], w["context"], w["anchor"], piece), strict=True):
+                        out[c].append(v)
+            types = [pa.int64()] * 4 + [pa.int32(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), types, strict=True)], names=list(out))
+
+    return run
 
 
 def multikey_quicksort(words: np.ndarray) -> np.ndarray:
@@ -253,7 +258,7 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
     mixed = kinds.filter("kinds > 1")
     wanted = mixed.select("at.text_hash", "at.n_bytes", F.struct("at.first", "at.size", "at.anchor", "key", "context").alias("w")).groupBy("text_hash", "n_bytes").agg(F.collect_list("w").alias("wanted"))
     fetched = texts.join(wanted, ["text_hash", "n_bytes"]).select("text", "wanted")
-    suffixes = materialize(fetched.mapInArrow(bk.tidy(_contexts), "lead0 long, lead1 long, key long, context long, anchor int, bytes binary"), "suffixes")
+    suffixes = materialize(fetched.mapInArrow(bk.tidy(_contexts(gram)), "lead0 long, lead1 long, key long, context long, anchor int, bytes binary"), "suffixes")
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), suffixes.count() // BUCKET + 1)
     bits = max(4, buckets.bit_length() - 1)
     sorted_ = materialize(
