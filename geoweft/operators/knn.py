@@ -25,9 +25,16 @@ def neighborhoods(points: DataFrame, queries: DataFrame, k: int, *, keys: Sequen
     """As ``knn_join``, with the coordinates of both the query and the neighbour."""
     names = require_same_axes("query_knn", points, queries, "query_points")
     asked = as_double(queries.select(*dict.fromkeys((*keys, "b", *names))), names)
+    n_points = None
     if strategy == "auto":
-        strategy = "brute" if plans.pair_count(points, queries) <= plans.BRUTE_PAIRS else "grid"
-    found = {"brute": plans.brute, "grid": plans.grid}[strategy](points, asked, k, names, tuple(keys))
+        n_pairs, n_points = plans.pair_count(points, queries)
+        strategy = "brute" if n_pairs <= plans.BRUTE_PAIRS else "grid"
+    if strategy == "brute":
+        found = plans.brute(points, asked, k, names, tuple(keys), n_points)
+    elif strategy == "grid":
+        found = plans.grid(points, asked, k, names, tuple(keys))
+    else:
+        raise ValueError("query_knn: strategy must be 'auto', 'brute' or 'grid'")
     return found.select(*asked.columns, F.col("rank").cast("int").alias("rank"), "pid", *(f"n{a}" for a in names), "dist_sq")
 
 

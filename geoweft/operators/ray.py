@@ -13,6 +13,8 @@ from .index import vertex_names
 
 # Fixed value: eight units in the last place of a float32.
 EPS = 8 * 1.1920928955078125e-07
+#: Primitives up to which they are sent to every task.
+BROADCAST_PRIMITIVES = 200_000
 
 
 def _segment(o, d, v) -> tuple[Column, Column]:
@@ -33,7 +35,21 @@ def _triangle(o, d, v) -> tuple[Column, Column]:
     return t, ok & (u >= -EPS) & (w >= -EPS) & (u + w <= 1 + EPS)
 
 
-def candidates(rays: DataFrame, primitives: DataFrame, kind: str, t_min: float, t_max: float) -> DataFrame:
+def _paired(rays: DataFrame, primitives: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rays with the primitives of their sample.
+
+    Rays are dealt out by their keys, which is also what the minimum over a ray needs.  Counted primitives
+    up to BROADCAST_PRIMITIVES go to every task; more are joined by sample and block of rays.
+    """
+    spark = rays.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    if primitives.count() <= BROADCAST_PRIMITIVES:
+        return rays.repartition(parts, *keys).join(F.broadcast(primitives), "b")
+    copies = primitives.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    return rays.withColumn("_block", F.pmod(F.xxhash64(*keys), F.lit(parts)).cast("int")).join(copies, ["b", "_block"]).drop("_block")
+
+
+def candidates(rays: DataFrame, primitives: DataFrame, kind: str, t_min: float, t_max: float, keys: Sequence[str] = ("b", "ray_id")) -> DataFrame:
     """Rays joined with the primitives of their sample that they hit, with ``t``; boxes are tested first."""
     vertices = vertex_names(kind)
     names = "xyz"[: len(vertices[0])]
@@ -43,7 +59,7 @@ def candidates(rays: DataFrame, primitives: DataFrame, kind: str, t_min: float,
     pad = [2 * EPS * (b - a) + 1e-12 * F.greatest(F.abs(a), F.abs(b)) for a, b in zip(lo, hi, strict=True)]
     near = ray_meets_box(o, d, sub(lo, pad), add(hi, pad), F.lit(0.0), F.lit(math.inf))
     t, hit = (_segment if kind == "segment" else _triangle)(o, d, v)
-    pairs = rays.join(primitives.select("b", "prim_id", *sum(vertices, [])), "b").filter(near)
+    pairs = _paired(rays, primitives.select("b", "prim_id", *sum(vertices, [])), keys).filter(near)
     return pairs.withColumn("t", t).filter(hit & (F.col("t") >= t_min) & (F.col("t") <= t_max))
 
 
@@ -55,7 +71,7 @@ def raytrace(rays: DataFrame, primitives: DataFrame, kind: str, *, t_min: float
     if not math.isfinite(t_min) or math.isnan(t_max) or t_min < 0 or t_max <= t_min:
         raise ValueError("RayBVH.trace: expected finite 0 <= t_min < t_max")
     names = "xyz"[: len(vertex_names(kind)[0])]
-    found = candidates(rays, primitives, kind, t_min, t_max).select(*keys, "prim_id", "t")
+    found = candidates(rays, primitives, kind, t_min, t_max, keys).select(*keys, "prim_id", "t")
     found = found.withColumn("least", F.expr(f"min(t) OVER (PARTITION BY {', '.join(keys)})"))
     found = found.filter(F.col("t") <= F.col("least") + EPS * F.greatest(F.lit(1.0), F.abs("least")))
     best = found.groupBy(*keys).agg(F.min(F.struct("prim_id", "t")).alias("best"))

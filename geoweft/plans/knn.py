@@ -18,6 +18,8 @@ from ..functions.geometry import cols, squared_distance
 
 #: Candidate pairs up to which ``auto`` takes the brute strategy.
 BRUTE_PAIRS = 20_000_000
+#: Points up to which a cloud is sent to every task.
+BROADCAST_POINTS = 500_000
 #: Points a cell aimed at, cells an axis at most, and the factor from one grid to the next.
 CELL_POINTS, MAX_CELLS, COARSER = 8, 1024, 4
 
@@ -32,14 +34,30 @@ def _targets(points: DataFrame, names: Sequence[str]) -> DataFrame:
     return points.select("b", "pid", *(F.col(a).cast("double").alias(f"n{a}") for a in names))
 
 
-def brute(points: DataFrame, queries: DataFrame, k: int, names: Sequence[str], keys: Sequence[str]) -> DataFrame:
-    pairs = queries.join(_targets(points, names), "b").withColumn("dist_sq", squared_distance(cols(names), cols(names, "n")))
-    return ranked(pairs, keys, k)
-
-
-def pair_count(points: DataFrame, queries: DataFrame) -> int:
-    sizes = points.groupBy("b").agg(F.count(F.lit(1)).alias("n")).join(queries.groupBy("b").agg(F.count(F.lit(1)).alias("m")), "b")
-    return sizes.agg(F.sum(F.col("n") * F.col("m")).alias("t")).first()["t"] or 0
+def brute(points: DataFrame, queries: DataFrame, k: int, names: Sequence[str], keys: Sequence[str], n_points: int | None = None) -> DataFrame:
+    """All pairs of a sample.
+
+    Queries are dealt out by their keys, which is also what the rank needs, so there is no other shuffle
+    of candidates.  A counted cloud of up to BROADCAST_POINTS points goes to every task; a larger one is
+    joined by sample and block of queries, so that one sample is still many tasks.
+    """
+    spark = queries.sparkSession
+    found = _targets(points, names)
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    if n_points is not None and n_points <= BROADCAST_POINTS:
+        pairs = queries.repartition(parts, *keys).join(F.broadcast(found), "b")
+    else:
+        block = F.pmod(F.xxhash64(*keys), F.lit(parts)).cast("int")
+        copies = found.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+        pairs = queries.withColumn("_block", block).join(copies, ["b", "_block"]).drop("_block")
+    return ranked(pairs.withColumn("dist_sq", squared_distance(cols(names), cols(names, "n"))), keys, k)
+
+
+def pair_count(points: DataFrame, queries: DataFrame) -> tuple[int, int]:
+    """Candidate pairs of the brute strategy, and points."""
+    sizes = points.groupBy("b").agg(F.count(F.lit(1)).alias("n")).join(queries.groupBy("b").agg(F.count(F.lit(1)).alias("m")), "b", "left")
+    row = sizes.agg(F.sum(F.col("n") * F.coalesce("m", F.lit(0))).alias("t"), F.sum("n").alias("n")).first()
+    return row["t"] or 0, row["n"] or 0
 
 
 def _grid(points: DataFrame, names: Sequence[str]) -> DataFrame:
