@@ -374,7 +374,8 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80) -> Da
     groups = components(links).select(F.col("node").alias("cid"), "component")
     named = classes.select("cid", "first_doc").join(groups, "cid", "left").withColumn("component", F.coalesce("component", "cid"))
     least = named.groupBy("component").agg(F.min("first_doc").alias("component_id"))
-    named = named.join(least, "component").select("cid", "component_id")
+    # a stored side lets adaptive execution split the copies of one set on the other
+    named = materialize(named.join(least, "component").select("cid", "component_id"), "named")
     return sets.join(named, "cid", "left").select("doc_id", "text_hash", F.col("n").alias("n_shingles"), F.expr("IF(cid IS NULL, doc_id, component_id)").alias("component_id"))
 
 
@@ -386,6 +387,7 @@ def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """
     gone = jaccard_components(docs, words, percent).filter("NOT doc_id <=> component_id")
     gone = gone.select(F.col("doc_id").alias("_gone"), F.col("text_hash").alias("_hash")).distinct()
+    gone = materialize(gone, "gone")
     inner, at = placed(docs)
     same = F.col(at["doc_id"]).cast("long").eqNullSafe(F.col("_gone")) & (F.xxhash64(at["text"]) == F.col("_hash"))
     return inner.join(gone, same, "left_anti").toDF(*docs.columns)

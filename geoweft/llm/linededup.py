@@ -181,7 +181,8 @@ def duplicate_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     pairs = pairs.select("line", "words", "other_words", F.col("near.rank").alias("near_rank"), F.col("near.line_no").alias("near_line_no"))
     good = pairs.mapInArrow(_verified, "line long, near_rank long, near_line_no int")
     best = firsts.join(good, "line", "left").select("line", F.col("first.rank").alias("f_rank"), F.col("first.line_no").alias("f_line"), "near_rank", "near_line_no")
-    out = lines.join(best, "line").withColumn("later", F.struct("rank", "line_no") > F.struct(F.col("f_rank").alias("rank"), F.col("f_line").alias("line_no")))
+    # a stored side lets adaptive execution split the occurrences of one line on the other
+    out = lines.join(materialize(best, "best"), "line").withColumn("later", F.struct("rank", "line_no") > F.struct(F.col("f_rank").alias("rank"), F.col("f_line").alias("line_no")))
     out = out.filter("later OR near_rank IS NOT NULL")
     to_id = lambda c: F.when(F.col(c) != LAST, F.col(c))
     earlier = "near_rank IS NOT NULL"
@@ -197,7 +198,7 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     gone = duplicate_lines(docs, min_words).groupBy(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h")).agg(F.collect_set("line_no").alias("_gone"))
     inner, at = placed(docs)
     hashed = inner.withColumn("_t", F.xxhash64(at["text"]))
-    joined = hashed.join(gone, F.col(at["doc_id"]).cast("long").eqNullSafe(F.col("_d")) & (F.col("_t") == F.col("_h")), "left").drop("_d", "_h", "_t")
+    joined = hashed.join(materialize(gone, "gone"), F.col(at["doc_id"]).cast("long").eqNullSafe(F.col("_d")) & (F.col("_t") == F.col("_h")), "left").drop("_d", "_h", "_t")
     names, text = inner.columns, at["text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

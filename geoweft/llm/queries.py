@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_tree, jaccard, licences, linededup, packing, quality, sharding, suffixes, warc
+from . import decontaminate, html_tree, jaccard, licences, linededup, packing, quality, sharding, sql, suffixes, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -77,5 +77,9 @@ QUERIES: dict[str, Query] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op2_licences": licences.oracle(),
+    "op3_ngram_jaccard": sql.NGRAM_JACCARD,
+    "op6_quality": sql.QUALITY,
+    "op8_decontamination": sql.DECONTAMINATION,
+    "op9_line_dedup": sql.LINE_DEDUP,
     "op10_warc_revisits": warc.ORACLE,
 }

@@ -257,7 +257,8 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
     whole = kinds.filter("n > 1").select("key", "context", F.lit(0).alias("a"), F.col("at.size").alias("b"))
     mixed = kinds.filter("kinds > 1")
     wanted = mixed.select("at.text_hash", "at.n_bytes", F.struct("at.first", "at.size", "at.anchor", "key", "context").alias("w")).groupBy("text_hash", "n_bytes").agg(F.collect_list("w").alias("wanted"))
-    fetched = texts.join(wanted, ["text_hash", "n_bytes"]).select("text", "wanted")
+    # a stored side lets adaptive execution split the copies of one text on the other
+    fetched = texts.join(materialize(wanted, "wanted"), ["text_hash", "n_bytes"]).select("text", "wanted")
     suffixes = materialize(fetched.mapInArrow(bk.tidy(_contexts(gram)), "lead0 long, lead1 long, key long, context long, anchor int, bytes binary"), "suffixes")
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), suffixes.count() // BUCKET + 1)
     bits = max(4, buckets.bit_length() - 1)
@@ -292,7 +293,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def dedup_suffixes(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """All rows: doc_id, n_bytes, n_removed, n_spans and ``kept``, the bytes left (a cut may split a character)."""
-    ranges = repeated_ranges(docs, length, gram).select(F.col("text_hash").alias("_h"), F.col("n_bytes").alias("_n"), "ranges")
+    ranges = materialize(repeated_ranges(docs, length, gram), "ranges").select(F.col("text_hash").alias("_h"), F.col("n_bytes").alias("_n"), "ranges")
     texts = narrow(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("_t"), F.octet_length("text").cast("long").alias("_b"))
     joined = texts.join(ranges, (F.col("_t") == F.col("_h")) & (F.col("_b") == F.col("_n")), "left").select("doc_id", "text", "ranges")
     return joined.mapInArrow(bk.tidy(_cut), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
