@@ -5,8 +5,8 @@ it; the state and the matched length say, at each word, the longest run of words
 some item holds.  A run of ``window`` words (or a whole shorter item) is an occurrence; its words are
 hit.
 
-The automaton is built from blocks of items of bounded size; with more blocks each batch of rows is
-streamed through several automata in turn, without a shuffle.  Words that no item holds reset the automaton, so stretches whose word pairs
+An automaton is built from a block of items of bounded size, so that it fits a worker.  A benchmark of one
+block is one pass over the rows without a shuffle; more blocks are as many passes, whose hits are merged.  Words that no item holds reset the automaton, so stretches whose word pairs
 are in no item are skipped by a vectorised test before the automaton runs.
 
 Edge cases: null or empty texts and items have no words and match nothing; items with equal ids count
@@ -25,16 +25,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytekit as bk
-from .store import narrow, placed
+from .store import materialize, narrow, placed
 
 WINDOW = 8
 #: Words of benchmark items in one automaton; what is sent to the executors is bounded by it.
-BLOCK_WORDS = 1_000_000
+BLOCK_WORDS = 200_000
 #: Hit spans of so many words are removed; a document of which more than this share is hit is dropped.
 MAX_SPAN, MAX_COVERAGE = 8, 0.5
 
-#: Automata that a worker keeps.
-MAX_CACHED = 8
+#: A worker keeps one automaton.
 _CACHE: dict[str, "Automaton"] = {}
 
 
@@ -187,24 +186,64 @@ def _blocks(benchmark: DataFrame, block_words: int) -> list[DataFrame]:
     return [items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k) for k in range(n)]
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """All rows: doc_id, n_words, ``hit_spans`` (merged word ranges) and ``hit_items``."""
-    rows = narrow(docs, "doc_id", "text")
-    passes = _passes(docs.sparkSession, benchmark, window, block_words)
+SPANS = "array<struct<a:int,b:int>>"
+FOUND = f"doc_id long, text_hash long, n_words long, hit_spans {SPANS}, hit_items array<string>"
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    return narrow(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
+
+
+def _scanned(rows: DataFrame, one: tuple) -> DataFrame:
+    """The hits of one block in all rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, hits in _hits(batches, "text", passes):
+        for batch, hits in _hits(batches, "text", one):
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column("doc_id"), pa.array([h[0] for h in hits], pa.int64()),
-                    pa.array([[{"a": a, "b": b} for a, b in h[1]] for h in hits], pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))),
-                    pa.array([h[2] for h in hits], pa.list_(pa.string())),
+                    batch.column("doc_id"), batch.column("text_hash"), pa.array([h[0] for h in hits], pa.int64()),
+                    _ranges([h[1] for h in hits]), pa.array([h[2] for h in hits], pa.list_(pa.string())),
                 ],
-                names=["doc_id", "n_words", "hit_spans", "hit_items"],
+                names=["doc_id", "text_hash", "n_words", "hit_spans", "hit_items"],
             )
 
-    schema = rows.select("doc_id", F.lit(0).cast("long").alias("n_words"), F.lit(None).cast("array<struct<a:int,b:int>>").alias("hit_spans"), F.lit(None).cast("array<string>").alias("hit_items")).schema
-    return rows.mapInArrow(bk.tidy(run), schema)
+    return rows.mapInArrow(bk.tidy(run), FOUND)
+
+
+def _ranges(spans: list[list[tuple[int, int]]]) -> pa.Array:
+    return pa.array([[{"a": a, "b": b} for a, b in own] for own in spans], pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())])))
+
+
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The hits of several blocks as one."""
+    for batch in batches:
+        spans = [merged([(x["a"], x["b"]) for x in own]) for own in batch.column("hit_spans").to_pylist()]
+        items = [sorted(set(own)) for own in batch.column("hit_items").to_pylist()]
+        new = {"hit_spans": _ranges(spans), "hit_items": pa.array(items, pa.list_(pa.string()))}
+        names = batch.schema.names
+        yield pa.RecordBatch.from_arrays([new.get(c, batch.column(c)) for c in names], names=names)
+
+
+def _over_blocks(rows: DataFrame, passes: list[tuple]) -> DataFrame:
+    """The hits of texts that have any, from a pass over the rows for each block."""
+    parts = [materialize(_scanned(rows, one).filter("size(hit_spans) > 0").dropDuplicates(["doc_id", "text_hash"]), "hits") for one in passes]
+    every = parts[0]
+    for part in parts[1:]:
+        every = every.unionByName(part)
+    flat = lambda c: F.flatten(F.collect_list(c)).alias(c)
+    found = every.groupBy("doc_id", "text_hash").agg(F.first("n_words").alias("n_words"), flat("hit_spans"), flat("hit_items"))
+    return materialize(found.mapInArrow(bk.tidy(_merged), FOUND), "hits")
+
+
+def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """All rows: doc_id, n_words, ``hit_spans`` (merged word ranges) and ``hit_items``."""
+    rows, passes = _keyed(docs), _passes(docs.sparkSession, benchmark, window, block_words)
+    if len(passes) == 1:
+        return _scanned(rows, passes[0]).drop("text_hash")
+    found = _over_blocks(rows, passes).select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h"), F.col("hit_spans").alias("_s"), F.col("hit_items").alias("_i"))
+    counted = _scanned(rows, passes[0]).select("doc_id", "text_hash", "n_words")
+    joined = counted.join(found, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("text_hash") == F.col("_h")), "left")
+    return joined.select("doc_id", "n_words", F.coalesce("_s", F.array().cast(SPANS)).alias("hit_spans"), F.coalesce("_i", F.array().cast("array<string>")).alias("hit_items"))
 
 
 def _passes(spark, benchmark: DataFrame, window: int, block_words: int) -> list[tuple]:
@@ -215,13 +254,12 @@ def _passes(spark, benchmark: DataFrame, window: int, block_words: int) -> list[
 
 def _automaton(items, key: str, window: int) -> Automaton:
     if key not in _CACHE:
-        if len(_CACHE) >= MAX_CACHED:
-            _CACHE.clear()
+        _CACHE.clear()
         _CACHE[key] = Automaton([(name, words_of(text)) for name, text in items.value], window)
     return _CACHE[key]
 
 
-def _hits(batches: Iterator[pa.RecordBatch], text: str, passes: list[tuple]) -> Iterator[tuple[pa.RecordBatch, list[tuple[int, list, list]]]]:
+def _hits(batches: Iterator[pa.RecordBatch], text: str, one: tuple) -> Iterator[tuple[pa.RecordBatch, list[tuple[int, list, list]]]]:
     """Batches with each row's number of words, merged hit ranges and items."""
     hasher = bk.Hasher()
     for batch in bk.slices(batches, text):
@@ -230,16 +268,15 @@ def _hits(batches: Iterator[pa.RecordBatch], text: str, passes: list[tuple]) ->
         start, end, wb = bk.runs(raw, bounds, bk.ALNUM)
         hashes = bk.word_hashes(raw, start, end, hasher)
         touched: dict[int, tuple[list, set]] = {}
-        for one in passes:
-            automaton = _automaton(*one)
-            for a, b in automaton.candidates(hashes, wb).tolist():
-                found, which = automaton.stream([raw[i:j].tobytes() for i, j in zip(start[a:b].tolist(), end[a:b].tolist(), strict=True)])
-                if found:
-                    row = int(np.searchsorted(wb, a, "right")) - 1
-                    at = a - int(wb[row])
-                    own = touched.setdefault(row, ([], set()))
-                    own[0].extend((at + x, at + y) for x, y in found)
-                    own[1].update(automaton.items[k] for k in which)
+        automaton = _automaton(*one)
+        for a, b in automaton.candidates(hashes, wb).tolist():
+            found, which = automaton.stream([raw[i:j].tobytes() for i, j in zip(start[a:b].tolist(), end[a:b].tolist(), strict=True)])
+            if found:
+                row = int(np.searchsorted(wb, a, "right")) - 1
+                at = a - int(wb[row])
+                own = touched.setdefault(row, ([], set()))
+                own[0].extend((at + x, at + y) for x, y in found)
+                own[1].update(automaton.items[k] for k in which)
         rows = [(n, [], []) for n in np.diff(wb).tolist()]
         for row, (found, which) in touched.items():
             rows[row] = (rows[row][0], merged(found), sorted(which))
@@ -257,7 +294,22 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, max_span: int = MAX_SPAN, max_coverage: float = MAX_COVERAGE) -> DataFrame:
+def _without(text: str, spans: list[tuple[int, int]]) -> str:
+    """A text without ranges of its words and the separators up to the next word."""
+    data = text.encode()
+    raw = bk.LOWER[np.frombuffer(data, dtype=np.uint8)]
+    start, _, _ = bk.runs(raw, np.array([0, len(raw)]), bk.ALNUM)
+    edge = np.append(start, len(data))
+    out, place = [], 0
+    for a, b in spans:
+        out.append(data[place : edge[a]])
+        place = int(edge[b])
+    return b"".join([*out, data[place:]]).decode()
+
+
+def decontaminate(
+    docs: DataFrame, benchmark: DataFrame, max_span: int = MAX_SPAN, max_coverage: float = MAX_COVERAGE, block_words: int = BLOCK_WORDS
+) -> DataFrame:
     """Documents without their contaminated spans; all columns stay.
 
     A hit span of ``max_span`` words or more (a whole item, if that is shorter) is cut out of the text with
@@ -265,27 +317,33 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, max_span: int = MAX_SPA
     """
     inner, at = placed(docs)
     names, text = inner.columns, at["text"]
-    passes = _passes(docs.sparkSession, benchmark, max_span, BLOCK_WORDS)
+    passes = _passes(docs.sparkSession, benchmark, max_span, block_words)
+    known = len(passes) > 1
+    rows = inner
+    if known:
+        found = _over_blocks(_keyed(docs), passes).select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h"), F.col("n_words").alias("_n"), F.col("hit_spans").alias("_s"))
+        same = F.col(at["doc_id"]).cast("long").eqNullSafe(F.col("_d")) & (F.xxhash64(text) == F.col("_h"))
+        rows = inner.join(found, same, "left").drop("_d", "_h")
+
+    def hits(batches):
+        if not known:
+            yield from _hits(batches, text, passes[0])
+            return
+        for batch in batches:
+            spans = [[(x["a"], x["b"]) for x in own or ()] for own in batch.column("_s").to_pylist()]
+            yield batch, [(n or 0, own, []) for n, own in zip(batch.column("_n").to_pylist(), spans, strict=True)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, hits in _hits(batches, text, passes):
+        for batch, found in hits(batches):
             texts, stays = batch.column(text).to_pylist(), []
-            for i, (n, spans, _) in enumerate(hits):
+            for i, (n, spans, _) in enumerate(found):
                 stays.append(sum(b - a for a, b in spans) <= max_coverage * n)
                 if spans and stays[-1]:
-                    data = texts[i].encode()
-                    raw = bk.LOWER[np.frombuffer(data, dtype=np.uint8)]
-                    start, _, _ = bk.runs(raw, np.array([0, len(raw)]), bk.ALNUM)
-                    edge = np.append(start, len(data))
-                    out, place = [], 0
-                    for a, b in spans:
-                        out.append(data[place : edge[a]])
-                        place = int(edge[b])
-                    texts[i] = b"".join([*out, data[place:]]).decode()
+                    texts[i] = _without(texts[i], spans)
             whole = pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == text else batch.column(c) for c in names], names=names)
             yield whole.filter(pa.array(stays, pa.bool_()))
 
-    return inner.mapInArrow(bk.tidy(run), inner.schema).toDF(*docs.columns)
+    return rows.mapInArrow(bk.tidy(run), inner.schema).toDF(*docs.columns)
 
 
 def digest(found: DataFrame) -> DataFrame:

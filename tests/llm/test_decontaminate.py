@@ -21,9 +21,10 @@ def test_scan(docs, corpus, benchmark, items):
 
 
 def test_texts(docs, corpus, benchmark, items):
-    got = {r.doc_id: r.text for r in dc.decontaminate(docs, benchmark).collect()}
     want = {i: plain(t, items) for i, t, _ in corpus}
-    assert {i: t or "" for i, t in got.items()} == {i: t for i, t in want.items() if t is not None}
+    for block_words in (5, dc.BLOCK_WORDS):
+        got = {r.doc_id: r.text for r in dc.decontaminate(docs, benchmark, block_words=block_words).collect()}
+        assert {i: t or "" for i, t in got.items()} == {i: t for i, t in want.items() if t is not None}
     assert any(t != got[i] for i, t, _ in corpus if i in got) and len(got) < len(corpus)
 
 
