@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -63,6 +65,60 @@ def candidates(rays: DataFrame, primitives: DataFrame, kind: str, t_min: float,
     return pairs.withColumn("t", t).filter(hit & (F.col("t") >= t_min) & (F.col("t") <= t_max))
 
 
+def _nearest_segments(rays: DataFrame, primitives: DataFrame, t_min: float, t_max: float, keys: Sequence[str]) -> DataFrame:
+    """(keys, best) of the rays that hit: all pairs of a sample in array blocks, in the operations of ``_segment``."""
+    spark = rays.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    table = primitives.toPandas().sort_values("prim_id", kind="stable")
+    sent = spark.sparkContext.broadcast({b: (own["prim_id"].to_numpy(np.int64), own[["x0", "y0", "x1", "y1"]].to_numpy(np.float64).T.copy()) for b, own in table.groupby("b")})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        samples = {}
+        for b, (ids, (x0, y0, x1, y1)) in sent.value.items():
+            ex, ey = x1 - x0, y1 - y0
+            samples[b] = ids, x0, y0, ex, ey, ex * ex + ey * ey, len(np.unique(ids)) < len(ids)
+        for batch in batches:
+            ox, oy, dx, dy = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.float64)[:, None] for c in ("ox", "oy", "dx", "dy"))
+            members = {}
+            for i, b in enumerate(batch.column("b").to_pylist()):
+                members.setdefault(b, []).append(i)
+            rows, prim, at = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+            for b in members.keys() & samples.keys():
+                ids, x0, y0, ex, ey, size_e, repeated = samples[b]
+                own, step = np.array(members[b]), max(1, 65536 // len(ids))
+                for k in range(0, len(own), step):
+                    r = own[k : k + step]
+                    p, q, v, w = ox[r], oy[r], dx[r], dy[r]
+                    with np.errstate(all="ignore"):
+                        size, den, ax, ay = (v * v + w * w) * size_e, v * ey - w * ex, x0 - p, y0 - q
+                        t, u = (ax * ey - ay * ex) / den, (ax * w - ay * v) / den
+                        good = (size > 0) & (np.abs(den) > EPS * np.sqrt(size)) & (u >= -EPS) & (u <= 1 + EPS) & (t >= t_min) & (t <= t_max)
+                        t = np.where(good, t, np.inf)
+                        least = t.min(axis=1, keepdims=True)
+                        good &= t <= least + EPS * np.maximum(1.0, np.abs(least))
+                    first = good.argmax(axis=1)
+                    hit = good[np.arange(len(r)), first]
+                    # of primitives with the same id the nearest counts
+                    best = np.where(good & (ids == ids[first][:, None]), t, np.inf).min(axis=1) if repeated else t[np.arange(len(r)), first]
+                    rows.append(r[hit])
+                    prim.append(ids[first][hit])
+                    at.append(best[hit])
+            take = pa.array(np.concatenate(rows))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(take) for c in keys), pa.array(np.concatenate(prim)), pa.array(np.concatenate(at))], names=[*keys, "prim_id", "t"])
+
+    asked = rays.select(*dict.fromkeys([*keys, "b", "ox", "oy", "dx", "dy"])).repartition(parts, *keys)
+    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in asked.select(*keys).schema)
+    return asked.mapInArrow(run, f"{types}, prim_id long, t double").groupBy(*keys).agg(F.min(F.struct("prim_id", "t")).alias("best"))
+
+
+def _nearest(rays: DataFrame, primitives: DataFrame, kind: str, t_min: float, t_max: float, keys: Sequence[str]) -> DataFrame:
+    """(keys, best) of the rays that hit, as pairs of rows."""
+    found = candidates(rays, primitives, kind, t_min, t_max, keys).select(*keys, "prim_id", "t")
+    found = found.withColumn("least", F.expr(f"min(t) OVER (PARTITION BY {', '.join(keys)})"))
+    found = found.filter(F.col("t") <= F.col("least") + EPS * F.greatest(F.lit(1.0), F.abs("least")))
+    return found.groupBy(*keys).agg(F.min(F.struct("prim_id", "t")).alias("best"))
+
+
 def raytrace(rays: DataFrame, primitives: DataFrame, kind: str, *, t_min: float = 1e-7, t_max: float = math.inf, keys: Sequence[str] = ("b", "ray_id")) -> DataFrame:
     """(keys, prim_id, t, p*, hit) of all rays; a miss has prim_id -1, t infinite and points NaN.
 
@@ -71,10 +127,11 @@ def raytrace(rays: DataFrame, primitives: DataFrame, kind: str, *, t_min: float
     if not math.isfinite(t_min) or math.isnan(t_max) or t_min < 0 or t_max <= t_min:
         raise ValueError("RayBVH.trace: expected finite 0 <= t_min < t_max")
     names = "xyz"[: len(vertex_names(kind)[0])]
-    found = candidates(rays, primitives, kind, t_min, t_max, keys).select(*keys, "prim_id", "t")
-    found = found.withColumn("least", F.expr(f"min(t) OVER (PARTITION BY {', '.join(keys)})"))
-    found = found.filter(F.col("t") <= F.col("least") + EPS * F.greatest(F.lit(1.0), F.abs("least")))
-    best = found.groupBy(*keys).agg(F.min(F.struct("prim_id", "t")).alias("best"))
+    own = primitives.select("b", "prim_id", *sum(vertex_names(kind), []))
+    if kind == "segment" and own.count() <= BROADCAST_PRIMITIVES:
+        best = _nearest_segments(rays, own, t_min, t_max, keys)
+    else:
+        best = _nearest(rays, primitives, kind, t_min, t_max, keys)
     out = rays.join(best, list(keys), "left")
     t, hit = F.col("best.t"), F.col("best").isNotNull()
     place = add(cols([f"o{a}" for a in names]), scale(cols([f"d{a}" for a in names]), t))

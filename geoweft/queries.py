@@ -358,6 +358,7 @@ def fps_approximate(spark: SparkSession, d: str) -> DataFrame:
 _EPS = 8 * 1.1920928955078125e-07
 _RAYS2 = f"ry AS (SELECT 0 AS b, vec_id AS ray_id, {_e(4, 'ox oy dx dy')} FROM embeddings)"
 _RAYS3 = f"ry AS (SELECT 0 AS b, vec_id AS ray_id, {_e(9, 'ox oy oz dx dy dz')} FROM embeddings)"
+#: Only the SQL of the segment queries stops at this id; the queries themselves take all segments.
 FEW = 40
 
 
@@ -374,7 +375,7 @@ _SEGMENT_HITS = _hit_sql(f"""pr AS (SELECT *, x1 - x0 AS ex, y1 - y0 AS ey, x0 -
 
 @_query(f"WITH {_RAYS2}, {_SEGMENTS.replace('FROM embeddings', f'FROM embeddings WHERE vec_id < {FEW}')}, {_SEGMENT_HITS} SELECT ry.b, ry.ray_id, coalesce(g.prim_id, -1) AS prim_id, round(g.t, 6) + 0.0 AS t, round(ox + g.t * dx, 6) + 0.0 AS px, round(oy + g.t * dy, 6) + 0.0 AS py, g IS NOT NULL AS hit FROM ry LEFT JOIN pick USING (ray_id)")
 def rays_segments(spark: SparkSession, d: str) -> DataFrame:
-    out = ray.raytrace(tables.rays(spark, d, "segment"), tables.primitives(spark, d, "segment", FEW), "segment")
+    out = ray.raytrace(tables.rays(spark, d, "segment"), tables.primitives(spark, d, "segment"), "segment")
     return _shown(out, "xy")
 
 
@@ -448,7 +449,7 @@ def mls_vjp_features(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _ray_vjp(spark: SparkSession, d: str, kind: str) -> tuple[DataFrame, DataFrame]:
-    rays, prims = tables.rays(spark, d, kind), tables.primitives(spark, d, kind, FEW if kind == "segment" else None)
+    rays, prims = tables.rays(spark, d, kind), tables.primitives(spark, d, kind)
     names = "xy" if kind == "segment" else "xyz"
     hits = ray.raytrace(rays, prims, kind)
     upstream = rays.select("b", "ray_id", F.lit(1.0).alias("gt"), *(F.lit(0.5).alias(f"gp{a}") for a in names))

@@ -36,11 +36,10 @@ def with_heads(df: DataFrame, heads: int = 3, shift: float = 0.01) -> DataFrame:
     return out.withColumn("f", F.expr("transform(f, v -> v * (1 + h))")) if "f" in df.columns else out
 
 
-def primitives(spark: SparkSession, folder: str, kind: str, most: int | None = None) -> DataFrame:
-    """Segments or triangles from the first elements of the vectors, one sample; ``most`` keeps the lowest ids."""
+def primitives(spark: SparkSession, folder: str, kind: str) -> DataFrame:
+    """Segments or triangles from the first elements of the vectors, one sample."""
     names = ["x0", "y0", "x1", "y1"] if kind == "segment" else [f"{a}{v}" for v in range(3) for a in "xyz"]
-    out = vector_columns(read(spark, folder, "embeddings"), {"b": "0", "prim_id": "cast(vec_id AS bigint)"}, "embedding", names, 0)
-    return out if most is None else out.filter(F.col("prim_id") < most)
+    return vector_columns(read(spark, folder, "embeddings"), {"b": "0", "prim_id": "cast(vec_id AS bigint)"}, "embedding", names, 0)
 
 
 def rays(spark: SparkSession, folder: str, kind: str) -> DataFrame:
