@@ -25,8 +25,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines within one word edit of an earlier line go, and so do documents that have no word left."""
-    return _counted(linededup.dedup_lines(docs).filter("text RLIKE '[^\\\\x20\\\\x09-\\\\x0D]'"))
+    """Lines within one word edit of an earlier line go (short ones if equal), and so do documents that have no word left."""
+    return _counted(linededup.dedup_lines(docs, short_lines=True).filter("text RLIKE '[^\\\\x20\\\\x09-\\\\x0D]'"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -12,8 +12,10 @@ Each key needs only its earliest line, so keys are aggregated, and no pairs are
 variants are made, lines that share no intact half with another line are left out: one edit leaves one
 of the halves of the common variant intact in both lines.
 
-Edge cases: lines of fewer than ``min_words`` words stay, as do lines without words; null and empty
-texts have no lines; rows without id come last; of repeated rows none is earlier, so they are treated
+Lines of fewer than ``min_words`` words have no variants; with ``short_lines`` they go if they equal an
+earlier line, else they stay.
+
+Edge cases: lines without words stay; null and empty texts have no lines; rows without id come last; of repeated rows none is earlier, so they are treated
 alike; an empty table gives an empty result.
 """
 
@@ -30,7 +32,7 @@ from . import bytekit as bk
 from .quality import LineKit
 from .store import materialize, narrow, placed
 
-#: Shorter lines have too little in common for one edit to mean anything: one word of five is a fifth.
+#: Shorter lines have too little in common for one edit to mean anything (one word of five is a fifth), so only equal ones count.
 MIN_WORDS = 5
 LAST = (1 << 63) - 1
 
@@ -41,26 +43,27 @@ def _tagged(hashes: np.ndarray, tag: np.ndarray, kind: int) -> np.ndarray:
     return bk.mix(hashes ^ bk.mix(tag.astype(np.uint64) * np.uint64(4) + np.uint64(kind)))
 
 
-def _line_table(min_words: int):
+def _line_table(min_words: int, short_lines: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, sequences = bk.Hasher(), bk.SequenceHasher()
         for batch in bk.slices(batches, "text"):
             kit = LineKit(hasher, sequences, batch.column("text"))
             row, first, last, m = kit.line_row, kit.first_word, kit.last_word, kit.line_words
             number = np.arange(len(row)) - np.searchsorted(row, row)
-            keep = m >= min_words
+            keep = m >= (1 if short_lines else min_words)
             row, first, last, m, number = row[keep], first[keep], last[keep], m[keep], number[keep]
             halves = np.empty((len(m), 4), np.uint64)
             for k, size in enumerate((m, m - 1)):
                 p = size // 2
                 halves[:, 2 * k] = _tagged(sequences.of_ranges(kit.lower, first, first + p), size, 0)
                 halves[:, 2 * k + 1] = _tagged(sequences.of_ranges(kit.lower, last - (size - p), last), size, 1)
-            offsets = pa.array(np.arange(len(m) + 1, dtype=np.int32) * 4)
+            edited = m >= min_words
+            offsets = pa.array(np.append(0, np.cumsum(edited * 4)).astype(np.int32))
             at = pa.array(row)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id").take(at), batch.column("text_hash").take(at), pa.array(number.astype(np.int32)), pa.array(m.astype(np.int32)),
-                    pa.array(kit.line_hash[keep].view(np.int64)), pa.ListArray.from_arrays(offsets, pa.array(halves.view(np.int64).ravel())),
+                    pa.array(kit.line_hash[keep].view(np.int64)), pa.ListArray.from_arrays(offsets, pa.array(halves[edited].view(np.int64).ravel())),
                 ],
                 names=[c.split()[0] for c in _LINES.split(", ")],
             )
@@ -154,11 +157,11 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([keep.column(c) for c in ("line", "near_rank", "near_line_no")], names=["line", "near_rank", "near_line_no"])
 
 
-def duplicate_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+def duplicate_lines(docs: DataFrame, min_words: int = MIN_WORDS, short_lines: bool = False) -> DataFrame:
     """The lines that go: doc_id, text_hash, line_no, n_words, edits, and the earliest line within the bound."""
     texts = narrow(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
     rank = F.coalesce("doc_id", F.lit(LAST))
-    lines = materialize(texts.mapInArrow(bk.tidy(_line_table(min_words)), _LINES), "lines").withColumn("rank", rank)
+    lines = materialize(texts.mapInArrow(bk.tidy(_line_table(min_words, short_lines)), _LINES), "lines").withColumn("rank", rank)
     firsts = lines.groupBy("line").agg(F.min(F.struct("rank", "line_no", "text_hash")).alias("first"))
     halves = lines.select(F.explode("halves").alias("half"), "line")
     met = halves.groupBy("half").agg(F.min("line").alias("a"), F.max("line").alias("b")).filter("a <> b").select("half")
@@ -193,9 +196,9 @@ def duplicate_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     )
 
 
-def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, short_lines: bool = False) -> DataFrame:
     """``docs`` without the duplicate lines; all columns stay, and so do documents that lose all lines."""
-    gone = duplicate_lines(docs, min_words).groupBy(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h")).agg(F.collect_set("line_no").alias("_gone"))
+    gone = duplicate_lines(docs, min_words, short_lines).groupBy(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h")).agg(F.collect_set("line_no").alias("_gone"))
     inner, at = placed(docs)
     hashed = inner.withColumn("_t", F.xxhash64(at["text"]))
     joined = hashed.join(materialize(gone, "gone"), F.col(at["doc_id"]).cast("long").eqNullSafe(F.col("_d")) & (F.col("_t") == F.col("_h")), "left").drop("_d", "_h", "_t")

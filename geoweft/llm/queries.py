@@ -54,7 +54,7 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return linededup.duplicate_lines(_table(spark, sf_dir, "documents")).drop("text_hash")
+    return linededup.duplicate_lines(_table(spark, sf_dir, "documents"), short_lines=True).drop("text_hash")
 
 
 def op10_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
