@@ -1,7 +1,8 @@
 """Licence scans by sentence rules.
 
-A text is cut into sentences and normalised; sentences that are known licence sentences become their
-identifiers; the sequence of identifiers is matched against ordered rules, the most specific first,
+A text is normalised and its breaks are marked: ends of sentences, lines and paragraphs.  Known licence
+sentences between two breaks become their identifiers, however their own lines are wrapped and their
+clauses are set off, but not across blank lines; the sequence of identifiers is matched against ordered rules, the most specific first,
 and what a rule has matched is used up.  Per-row DataFrame functions only: no shuffle, no join.
 
 Edge cases: null and empty texts have no sentence and no licence; repeated rows are scanned each; an
@@ -55,6 +56,16 @@ SENTENCES: dict[int, str] = {
     36: "this is free and unencumbered software released into the public domain without a licence fee",
 }
 
+# Other forms of known sentences, as in the full texts; a * is a name of up to twelve words.
+FORMS: list[tuple[int, str]] = [
+    (7, SENTENCES[7] + " including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions"),
+    (9, SENTENCES[9] + " including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement"),
+    (13, "neither the name of * nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
+    (35, SENTENCES[35] + " provided that the above copyright notice and this permission notice appear in all copies"),
+    (35, SENTENCES[35].replace("and or", "and") + " provided that the above copyright notice and this permission notice appear in all copies"),
+    (36, "this is free and unencumbered software released into the public domain"),
+]
+
 # Ordered rules, a licence identifier and the sentence identifiers in order.
 RULES: list[tuple[str, list[int]]] = [
     ("MIT", [7, 8, 9]),
@@ -94,23 +105,38 @@ RULES: list[tuple[str, list[int]]] = [
 ]
 
 #: Every known sentence holds one of these, so texts without any need no cutting.
-ANCHORS = ("licen", "copyright", "permi", "warrant")
+ANCHORS = ("licen", "copyright", "permi", "warrant", "unencumbered")
 
 _END = "[.;:!?]+([ \\t\\r\\n]|$)"
 
 
-def sentences(text: Column) -> Column:
-    """Normalised sentences of a text, in order."""
-    cut = F.regexp_replace(F.lower(text), _END, "\n")
-    words = F.regexp_replace(cut, "[^a-z0-9\\n]+", " ")
-    return F.split(F.regexp_replace(words, " ?\\n ?", "\n"), "\n")
+#: Capitals do not occur in lower case, so they mark ends of sentences and of paragraphs.
+_GAP, _EDGE = "[ \\nS]+", "[^\\nSP]"
+
+
+def marked(text: Column) -> Column:
+    """Words of a text with one blank between, and its breaks: S ends a sentence, \\n a line, P a paragraph."""
+    cut = F.regexp_replace(F.lower(text), _END, "S$1")
+    words = F.regexp_replace(F.regexp_replace(cut, "[^a-z0-9\\nS]+", " "), " ?([\\nS]) ?", "$1")
+    return F.trim(F.regexp_replace(words, "\\n(?: ?\\n)+ ?", "P"))
+
+
+def _pattern(sentence: str) -> str:
+    return _GAP.join(sentence.split(" ")).replace("*", f"[a-z0-9]+(?:{_GAP}[a-z0-9]+){{0,11}}?")
+
+
+def identifiers(text: Column, known: dict[int, str] = SENTENCES, forms: list[tuple[int, str]] = FORMS) -> Column:
+    """Identifiers of the known sentences, each as ``<id>``, in order; of two at one place the longer counts."""
+    every = sorted([*known.items(), *forms], key=lambda x: -len(x[1]))
+    table = F.create_map(*(F.lit(x) for k, v in every if "*" not in v for x in (v, f"<{k}>")))
+    found = F.regexp_extract_all(marked(text), F.lit(f"(?<!{_EDGE})(?:{'|'.join(_pattern(v) for _, v in every)})(?!{_EDGE})"), F.lit(0))
 
+    def named(sentence: Column) -> Column:
+        plain = F.regexp_replace(sentence, _GAP, " ")
+        by_name = [(k, v.split("*")) for k, v in every if "*" in v]
+        return F.coalesce(F.element_at(table, plain), *(F.when(F.startswith(plain, F.lit(a)) & F.endswith(plain, F.lit(b)), F.lit(f"<{k}>")) for k, (a, b) in by_name))
 
-def identifiers(text: Column, known: dict[int, str] = SENTENCES) -> Column:
-    """Identifiers of the known sentences, each as ``<id>``, in order."""
-    table = F.create_map(*(F.lit(x) for k, v in known.items() for x in (v, f"<{k}>")))
-    found = F.transform(F.filter(F.transform(sentences(text), lambda s: F.trim(s)), lambda s: s.isin(*known.values())), lambda s: F.element_at(table, s))
-    return F.when(F.lower(text).rlike("|".join(ANCHORS)), F.array_join(found, "")).otherwise(F.lit(""))
+    return F.when(F.lower(text).rlike("|".join(ANCHORS)), F.array_join(F.transform(found, named), "")).otherwise(F.lit(""))
 
 
 def match(sequence: Column, rules: list[tuple[str, list[int]]] = RULES) -> Column:
