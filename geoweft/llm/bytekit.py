@@ -167,9 +167,12 @@ def range_sums(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.nda
 class SequenceHasher(Hasher):
     """Hashes of ranges of a sequence of 64-bit symbols."""
 
-    def of_ranges(self, symbols: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    def prefix(self, symbols: np.ndarray) -> np.ndarray:
         self._grow(len(symbols) + 1)
-        prefix = np.zeros(len(symbols) + 1, _U)
+        out = np.zeros(len(symbols) + 1, _U)
         with np.errstate(over="ignore"):
-            np.cumsum(symbols * self.power[: len(symbols)], out=prefix[1:])
-        return self.of(prefix, start, end)
+            np.cumsum(symbols * self.power[: len(symbols)], out=out[1:])
+        return out
+
+    def of_ranges(self, symbols: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return self.of(self.prefix(symbols), start, end)

@@ -122,6 +122,13 @@ def decontaminate(text, items, coverage=0.5):
     return "".join([*out, (text or "")[at:]])
 
 
+def repeated_words(texts, length):
+    """Words of each text that are covered by a sequence of ``length`` words that also starts anywhere else."""
+    words = [SOLID.findall(lower(t)) for t in texts]
+    seen = Counter(tuple(w[i : i + length]) for w in words for i in range(len(w) - length + 1))
+    return [len({j for i in range(len(w) - length + 1) if seen[tuple(w[i : i + length])] > 1 for j in range(i, i + length)}) for w in words]
+
+
 def repeated_bytes(texts, length):
     """[(bytes left, spans, sha256)] of whole texts."""
     data = [(t or "").encode() for t in texts]

@@ -5,7 +5,7 @@ import pytest
 
 from geoweft.llm import suffixes
 
-from .brute import repeated_bytes
+from .brute import repeated_bytes, repeated_words
 
 
 def check(spark, texts, length, gram, parts=3):
@@ -41,6 +41,23 @@ def test_passages_in_different_surroundings(spark, monkeypatch):
     assert check(spark, texts, 400, 200) > 5000
 
 
+@pytest.mark.parametrize("passage", [1, 5, 50])
+def test_passages_of_words(spark, corpus, monkeypatch, passage):
+    """Words of repeated passages, whatever their bytes, case of A-Z and white space."""
+    monkeypatch.setattr(suffixes, "STEP", 64)
+    r = random.Random(5)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(r.randint(1, 4)))
+    lone = [" ".join(word() for _ in range(n)) for n in (49, 50, 51, 60)]
+    texts = [t for _, t, _ in corpus]
+    for k, p in enumerate(lone * 3):
+        texts.append(" ".join([f"start{k}", *(p.upper() if k % 2 else p).split(), f"end{k}"] if k % 3 else [f"start{k}\n", *p.replace(" ", " \t ").split(" "), f"end{k}"]))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {x.doc_id: x.n_passage_words for x in suffixes.dedup_suffixes(docs, passage=passage).collect()}
+    assert got == dict(enumerate(repeated_words(texts, passage)))
+    if passage == 50:
+        assert [got[len(corpus) + k] for k in range(4)] == [0, 50, 51, 60]
+
+
 def test_multikey_quicksort():
     rng = np.random.default_rng(0)
     words = rng.integers(0, 3, (300, 6)).astype(np.uint64)
