@@ -8,15 +8,17 @@ have a deletion variant in common, which is a hashed key of the join:
   all lines of a key are within the bound of each other;
 * an added word: the longer line without it is the shorter line.
 
-Each key needs only its earliest line, so keys are aggregated, and no pairs are emitted.  Before the
-variants are made, lines that share no intact half with another line are left out: one edit leaves one
-of the halves of the common variant intact in both lines.
+Each key needs only its earliest line, so keys are aggregated, and no pairs are emitted.  Everything
+after the first aggregate works on distinct lines, so a line that a third of all documents hold is one
+row there.  Before the variants are made, lines that share no intact half with another line are left
+out: one edit leaves one of the halves of the common variant intact in both lines.
 
-Lines of fewer than ``min_words`` words have no variants; with ``short_lines`` they go if they equal an
-earlier line, else they stay.
+Lines of fewer than ``min_words`` words have no variants: they go only if they equal an earlier line.
 
-Edge cases: lines without words stay; null and empty texts have no lines; rows without id come last; of repeated rows none is earlier, so they are treated
-alike; an empty table gives an empty result.
+Edge cases: lines without words stay; null and empty texts have no lines; very long lines have a variant
+for each word, made in slices of words; rows without id come last; of repeated rows none is earlier, so
+they are treated alike; ties do not arise otherwise, since (id, line number) is a total order; an empty
+table gives an empty result; other columns are matched by place and pass through, whatever their names.
 """
 
 from __future__ import annotations
@@ -36,34 +38,33 @@ from .store import materialize, narrow, placed
 MIN_WORDS = 5
 LAST = (1 << 63) - 1
 
-_LINES = "doc_id long, text_hash long, line_no int, n_words int, line long, halves array<long>"
+_HALVES = ["h0", "h1", "h2", "h3"]
+_LINES = "doc_id long, text_hash long, line_no int, n_words int, line long, " + ", ".join(f"{h} long" for h in _HALVES)
 
 
 def _tagged(hashes: np.ndarray, tag: np.ndarray, kind: int) -> np.ndarray:
     return bk.mix(hashes ^ bk.mix(tag.astype(np.uint64) * np.uint64(4) + np.uint64(kind)))
 
 
-def _line_table(min_words: int, short_lines: bool):
+def _line_table(min_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, sequences = bk.Hasher(), bk.SequenceHasher()
         for batch in bk.slices(batches, "text"):
             kit = LineKit(hasher, sequences, batch.column("text"))
             row, first, last, m = kit.line_row, kit.first_word, kit.last_word, kit.line_words
             number = np.arange(len(row)) - np.searchsorted(row, row)
-            keep = m >= (1 if short_lines else min_words)
+            keep = m > 0
             row, first, last, m, number = row[keep], first[keep], last[keep], m[keep], number[keep]
             halves = np.empty((len(m), 4), np.uint64)
             for k, size in enumerate((m, m - 1)):
                 p = size // 2
                 halves[:, 2 * k] = _tagged(sequences.of_ranges(kit.lower, first, first + p), size, 0)
                 halves[:, 2 * k + 1] = _tagged(sequences.of_ranges(kit.lower, last - (size - p), last), size, 1)
-            edited = m >= min_words
-            offsets = pa.array(np.append(0, np.cumsum(edited * 4)).astype(np.int32))
-            at = pa.array(row)
+            short, at = m < min_words, pa.array(row)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id").take(at), batch.column("text_hash").take(at), pa.array(number.astype(np.int32)), pa.array(m.astype(np.int32)),
-                    pa.array(kit.line_hash[keep].view(np.int64)), pa.ListArray.from_arrays(offsets, pa.array(halves[edited].view(np.int64).ravel())),
+                    pa.array(kit.line_hash[keep].view(np.int64)), *(pa.array(halves[:, k].copy().view(np.int64), mask=short) for k in range(4)),
                 ],
                 names=[c.split()[0] for c in _LINES.split(", ")],
             )
@@ -139,31 +140,39 @@ def _without(sequences: bk.SequenceHasher, symbols, start, end, owner, place) ->
         return bk.mix(closed * sequences.inverse[a])
 
 
-def within_one_edit(a: np.ndarray, b: np.ndarray) -> bool:
-    """Whether two sequences differ by one replaced, added or missing element at most."""
-    if abs(len(a) - len(b)) > 1:
-        return False
-    n = min(len(a), len(b))
-    front = int(np.argmin(np.append(a[:n] == b[:n], False)))
-    back = int(np.argmin(np.append(a[::-1][:n] == b[::-1][:n], False)))
-    return front + back >= max(len(a), len(b)) - 1
+def within_one_edit(a: np.ndarray, a_at: np.ndarray, b: np.ndarray, b_at: np.ndarray) -> np.ndarray:
+    """For each pair of sequences (values and bounds) whether one replaced, added or missing element at most tells them apart."""
+    n, m = np.diff(a_at), np.diff(b_at)
+    least = np.minimum(n, m)
+    owner = np.repeat(np.arange(len(n)), least)
+    place = np.arange(len(owner)) - np.repeat(np.cumsum(least) - least, least)
+
+    def agreeing(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Length of the run of equal elements from the start of each pair."""
+        first = least.copy()
+        unequal = np.flatnonzero(a[i] != b[j])
+        np.minimum.at(first, owner[unequal], place[unequal])
+        return first
+
+    front = agreeing(a_at[:-1][owner] + place, b_at[:-1][owner] + place)
+    back = agreeing(a_at[1:][owner] - 1 - place, b_at[1:][owner] - 1 - place)
+    return (np.abs(n - m) <= 1) & (front + back >= np.maximum(n, m) - 1)
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        own, other = batch.column("words").to_pylist(), batch.column("other_words").to_pylist()
-        good = [within_one_edit(np.array(a), np.array(b)) for a, b in zip(own, other, strict=True)]
-        keep = batch.filter(pa.array(good, pa.bool_()))
+        sides = [(batch.column(c).values.to_numpy(zero_copy_only=False), batch.column(c).offsets.to_numpy().astype(np.int64)) for c in ("words", "other_words")]
+        keep = batch.filter(pa.array(within_one_edit(*sides[0], *sides[1]), pa.bool_()))
         yield pa.RecordBatch.from_arrays([keep.column(c) for c in ("line", "near_rank", "near_line_no")], names=["line", "near_rank", "near_line_no"])
 
 
-def duplicate_lines(docs: DataFrame, min_words: int = MIN_WORDS, short_lines: bool = False) -> DataFrame:
+def duplicate_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """The lines that go: doc_id, text_hash, line_no, n_words, edits, and the earliest line within the bound."""
     texts = narrow(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
     rank = F.coalesce("doc_id", F.lit(LAST))
-    lines = materialize(texts.mapInArrow(bk.tidy(_line_table(min_words, short_lines)), _LINES), "lines").withColumn("rank", rank)
-    firsts = lines.groupBy("line").agg(F.min(F.struct("rank", "line_no", "text_hash")).alias("first"))
-    halves = lines.select(F.explode("halves").alias("half"), "line")
+    lines = materialize(texts.mapInArrow(bk.tidy(_line_table(min_words)), _LINES), "lines").withColumn("rank", rank)
+    firsts = materialize(lines.groupBy("line").agg(F.min(F.struct("rank", "line_no", "text_hash")).alias("first"), *(F.max(h).alias(h) for h in _HALVES)), "distinct-lines")
+    halves = firsts.select(F.explode(F.array(*_HALVES)).alias("half"), "line").filter("half IS NOT NULL")
     met = halves.groupBy("half").agg(F.min("line").alias("a"), F.max("line").alias("b")).filter("a <> b").select("half")
     candidates = halves.join(met, "half").select("line").distinct()
     wanted = candidates.join(firsts, "line").groupBy(F.col("first.rank").alias("rank"), F.col("first.text_hash").alias("text_hash")).agg(F.collect_set("first.line_no").alias("wanted"))
@@ -196,9 +205,9 @@ def duplicate_lines(docs: DataFrame, min_words: int = MIN_WORDS, short_lines: bo
     )
 
 
-def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, short_lines: bool = False) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` without the duplicate lines; all columns stay, and so do documents that lose all lines."""
-    gone = duplicate_lines(docs, min_words, short_lines).groupBy(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h")).agg(F.collect_set("line_no").alias("_gone"))
+    gone = duplicate_lines(docs, min_words).groupBy(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h")).agg(F.collect_set("line_no").alias("_gone"))
     inner, at = placed(docs)
     hashed = inner.withColumn("_t", F.xxhash64(at["text"]))
     joined = hashed.join(materialize(gone, "gone"), F.col(at["doc_id"]).cast("long").eqNullSafe(F.col("_d")) & (F.col("_t") == F.col("_h")), "left").drop("_d", "_h", "_t")

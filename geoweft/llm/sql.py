@@ -59,13 +59,13 @@ LINE_DEDUP = f"""
 WITH d AS (SELECT doc_id, coalesce(doc_id, 9223372036854775807) AS rank, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
 l AS (SELECT doc_id, rank, generate_subscripts(ls, 1) - 1 AS k, unnest(ls) AS text FROM d),
 w AS (SELECT doc_id, rank, k, regexp_extract_all({_LOWER}, {_SOLID}) AS w FROM l),
-s AS (SELECT doc_id, rank, k, w, len(w) AS n FROM w WHERE len(w) >= 5),
+s AS (SELECT doc_id, rank, k, w, len(w) AS n FROM w WHERE len(w) > 0),
 f AS (SELECT w, n, min(struct_pack(r := rank, k := k)) AS pos FROM s GROUP BY w, n),
-v AS (SELECT w, n, pos, j, list_concat(list_slice(w, 1, j - 1), list_slice(w, j + 1, n)) AS v FROM (SELECT *, unnest(range(1, n + 1)) AS j FROM f)),
+v AS (SELECT w, n, pos, j, list_concat(list_slice(w, 1, j - 1), list_slice(w, j + 1, n)) AS v FROM (SELECT *, unnest(range(1, n + 1)) AS j FROM f WHERE n >= 5)),
 a AS (SELECT v, j, min(pos) AS pos FROM v GROUP BY v, j),
 g AS (SELECT v, min(pos) AS pos FROM v GROUP BY v),
-c AS (SELECT v.w, a.pos FROM v JOIN a ON a.v = v.v AND a.j = v.j UNION ALL SELECT v.w, f.pos FROM v JOIN f ON f.w = v.v UNION ALL SELECT f.w, g.pos FROM f JOIN g ON g.v = f.w),
-b AS (SELECT f.w, f.pos, min(c.pos) FILTER (c.pos < f.pos) AS near FROM f JOIN c ON c.w = f.w GROUP BY f.w, f.pos)
+c AS (SELECT v.w, a.pos FROM v JOIN a ON a.v = v.v AND a.j = v.j UNION ALL SELECT v.w, f.pos FROM v JOIN f ON f.w = v.v WHERE f.n >= 5 UNION ALL SELECT f.w, g.pos FROM f JOIN g ON g.v = f.w WHERE f.n >= 5),
+b AS (SELECT f.w, f.pos, min(c.pos) FILTER (c.pos < f.pos) AS near FROM f LEFT JOIN c ON c.w = f.w GROUP BY f.w, f.pos)
 SELECT s.doc_id, CAST(s.k AS INTEGER) AS line_no, CAST(s.n AS INTEGER) AS n_words, CASE WHEN near IS NULL THEN 0 ELSE 1 END AS edits,
   nullif(coalesce(near, pos).r, 9223372036854775807) AS first_doc_id, CAST(coalesce(near, pos).k AS INTEGER) AS first_line_no
 FROM s JOIN b ON b.w = s.w WHERE near IS NOT NULL OR struct_pack(r := s.rank, k := s.k) > pos

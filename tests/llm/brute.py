@@ -73,15 +73,18 @@ def quality(docs, max_docs, max_share, min_left):
 
 
 def duplicate_lines(docs, min_words=5):
-    """{(id, line): (id, line) of the earliest line within one word edit} of (id, text) pairs with distinct ids."""
+    """{(id, line): (id, line) of the earliest line within one word edit (of fewer words: that is equal)} of (id, text) pairs with distinct ids."""
     first, wild, shorter, out = {}, {}, {}, {}
     for i, text in sorted(docs):
         for k, line in enumerate((text or "").split("\n")):
             w = tuple(SOLID.findall(lower(line)))
             if len(w) < min_words:
+                if w and w in first:
+                    out[i, k] = first[w]
+                first.setdefault(w, (i, k))
                 continue
             cut = [w[:j] + w[j + 1 :] for j in range(len(w))]
-            found = [first.get(w), shorter.get(w), *(first.get(v) for v in cut), *(wild.get((j, v)) for j, v in enumerate(cut))]
+            found = [first.get(w), shorter.get(w), *(first.get(v) for v in cut if len(v) >= min_words), *(wild.get((j, v)) for j, v in enumerate(cut))]
             if found := [x for x in found if x is not None]:
                 out[i, k] = min(found)
             if w not in first:

@@ -1,21 +1,6 @@
 import corpus_pipeline
-from geoweft.llm import linededup
 from geoweft.llm.queries import QUERIES
 
-from . import brute
-
-
-def duplicates(docs):
-    """Brute force: one-edit matches of longer lines, and all equal lines."""
-    out, first = brute.duplicate_lines(docs), {}
-    for i, text in sorted(docs):
-        for k, line in enumerate((text or "").split("\n")):
-            if w := tuple(brute.SOLID.findall(brute.lower(line))):
-                if len(w) < 5 and w in first:
-                    out[i, k] = first[w]
-                first.setdefault(w, (i, k))
-    return out
-
 
 def test_short_lines(spark, tmp_path):
     texts = ["Read more\none two three four five\n\nHome", "READ  more\none two three four\n\nread some", "home\none two three four\none two three four six", "Home\nRead more"]
@@ -27,34 +12,7 @@ def test_short_lines(spark, tmp_path):
     assert left == {0: texts[0], 1: "one two three four\n\nread some"}
 
 
-def test_against_brute_force(docs, corpus):
-    want = duplicates([(i, t) for i, t, _ in corpus])
-    got = {(r.doc_id, r.line_no): (r.first_doc_id, r.first_line_no) for r in linededup.duplicate_lines(docs, short_lines=True).collect()}
-    assert got == want and len(want) > len(brute.duplicate_lines([(i, t) for i, t, _ in corpus]))
-
-
 def test_a_copy_leaves_no_stub(spark):
     text = "Haanth.\nthe quick brown fox jumps over it"
     docs = spark.createDataFrame([(0, text), (1, text)], "doc_id long, text string")
     assert [r.doc_id for r in corpus_pipeline.line_dedup(spark, docs, "").collect()] == [0]
-
-
-def test_sql(spark, sf_dir):
-    """The query's SQL for longer lines, and equal lines of fewer words."""
-    import duckdb
-
-    from geoweft.llm import sql
-
-    con = duckdb.connect()
-    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{sf_dir}/documents.parquet'")
-    short = f"""
-      WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
-      l AS (SELECT doc_id, generate_subscripts(ls, 1) - 1 AS k, unnest(ls) AS text FROM d),
-      w AS (SELECT doc_id, k, regexp_extract_all({sql._LOWER}, {sql._SOLID}) AS w FROM l),
-      f AS (SELECT *, first_value(struct_pack(r := doc_id, k := k)) OVER (PARTITION BY w ORDER BY doc_id, k) AS pos FROM w WHERE len(w) BETWEEN 1 AND 4)
-      SELECT doc_id, CAST(k AS INTEGER) AS line_no, CAST(len(w) AS INTEGER) AS n_words, 0 AS edits, pos.r AS first_doc_id, CAST(pos.k AS INTEGER) AS first_line_no
-      FROM f WHERE struct_pack(r := doc_id, k := k) > pos"""
-    names = ["doc_id", "line_no", "n_words", "edits", "first_doc_id", "first_line_no"]
-    rows = lambda df: sorted(map(tuple, df[names].astype(int).values.tolist()))
-    got, extra = rows(QUERIES["op9_line_dedup"](spark, sf_dir).toPandas()), rows(con.sql(short).df())
-    assert got == sorted(rows(con.sql(sql.LINE_DEDUP).df()) + extra) and extra
