@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _KEY = "spark.checkpoint.dir"
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _LOCAL: dict[str, str] = {}
 
 
@@ -35,11 +36,17 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` as Parquet under the shared folder and reads it back.
 
     This cuts the lineage, fixes values that may differ between two evaluations and survives the loss
-    of any executor.
+    of any executor.  The shuffle files of the job have no reader once the table is written, so they go
+    at its end instead of waiting for the driver's garbage collector.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -44,7 +44,7 @@ from .jaccard import _grouped
 from .quality import _repeated
 from .store import discard, materialize, narrow
 
-LENGTH, GRAM = 400, 200
+LENGTH, GRAM = 400, 128
 #: Words of a repeated passage.
 PASSAGE = 50
 #: Windows handled at once, and contexts of a bucket.
@@ -93,7 +93,7 @@ class Unit:
 
 
 def units(length: int, gram: int, passage: int) -> list[Unit]:
-    return [Unit(BYTES, length, gram), Unit(WORDS, passage, max(1, passage // 2))]
+    return [Unit(BYTES, length, gram), Unit(WORDS, passage, -(-passage // 5))]
 
 
 def window_minima(values: np.ndarray, width: int) -> np.ndarray:
@@ -346,12 +346,14 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, pas
     least = min(u.least_bytes() for u in kinds)
     texts = narrow(docs, "text").select(F.xxhash64("text").alias("text_hash"), F.octet_length("text").cast("long").alias("n_bytes"), "text").filter(F.col("n_bytes") >= least)
     anchors = materialize(texts.mapInArrow(bk.tidy(_anchors(kinds)), _ANCHORS), "anchors")
-    same = anchors.groupBy("key", "context").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("text_hash", "n_bytes", "unit", "first", "anchor", "size")).alias("at"))
+    # columns of fixed width keep this a hash aggregate; all of a group's first values come from one row
+    place = ["text_hash", "n_bytes", "unit", "first", "anchor", "size"]
+    same = anchors.groupBy("key", "context").agg(F.count(F.lit(1)).alias("n"), *(F.first(c).alias(c) for c in place))
     keys = same.groupBy("key").agg(F.count(F.lit(1)).alias("kinds"), F.sum("n").alias("total")).filter("total > 1")
     same = materialize(same.join(keys, "key"), "contexts")
-    whole = same.filter("n > 1").select("key", "context", F.lit(0).alias("a"), F.col("at.size").alias("b"))
+    whole = same.filter("n > 1").select("key", "context", F.lit(0).alias("a"), F.col("size").alias("b"))
     mixed = same.filter("kinds > 1")
-    wanted = mixed.select("at.text_hash", "at.n_bytes", F.struct("at.unit", "at.first", "at.size", "at.anchor", "key", "context").alias("w")).groupBy("text_hash", "n_bytes").agg(F.collect_list("w").alias("wanted"))
+    wanted = mixed.select("text_hash", "n_bytes", F.struct("unit", "first", "size", "anchor", "key", "context").alias("w")).groupBy("text_hash", "n_bytes").agg(F.collect_list("w").alias("wanted"))
     # a stored side lets adaptive execution split the copies of one text on the other
     wanted = materialize(wanted, "wanted")
     fetched = texts.mapInArrow(_once, texts.schema).join(wanted, ["text_hash", "n_bytes"]).select("text", "wanted")
