@@ -32,7 +32,7 @@ def neighborhoods(points: DataFrame, queries: DataFrame, k: int, *, keys: Sequen
     if strategy == "brute":
         found = plans.brute(points, asked, k, names, tuple(keys), n_points)
     elif strategy == "grid":
-        found = plans.grid(points, asked, k, names, tuple(keys))
+        found = plans.grid(points, asked, k, names, tuple(keys), n_points)
     else:
         raise ValueError("query_knn: strategy must be 'auto', 'brute' or 'grid'")
     return found.select(*asked.columns, F.col("rank").cast("int").alias("rank"), "pid", *(f"n{a}" for a in names), "dist_sq")

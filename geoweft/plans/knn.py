@@ -1,27 +1,29 @@
 """Physical strategies of the k-NN join.
 
 ``brute`` is an equi-join on the sample and a rank; Spark cuts each task's rows to k a query before the
-shuffle.  ``grid`` joins by cells of a uniform grid: a query meets the points of its cell and the cells
-around it, and is done if its k-th distance is less than the distance to everything outside; the others
-go on to a grid four times as coarse, and the coarsest grid, one cell, certifies all.
+shuffle.  ``grid`` joins by cells of equal counts (``blocks``): a query meets the nearest cell first, and is
+done if its k-th distance is less than the distance to every other cell; else it meets those cells that are
+nearer than that, which certifies the answer.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark import StorageLevel
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.geometry import cols, squared_distance
+from ..functions.geometry import cols, dot, squared_distance
+from . import blocks
 
 #: Candidate pairs up to which ``auto`` takes the brute strategy.
 BRUTE_PAIRS = 20_000_000
 #: Points up to which a cloud is sent to every task.
 BROADCAST_POINTS = 500_000
-#: Points a cell aimed at, cells an axis at most, and the factor from one grid to the next.
-CELL_POINTS, MAX_CELLS, COARSER = 8, 1024, 4
+#: Distances of queries and points computed at once.
+STEP = 1 << 20
 
 
 def ranked(candidates: DataFrame, keys: Sequence[str], k: int) -> DataFrame:
@@ -60,54 +62,79 @@ def pair_count(points: DataFrame, queries: DataFrame) -> tuple[int, int]:
     return row["t"] or 0, row["n"] or 0
 
 
-def _grid(points: DataFrame, names: Sequence[str]) -> DataFrame:
-    """Per sample: cells an axis of the finest grid, and its bounds."""
-    stats = points.groupBy("b").agg(F.count(F.lit(1)).alias("n"), *(f(a).cast("double").alias(f"{m}_{a}") for a in names for m, f in (("min", F.min), ("max", F.max))))
-    cells = F.least(F.lit(MAX_CELLS), F.ceil(F.pow(F.col("n") / CELL_POINTS, F.lit(1.0 / len(names)))))
-    return stats.withColumn("cells", F.greatest(F.lit(1), cells).cast("int"))
-
-
-def _cell(a: str, value, cells) -> F.Column:
-    low, high = F.col(f"min_{a}"), F.col(f"max_{a}")
-    place = F.floor((value - low) / (high - low) * cells)
-    return F.when(high > low, F.greatest(F.lit(0), F.least(place, cells - 1))).otherwise(F.lit(0)).cast("int")
-
-
-def grid(points: DataFrame, queries: DataFrame, k: int, names: Sequence[str], keys: Sequence[str]) -> DataFrame:
-    sizes = _grid(points, names).persist(StorageLevel.MEMORY_AND_DISK)
-    left, done, factor = queries, [], 1
-    most = sizes.agg(F.max("cells").alias("c")).first()["c"] or 1
-    columns = queries.columns
-    while True:
-        here = sizes.withColumn("cells", F.greatest(F.lit(1), F.ceil(F.col("cells") / factor)).cast("int")).drop("n")
-        place = _targets(points, names).join(here, "b").select("b", "pid", *(f"n{a}" for a in names), *(_cell(a, F.col(f"n{a}"), F.col("cells")).alias(f"c_{a}") for a in names))
-        asked = left.join(here, "b").withColumns({f"q_{a}": _cell(a, F.col(a), F.col("cells")) for a in names})
-        outside = F.lit(float("inf"))
-        for a in names:
-            low, wide = F.col(f"min_{a}"), (F.col(f"max_{a}") - F.col(f"min_{a}")) / F.col("cells")
-            # a margin for the rounding of cell numbers against cell borders
-            slack = 1e-9 * (F.abs(low) + F.abs(F.col(f"max_{a}")))
-            outside = F.least(
-                outside,
-                F.when(F.col(f"q_{a}") > 1, F.col(a) - (low + (F.col(f"q_{a}") - 1) * wide) - slack).otherwise(F.lit(float("inf"))),
-                F.when(F.col(f"q_{a}") + 2 < F.col("cells"), low + (F.col(f"q_{a}") + 2) * wide - F.col(a) - slack).otherwise(F.lit(float("inf"))),
-            )
-        asked = asked.withColumn("_outside", F.greatest(F.lit(0.0), outside))
-        for a in names:
-            around = F.sequence(F.greatest(F.col(f"q_{a}") - 1, F.lit(0)), F.least(F.col(f"q_{a}") + 1, F.col("cells") - 1))
-            asked = asked.withColumn(f"c_{a}", F.explode(around))
-        pairs = asked.join(place, ["b", *(f"c_{a}" for a in names)]).withColumn("dist_sq", squared_distance(cols(names), cols(names, "n")))
-        best = ranked(pairs, keys, k).select(*columns, "pid", *(f"n{a}" for a in names), "dist_sq", "rank", "_outside", "cells")
-        proof = best.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.max("dist_sq").alias("_far"), F.first("_outside").alias("_outside"), F.first("cells").alias("_cells"))
-        proof = proof.filter(((F.col("_n") == k) & (F.sqrt("_far") < F.col("_outside"))) | (F.col("_cells") == 1)).select(*keys)
-        best = best.drop("_outside", "cells").persist(StorageLevel.MEMORY_AND_DISK)
-        proof = proof.persist(StorageLevel.MEMORY_AND_DISK)
-        done.append(best.join(proof, list(keys), "left_semi"))
-        left = left.join(proof, list(keys), "left_anti").persist(StorageLevel.MEMORY_AND_DISK)
-        if factor >= most or left.isEmpty():
-            break
-        factor *= COARSER
-    out = done[0]
-    for more in done[1:]:
-        out = out.unionByName(more)
+def _near_far(q: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Least and greatest squared distances of points to boxes, in the order of operations of the exact distance."""
+    near = [np.maximum(np.maximum(lo[..., k] - q[..., k], q[..., k] - hi[..., k]), 0.0) for k in range(q.shape[-1])]
+    far = [np.maximum(np.abs(q[..., k] - lo[..., k]), np.abs(hi[..., k] - q[..., k])) for k in range(q.shape[-1])]
+    return dot(near, near), dot(far, far)
+
+
+def _reach(query: np.ndarray, far: np.ndarray, n: np.ndarray, k: int, n_queries: int) -> np.ndarray:
+    """For each query a distance within which boxes that hold k points lie as a whole; infinite if they hold fewer."""
+    order = np.lexsort((far, query))
+    who, held = query[order], np.cumsum(n[order])
+    first = np.searchsorted(who, np.arange(n_queries))
+    before = np.concatenate([[0], held])[first]
+    enough = np.flatnonzero(held - before[who] >= k)
+    out = np.full(n_queries, np.inf)
+    hit, at = np.unique(who[enough], return_index=True)
+    out[hit] = far[order][enough[at]]
     return out
+
+
+def _route(k: int) -> blocks.Route:
+    def route(q: np.ndarray, held: blocks.Boxes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        near, far = _near_far(q[:, None, :], held.upper_lo[None], held.upper_hi[None])
+        every = np.repeat(np.arange(len(q)), near.shape[1])
+        reach = _reach(every, far.ravel(), np.tile(held.upper_n, len(q)), k, len(q))
+        asked, block = held.under(*np.nonzero(near <= reach[:, None]))
+        near, far = _near_far(q[asked], held.lo[block], held.hi[block])
+        reach = np.minimum(reach, _reach(asked, far, held.n[block], k, len(q)))
+        keep = near <= reach[asked]
+        return asked[keep], block[keep], near[keep]
+
+    return route
+
+
+def _nearest(names: Sequence[str], kept: Sequence[str], k: int):
+    """The k points of a block nearest to each query."""
+
+    def search(asked: pa.Table, ids: np.ndarray, points: np.ndarray) -> pa.Table:
+        q = np.stack([asked.column(a).to_numpy() for a in names], axis=1)
+        most, step = min(k, len(ids)), max(1, STEP // len(ids))
+        rows, hits, dist = [], [], []
+        for a in range(0, len(q), step):
+            d = [q[a : a + step, i, None] - points[None, :, i] for i in range(len(names))]
+            d = dot(d, d)
+            least = np.partition(d, most - 1, axis=1)[:, most - 1 : most]
+            i, j = np.nonzero(d <= least)
+            order = np.lexsort((ids[j], d[i, j], i))
+            i, j = i[order], j[order]
+            keep = np.arange(len(i)) - np.searchsorted(i, i) < most
+            i, j = i[keep], j[keep]
+            rows.append(i + a)
+            hits.append(j)
+            dist.append(d[i, j])
+        take, j = pa.array(np.concatenate(rows)), np.concatenate(hits)
+        columns = {c: asked.column(c).take(take) for c in kept} | {"pid": ids[j]} | {f"n{a}": points[j, i] for i, a in enumerate(names)}
+        return pa.table(columns | {"dist_sq": np.concatenate(dist)})
+
+    return search
+
+
+def grid(points: DataFrame, queries: DataFrame, k: int, names: Sequence[str], keys: Sequence[str], n_points: int | None = None) -> DataFrame:
+    """Neighbours by cells of equal counts: the nearest cell, then the cells that can hold nearer points."""
+    n_points = points.count() if n_points is None else n_points
+    index = blocks.build(points, "pid", [list(names)], n_points)
+    sent = points.sparkSession.sparkContext.broadcast(blocks.boxes(index))
+    pairs = blocks.routed(queries, names, sent, _route(k))
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in queries.schema)
+    schema = f"{kinds}, pid long, " + ", ".join(f"n{a} double" for a in names) + ", dist_sq double"
+    search = _nearest(names, queries.columns, k)
+    first = blocks.searched(pairs.filter("turn = 0"), index, keys, search, schema)
+    first = blocks.materialize(first, "nearest")
+    found = first.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.max("dist_sq").alias("_far"))
+    found = found.select(*(F.col(c).alias(f"_{c}") for c in keys), F.when(F.col("_n") >= k, F.col("_far")).alias("_far"))
+    same = [F.col(c) == F.col(f"_{c}") for c in keys]
+    rest = pairs.filter("turn > 0").join(found, same, "left").filter("_far IS NULL OR near <= _far").select(*pairs.columns)
+    return ranked(first.unionByName(blocks.searched(rest, index, keys, search, schema)), keys, k)

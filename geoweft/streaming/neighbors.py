@@ -13,7 +13,7 @@ from pyspark.sql.streaming import DataStreamWriter
 from ..operators.knn import knn_join
 
 
-def knn_stream(points: DataFrame, queries: DataFrame, k: int, sink: Callable[[DataFrame, int], None], *, strategy: str = "brute") -> DataStreamWriter:
+def knn_stream(points: DataFrame, queries: DataFrame, k: int, sink: Callable[[DataFrame, int], None], *, strategy: str = "auto") -> DataStreamWriter:
     """A writer that gives each micro-batch's neighbours to ``sink(neighbors, batch_id)``."""
 
     def each(batch: DataFrame, batch_id: int) -> None:
