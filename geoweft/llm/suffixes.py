@@ -233,15 +233,18 @@ def _sorted_windows(unit: Unit, raw, bounds, spot, anchor, served, inner, hasher
     right, inner = right[order], inner[order]
     differ = right[1:] != right[:-1]
     common = np.where(differ.any(axis=1), differ.argmax(axis=1), width)
+    nearest = np.maximum(np.append(common, 0), np.append(0, common))
+    # the values of s at which a context has a window and shares enough with a neighbour
+    least, most = np.maximum(length - nearest, anchor[inner] - served[inner] + 1), np.minimum(anchor[inner], length - unit.gram)
     for s in range(length - unit.gram + 1):
+        has = np.flatnonzero((least <= s) & (s <= most))
+        if len(has) < 2:
+            continue
         group = np.concatenate([[0], np.cumsum(common < length - s)])
-        has = (anchor[inner] >= s) & (anchor[inner] - s < served[inner])
         who = inner[has]
         left = hasher.of(prefix, spot[who] - s, spot[who])
-        found = _repeated(bk.mix(left ^ bk.mix(group[has].astype(np.uint64))))
-        for i in who[found].tolist():
-            at = int(anchor[i]) - s
-            hits.setdefault(i, []).append((at, at + length))
+        who = who[_repeated(bk.mix(left ^ bk.mix(group[has].astype(np.uint64))))]
+        hits.append((who, anchor[who] - s))
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -260,6 +263,17 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(buckets, pa.int64()), pa.array(packed, pa.binary())], names=["bucket", "packed"])
 
 
+def _runs(owner: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Windows (owner, first place) as merged ranges: owner, first place, end."""
+    order = np.lexsort((at, owner))
+    owner, at = owner[order], at[order]
+    new = np.ones(len(at), dtype=bool)
+    new[1:] = (owner[1:] != owner[:-1]) | (at[1:] > at[:-1] + length)
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(at)) - 1
+    return owner[first], at[first], at[last] + length
+
+
 def _ranges(kinds: list[Unit]):
     """Windows of a bucket as ranges of contexts; a bucket's number is doubled to hold the unit."""
 
@@ -304,14 +318,14 @@ def _bucket(kinds: list[Unit], bits: int):
         prefix = hasher.prefix(raw)
         ends = np.lexsort((key, table.column("lead1").to_numpy(), table.column("lead0").to_numpy()))[[0, -1]]
         edge = np.isin(key, key[ends])
-        hits: dict[int, list[tuple[int, int]]] = {}
+        hits: list[tuple[np.ndarray, np.ndarray]] = []
         who = np.flatnonzero(edge)
         owner = np.repeat(who, served[who])
         offset = np.arange(len(owner)) - np.repeat(np.cumsum(served[who]) - served[who], served[who])
         at = start[owner] + offset
         window = bk.mix(hasher.of(prefix, at, at + length) ^ bk.mix(key[owner].view(np.uint64)))
-        for i, k in zip(*(x[_repeated(window)].tolist() for x in (owner, offset)), strict=True):
-            hits.setdefault(i, []).append((k, k + length))
+        twice = _repeated(window)
+        hits.append((owner[twice], offset[twice]))
         _, once, count = np.unique(window, return_index=True, return_counts=True)
         sent = np.empty(len(once), _WINDOW)
         sent["hash"], sent["key"], sent["context"], sent["a"] = window[once], key[owner[once]], context[owner[once]], np.where(count > 1, -1, offset[once])
@@ -322,10 +336,10 @@ def _bucket(kinds: list[Unit], bits: int):
         inner = np.flatnonzero(~edge)
         if len(inner):
             _sorted_windows(unit, raw, bounds, spot, anchor, served, inner, hasher, prefix, hits)
-        out = [(i, a, b) for i, spans in hits.items() for a, b in merged(spans)]
-        if out:
-            i = np.array([x[0] for x in out])
-            yield rows(key=key[i], context=context[i], a=[x[1] for x in out], b=[x[2] for x in out])
+        i, at = (np.concatenate(x) for x in zip(*hits, strict=True))
+        if len(i):
+            i, a, b = _runs(i, at, length)
+            yield rows(key=key[i], context=context[i], a=a.astype(np.int32), b=b.astype(np.int32))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = [x for x in batches if x.num_rows]
