@@ -1,4 +1,9 @@
-"""Closest-hit ray tracing against 2-D segments and 3-D triangles."""
+"""Closest-hit ray tracing against 2-D segments and 3-D triangles.
+
+Primitives lie in cells of boxes (``plans/blocks``); a ray meets cells from front to back and stops where the
+next one begins behind its nearest hit.  Counted primitives up to BROADCAST_PRIMITIVES go to every task; more
+are blocks that rays are dealt to, first to the nearest block and then to those that are not behind its hit.
+"""
 
 from __future__ import annotations
 
@@ -7,114 +12,181 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.geometry import add, cols, cross2, cross3, dot, ray_meets_box, scale, sub
+from ..functions.geometry import add, cols, cross2, cross3, dot, scale, sub
+from ..plans import blocks
 from .index import vertex_names
 
 # Fixed value: eight units in the last place of a float32.
 EPS = 8 * 1.1920928955078125e-07
 #: Primitives up to which they are sent to every task.
 BROADCAST_PRIMITIVES = 200_000
+#: Primitives of a cell, and pairs of rays and cells (or primitives) tested at once.
+LEAF, CELLS = 32, 1 << 18
 
 
-def _segment(o, d, v) -> tuple[Column, Column]:
+def _hits_segments(o, d, v) -> tuple[np.ndarray, np.ndarray]:
+    """t, and whether the ray meets the segment; all as arrays that broadcast."""
     edge, a = sub(v[1], v[0]), sub(v[0], o)
-    size = dot(d, d) * dot(edge, edge)
-    den = cross2(d, edge)
-    ok = (size > 0) & (F.abs(den) > EPS * F.sqrt(size))
-    t, u = F.when(ok, cross2(a, edge) / den), F.when(ok, cross2(a, d) / den)
-    return t, ok & (u >= -EPS) & (u <= 1 + EPS)
+    size, den = dot(d, d) * dot(edge, edge), cross2(d, edge)
+    t, u = cross2(a, edge) / den, cross2(a, d) / den
+    return t, (size > 0) & (np.abs(den) > EPS * np.sqrt(size)) & (u >= -EPS) & (u <= 1 + EPS)
 
 
-def _triangle(o, d, v) -> tuple[Column, Column]:
+def _hits_triangles(o, d, v) -> tuple[np.ndarray, np.ndarray]:
     e1, e2, a = sub(v[1], v[0]), sub(v[2], v[0]), sub(o, v[0])
     normal, p, q = cross3(e1, e2), cross3(d, e2), cross3(a, e1)
     det, size = dot(e1, p), dot(d, d) * dot(normal, normal)
-    ok = (size > 0) & (F.abs(det) > EPS * F.sqrt(size))
-    u, w, t = F.when(ok, dot(a, p) / det), F.when(ok, dot(d, q) / det), F.when(ok, dot(e2, q) / det)
-    return t, ok & (u >= -EPS) & (w >= -EPS) & (u + w <= 1 + EPS)
+    u, w, t = dot(a, p) / det, dot(d, q) / det, dot(e2, q) / det
+    return t, (size > 0) & (np.abs(det) > EPS * np.sqrt(size)) & (u >= -EPS) & (w >= -EPS) & (u + w <= 1 + EPS)
+
+
+_HITS = {"segment": _hits_segments, "triangle": _hits_triangles}
 
 
-def _paired(rays: DataFrame, primitives: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Rays with the primitives of their sample.
+def _within(t: np.ndarray, least: np.ndarray, times: float = 1.0) -> np.ndarray:
+    """Whether ``t`` is as near as the least but for the tolerance."""
+    return t <= least + times * EPS * np.maximum(1.0, np.abs(least))
 
-    Rays are dealt out by their keys, which is also what the minimum over a ray needs.  Counted primitives
-    up to BROADCAST_PRIMITIVES go to every task; more are joined by sample and block of rays.
+
+def _entries(o: np.ndarray, d: np.ndarray, lo: np.ndarray, hi: np.ndarray, t_max: float) -> np.ndarray:
+    """The t at which rays (rows) enter boxes (same leading shape or broadcast), infinite if they miss them.
+
+    The exact test allows a relative overshoot of EPS at the ends of a primitive, so boxes are widened by twice that.
     """
-    spark = rays.sparkSession
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    if primitives.count() <= BROADCAST_PRIMITIVES:
-        return rays.repartition(parts, *keys).join(F.broadcast(primitives), "b")
-    copies = primitives.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    return rays.withColumn("_block", F.pmod(F.xxhash64(*keys), F.lit(parts)).cast("int")).join(copies, ["b", "_block"]).drop("_block")
-
-
-def candidates(rays: DataFrame, primitives: DataFrame, kind: str, t_min: float, t_max: float, keys: Sequence[str] = ("b", "ray_id")) -> DataFrame:
-    """Rays joined with the primitives of their sample that they hit, with ``t``; boxes are tested first."""
-    vertices = vertex_names(kind)
-    names = "xyz"[: len(vertices[0])]
-    o, d, v = cols([f"o{a}" for a in names]), cols([f"d{a}" for a in names]), [cols(x) for x in vertices]
-    lo, hi = ([f(*(x[i] for x in v)) for i in range(len(names))] for f in (F.least, F.greatest))
-    # the exact test allows a relative overshoot of EPS at the ends, so boxes are widened by twice that
-    pad = [2 * EPS * (b - a) + 1e-12 * F.greatest(F.abs(a), F.abs(b)) for a, b in zip(lo, hi, strict=True)]
-    near = ray_meets_box(o, d, sub(lo, pad), add(hi, pad), F.lit(0.0), F.lit(math.inf))
-    t, hit = (_segment if kind == "segment" else _triangle)(o, d, v)
-    pairs = _paired(rays, primitives.select("b", "prim_id", *sum(vertices, [])), keys).filter(near)
-    return pairs.withColumn("t", t).filter(hit & (F.col("t") >= t_min) & (F.col("t") <= t_max))
-
-
-def _nearest_segments(rays: DataFrame, primitives: DataFrame, t_min: float, t_max: float, keys: Sequence[str]) -> DataFrame:
-    """(keys, best) of the rays that hit: all pairs of a sample in array blocks, in the operations of ``_segment``."""
-    spark = rays.sparkSession
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    pad = 2 * EPS * (hi - lo) + 1e-12 * np.maximum(np.abs(lo), np.abs(hi))
+    near, far, inside = 0.0, t_max, True
+    for k in range(o.shape[-1]):
+        x, v, a, b = o[..., k], d[..., k], lo[..., k] - pad[..., k], hi[..., k] + pad[..., k]
+        t0, t1 = (a - x) / v, (b - x) / v
+        still = v == 0
+        near = np.maximum(near, np.where(still, -np.inf, np.minimum(t0, t1)))
+        far = np.minimum(far, np.where(still, np.inf, np.maximum(t0, t1)))
+        inside = inside & (~still | ((x >= a) & (x <= b)))
+    return np.where(inside & (near <= far), near, np.inf)
+
+
+class Scene:
+    """Primitives of one sample in cells of ``LEAF``, met from front to back."""
+
+    def __init__(self, ids: np.ndarray, coordinates: np.ndarray, kind: str) -> None:
+        self.kind, self.dims = kind, len(vertex_names(kind)[0])
+        order, starts = blocks.kd_order(coordinates.reshape(len(ids), -1, self.dims).mean(axis=1), LEAF)
+        self.ids, self.coordinates = ids[order], coordinates[order]
+        self.lo, self.hi = blocks.boxes_of(self.coordinates, self.dims, starts)
+        self.cells = np.minimum(np.array(starts)[:, None] + np.arange(LEAF)[None], np.array([*starts[1:], len(ids)])[:, None] - 1)
+
+    def hits(self, o: np.ndarray, d: np.ndarray, t_min: float, t_max: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ray, prim_id, t) of all hits as near as each ray's least."""
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        step = max(1, CELLS // len(self.cells))
+        with np.errstate(all="ignore"):
+            for a in range(0, len(o), step):
+                found += [(r + a, i, t) for r, i, t in self._block(o[a : a + step], d[a : a + step], t_min, t_max)]
+        ray, prim, t = (np.concatenate(x) for x in zip(*found, strict=True))
+        least = np.full(len(o), np.inf)
+        np.minimum.at(least, ray, t)
+        keep = _within(t, least[ray])
+        return ray[keep], prim[keep], t[keep]
+
+    def _block(self, o, d, t_min, t_max):
+        entry = _entries(o[:, None, :], d[:, None, :], self.lo[None], self.hi[None], t_max)
+        order = np.argsort(entry, axis=1)
+        least, active = np.full(len(o), np.inf), np.arange(len(o))
+        for turn in range(entry.shape[1]):
+            cell = order[active, turn]
+            ahead = entry[active, cell]
+            # entries and hits are rounded in other ways, so the next cell has to be clearly farther
+            open_ = np.isfinite(ahead) & _within(ahead, least[active], 8.0)
+            active, cell = active[open_], cell[open_]
+            if not len(active):
+                return
+            for k in range(0, len(active), max(1, CELLS // LEAF)):
+                rays, rows = active[k : k + CELLS // LEAF], self.cells[cell[k : k + CELLS // LEAF]]
+                own = self.coordinates[rows]
+                v = [[own[..., n * self.dims + x] for x in range(self.dims)] for n in range(own.shape[-1] // self.dims)]
+                t, good = _HITS[self.kind]([o[rays, x, None] for x in range(self.dims)], [d[rays, x, None] for x in range(self.dims)], v)
+                t = np.where(good & (t >= t_min) & (t <= t_max), t, np.inf)
+                least[rays] = np.minimum(least[rays], t.min(axis=1))
+                i, j = np.nonzero(np.isfinite(t) & _within(t, least[rays][:, None]))
+                yield rays[i], self.ids[rows[i, j]], t[i, j]
+
+
+def _ray_names(kind: str) -> list[str]:
+    return [s + a for s in "od" for a in "xyz"[: len(vertex_names(kind)[0])]]
+
+
+def _of_table(table, names: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Origins and directions of Arrow rows."""
+    at = np.stack([table.column(c).to_numpy(zero_copy_only=False) if isinstance(table, pa.RecordBatch) else table.column(c).to_numpy() for c in names], axis=1).astype(np.float64)
+    return at[:, : len(names) // 2], at[:, len(names) // 2 :]
+
+
+def _answer(table, keys: Sequence[str], found: tuple[np.ndarray, np.ndarray, np.ndarray]) -> dict:
+    ray, prim, t = found
+    take = pa.array(ray)
+    return {k: table.column(k).take(take) for k in keys} | {"prim_id": pa.array(prim, pa.int64()), "t": pa.array(t, pa.float64())}
+
+
+def _near_hits(rays: DataFrame, primitives: DataFrame, kind: str, t_min: float, t_max: float, keys: Sequence[str], n: int) -> DataFrame:
+    """(keys, prim_id, t): hits of each ray that are about as near as its nearest; primitives go to every task."""
+    spark, names = rays.sparkSession, _ray_names(kind)
     table = primitives.toPandas().sort_values("prim_id", kind="stable")
-    sent = spark.sparkContext.broadcast({b: (own["prim_id"].to_numpy(np.int64), own[["x0", "y0", "x1", "y1"]].to_numpy(np.float64).T.copy()) for b, own in table.groupby("b")})
+    vertices = sum(vertex_names(kind), [])
+    sent = spark.sparkContext.broadcast({b: (own["prim_id"].to_numpy(np.int64), own[vertices].to_numpy(np.float64)) for b, own in table.groupby("b")})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        samples = {}
-        for b, (ids, (x0, y0, x1, y1)) in sent.value.items():
-            ex, ey = x1 - x0, y1 - y0
-            samples[b] = ids, x0, y0, ex, ey, ex * ex + ey * ey, len(np.unique(ids)) < len(ids)
+        scenes = {b: Scene(*own, kind) for b, own in sent.value.items()}
         for batch in batches:
-            ox, oy, dx, dy = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.float64)[:, None] for c in ("ox", "oy", "dx", "dy"))
-            members = {}
+            members: dict[object, list[int]] = {}
             for i, b in enumerate(batch.column("b").to_pylist()):
                 members.setdefault(b, []).append(i)
-            rows, prim, at = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
-            for b in members.keys() & samples.keys():
-                ids, x0, y0, ex, ey, size_e, repeated = samples[b]
-                own, step = np.array(members[b]), max(1, 65536 // len(ids))
-                for k in range(0, len(own), step):
-                    r = own[k : k + step]
-                    p, q, v, w = ox[r], oy[r], dx[r], dy[r]
-                    with np.errstate(all="ignore"):
-                        size, den, ax, ay = (v * v + w * w) * size_e, v * ey - w * ex, x0 - p, y0 - q
-                        t, u = (ax * ey - ay * ex) / den, (ax * w - ay * v) / den
-                        good = (size > 0) & (np.abs(den) > EPS * np.sqrt(size)) & (u >= -EPS) & (u <= 1 + EPS) & (t >= t_min) & (t <= t_max)
-                        t = np.where(good, t, np.inf)
-                        least = t.min(axis=1, keepdims=True)
-                        good &= t <= least + EPS * np.maximum(1.0, np.abs(least))
-                    first = good.argmax(axis=1)
-                    hit = good[np.arange(len(r)), first]
-                    # of primitives with the same id the nearest counts
-                    best = np.where(good & (ids == ids[first][:, None]), t, np.inf).min(axis=1) if repeated else t[np.arange(len(r)), first]
-                    rows.append(r[hit])
-                    prim.append(ids[first][hit])
-                    at.append(best[hit])
-            take = pa.array(np.concatenate(rows))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(take) for c in keys), pa.array(np.concatenate(prim)), pa.array(np.concatenate(at))], names=[*keys, "prim_id", "t"])
-
-    asked = rays.select(*dict.fromkeys([*keys, "b", "ox", "oy", "dx", "dy"])).repartition(parts, *keys)
-    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in asked.select(*keys).schema)
-    return asked.mapInArrow(run, f"{types}, prim_id long, t double").groupBy(*keys).agg(F.min(F.struct("prim_id", "t")).alias("best"))
-
+            o, d = _of_table(batch, names)
+            for b in members.keys() & scenes.keys():
+                own = np.array(members[b])
+                ray, prim, t = scenes[b].hits(o[own], d[own], t_min, t_max)
+                yield pa.RecordBatch.from_pydict(_answer(batch, keys, (own[ray], prim, t)))
 
-def _nearest(rays: DataFrame, primitives: DataFrame, kind: str, t_min: float, t_max: float, keys: Sequence[str]) -> DataFrame:
-    """(keys, best) of the rays that hit, as pairs of rows."""
-    found = candidates(rays, primitives, kind, t_min, t_max, keys).select(*keys, "prim_id", "t")
-    found = found.withColumn("least", F.expr(f"min(t) OVER (PARTITION BY {', '.join(keys)})"))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    asked = rays.select(*dict.fromkeys([*keys, "b", *names])).repartition(parts, *keys)
+    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in asked.select(*keys).schema)
+    return asked.mapInArrow(run, f"{types}, prim_id long, t double")
+
+
+def _near_hits_in_blocks(rays: DataFrame, primitives: DataFrame, kind: str, t_min: float, t_max: float, keys: Sequence[str], n: int) -> DataFrame:
+    """As ``_near_hits``, for any number of primitives: rays meet the first block on their way, then those not behind its hit."""
+    names = _ray_names(kind)
+    index = blocks.build(primitives, "prim_id", vertex_names(kind), n)
+    sent = rays.sparkSession.sparkContext.broadcast(blocks.boxes(index))
+    dims = len(names) // 2
+
+    def route(at: np.ndarray, held: blocks.Boxes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        with np.errstate(all="ignore"):
+            o, d = at[:, :dims], at[:, dims:]
+            upper = _entries(o[:, None, :], d[:, None, :], held.upper_lo[None], held.upper_hi[None], t_max)
+            ray, block = held.under(*np.nonzero(np.isfinite(upper)))
+            entry = _entries(o[ray], d[ray], held.lo[block], held.hi[block], t_max)
+        keep = np.isfinite(entry)
+        return ray[keep], block[keep], entry[keep]
+
+    def search(asked: pa.Table, ids: np.ndarray, coordinates: np.ndarray) -> pa.Table:
+        return pa.table(_answer(asked, keys, Scene(ids, coordinates, kind).hits(*_of_table(asked, names), t_min, t_max)))
+
+    asked = rays.select(*dict.fromkeys([*keys, "b", *names]))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in asked.select(*keys).schema) + ", prim_id long, t double"
+    pairs = blocks.routed(asked, names, sent, route)
+    first = blocks.materialize(blocks.searched(pairs.filter("turn = 0"), index, keys, search, schema), "first-hits")
+    least = first.groupBy(*keys).agg(F.min("t").alias("_least")).select(*(F.col(k).alias(f"_{k}") for k in keys), "_least")
+    rest = pairs.filter("turn > 0").join(least, [F.col(k) == F.col(f"_{k}") for k in keys], "left")
+    rest = rest.filter(F.col("_least").isNull() | (F.col("near") <= F.col("_least") + 8 * EPS * F.greatest(F.lit(1.0), F.abs("_least")))).select(*pairs.columns)
+    return first.unionByName(blocks.searched(rest, index, keys, search, schema))
+
+
+def _nearest(hits: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, best): of the hits within a relative EPS of the least t the lowest id."""
+    found = hits.withColumn("least", F.expr(f"min(t) OVER (PARTITION BY {', '.join(keys)})"))
     found = found.filter(F.col("t") <= F.col("least") + EPS * F.greatest(F.lit(1.0), F.abs("least")))
     return found.groupBy(*keys).agg(F.min(F.struct("prim_id", "t")).alias("best"))
 
@@ -128,10 +200,8 @@ def raytrace(rays: DataFrame, primitives: DataFrame, kind: str, *, t_min: float
         raise ValueError("RayBVH.trace: expected finite 0 <= t_min < t_max")
     names = "xyz"[: len(vertex_names(kind)[0])]
     own = primitives.select("b", "prim_id", *sum(vertex_names(kind), []))
-    if kind == "segment" and own.count() <= BROADCAST_PRIMITIVES:
-        best = _nearest_segments(rays, own, t_min, t_max, keys)
-    else:
-        best = _nearest(rays, primitives, kind, t_min, t_max, keys)
+    n = own.count()
+    best = _nearest((_near_hits if n <= BROADCAST_PRIMITIVES else _near_hits_in_blocks)(rays, own, kind, t_min, t_max, keys, n), keys)
     out = rays.join(best, list(keys), "left")
     t, hit = F.col("best.t"), F.col("best").isNotNull()
     place = add(cols([f"o{a}" for a in names]), scale(cols([f"d{a}" for a in names]), t))

@@ -99,14 +99,14 @@ class Boxes:
     """The boxes of one sample's blocks, and boxes around runs of them."""
 
     def __init__(self, block: np.ndarray, n: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> None:
-        self.block, self.n, self.lo, self.hi = block, n, lo, hi
-        starts = np.arange(0, len(block), UPPER)
+        self.block, self.n, self.lo, self.hi, self.run = block, n, lo, hi, UPPER
+        starts = np.arange(0, len(block), self.run)
         self.upper_n, self.upper_lo, self.upper_hi = np.add.reduceat(n, starts), np.minimum.reduceat(lo, starts), np.maximum.reduceat(hi, starts)
 
     def under(self, asked: np.ndarray, upper: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Pairs of searches and upper boxes as pairs of searches and blocks."""
-        first = upper * UPPER
-        count = np.minimum(first + UPPER, len(self.block)) - first
+        first = upper * self.run
+        count = np.minimum(first + self.run, len(self.block)) - first
         within = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
         return np.repeat(asked, count), np.repeat(first, count) + within
 

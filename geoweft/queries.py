@@ -358,8 +358,6 @@ def fps_approximate(spark: SparkSession, d: str) -> DataFrame:
 _EPS = 8 * 1.1920928955078125e-07
 _RAYS2 = f"ry AS (SELECT 0 AS b, vec_id AS ray_id, {_e(4, 'ox oy dx dy')} FROM embeddings)"
 _RAYS3 = f"ry AS (SELECT 0 AS b, vec_id AS ray_id, {_e(9, 'ox oy oz dx dy dz')} FROM embeddings)"
-#: Only the SQL of the segment queries stops at this id; the queries themselves take all segments.
-FEW = 40
 
 
 def _hit_sql(test: str) -> str:
@@ -373,7 +371,7 @@ _SEGMENT_HITS = _hit_sql(f"""pr AS (SELECT *, x1 - x0 AS ex, y1 - y0 AS ey, x0 -
   ht AS (SELECT * FROM tu WHERE t >= 1e-7 AND u >= -{_EPS!r} AND u <= 1 + {_EPS!r})""")
 
 
-@_query(f"WITH {_RAYS2}, {_SEGMENTS.replace('FROM embeddings', f'FROM embeddings WHERE vec_id < {FEW}')}, {_SEGMENT_HITS} SELECT ry.b, ry.ray_id, coalesce(g.prim_id, -1) AS prim_id, round(g.t, 6) + 0.0 AS t, round(ox + g.t * dx, 6) + 0.0 AS px, round(oy + g.t * dy, 6) + 0.0 AS py, g IS NOT NULL AS hit FROM ry LEFT JOIN pick USING (ray_id)")
+@_query(f"WITH {_RAYS2}, {_SEGMENTS}, {_SEGMENT_HITS} SELECT ry.b, ry.ray_id, coalesce(g.prim_id, -1) AS prim_id, round(g.t, 6) + 0.0 AS t, round(ox + g.t * dx, 6) + 0.0 AS px, round(oy + g.t * dy, 6) + 0.0 AS py, g IS NOT NULL AS hit FROM ry LEFT JOIN pick USING (ray_id)")
 def rays_segments(spark: SparkSession, d: str) -> DataFrame:
     out = ray.raytrace(tables.rays(spark, d, "segment"), tables.primitives(spark, d, "segment"), "segment")
     return _shown(out, "xy")
@@ -465,7 +463,7 @@ def _digits_sql(x: str, name: str) -> str:
     return f"CASE WHEN abs({x}) < 1e-9 THEN '0' ELSE format('{{:.5e}}', {x}) END AS {name}"
 
 
-_SEGMENT_VJP = f"""{_RAYS2}, {_SEGMENTS.replace('FROM embeddings', f'FROM embeddings WHERE vec_id < {FEW}')}, {_SEGMENT_HITS},
+_SEGMENT_VJP = f"""{_RAYS2}, {_SEGMENTS}, {_SEGMENT_HITS},
   hh AS (SELECT ry.*, g.prim_id AS pr_id, g.t AS t, x1 - x0 AS ex, y1 - y0 AS ey, x0 - ox AS ax, y0 - oy AS ay FROM ry JOIN pick USING (ray_id) JOIN sg ON sg.prim_id = g.prim_id),
   h2 AS (SELECT *, dx * ey - dy * ex AS den, 1.0 + 0.5 * dx + 0.5 * dy AS tt FROM hh),
   h3 AS (SELECT *, tt / den AS n, -tt * t / den AS c FROM h2)"""

@@ -1,32 +1,49 @@
-import duckdb
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from geoweft import queries
 from geoweft.operators import ray
+from geoweft.plans import blocks
 
-from .test_queries import plain
 from .test_rays import prims, rays
 
 
-@pytest.mark.parametrize("name", ["rays_segments", "ray_vjp_rays", "ray_vjp_segments"])
-def test_all_segments(spark, sf_dir, name):
-    """The SQL without its bound on ids."""
-    con = duckdb.connect()
-    con.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{sf_dir}/embeddings.parquet'")
-    sql = queries.ORACLE_SQL[name].replace(f" WHERE vec_id < {queries.FEW}", "")
-    assert "vec_id <" not in sql
-    assert plain(queries.QUERIES[name](spark, sf_dir).toPandas()) == plain(con.sql(sql).df())
-
-
 def test_misses_are_shown_as_nulls(spark):
     hits = queries.ray.raytrace(rays(spark, [[0, 0, 1, 0], [0, 0, -1, 0]], 2), prims(spark, [[1, -1, 1, 1]], "segment"), "segment")
     got = {r.ray_id: (r.prim_id, r.t, r.px, r.py, r.hit) for r in queries._shown(hits, "xy").collect()}
     assert got == {0: (0, 1.0, 1.0, 0.0, True), 1: (-1, None, None, None, False)}
 
 
-def test_blocks_and_pairs_agree(spark, sf_dir):
-    asked, own = queries.tables.rays(spark, sf_dir, "segment"), queries.tables.primitives(spark, sf_dir, "segment")
-    own = own.unionByName(own.filter("prim_id % 7 = 0").selectExpr("b", "prim_id", "x1 AS x0", "y0", "x0 AS x1", "y1"))
-    asked = asked.unionByName(asked.limit(3).selectExpr("9 AS b", "ray_id", "ox", "oy", "dx", "dy"))
-    blocks, pairs = (sorted(map(tuple, f.select("b", "ray_id", "best.*").collect())) for f in (ray._nearest_segments(asked, own, 1e-7, 3.0, ("b", "ray_id")), ray._nearest(asked, own, "segment", 1e-7, 3.0, ("b", "ray_id"))))
-    assert blocks == pairs and blocks
+@pytest.mark.parametrize("kind", ["segment", "triangle"])
+def test_blocks_and_broadcast_agree(spark, sf_dir, monkeypatch, kind):
+    """Small blocks, some primitives with equal ids, and rays of a sample that has none."""
+    monkeypatch.setattr(blocks, "BLOCK_ROWS", 16)
+    monkeypatch.setattr(blocks, "UPPER", 4)
+    monkeypatch.setattr(blocks, "SEARCHES", 50)
+    monkeypatch.setattr(ray, "LEAF", 5)
+    asked, own = queries.tables.rays(spark, sf_dir, kind), queries.tables.primitives(spark, sf_dir, kind)
+    swap = {"x0": "x1", "x1": "x0"}
+    own = own.unionByName(own.filter("prim_id % 7 = 0").select(*(F.col(swap.get(c, c)).alias(c) for c in own.columns)))
+    asked = asked.unionByName(asked.limit(3).withColumn("b", F.lit(9)))
+    found = []
+    for most in (10**6, 10):
+        monkeypatch.setattr(ray, "BROADCAST_PRIMITIVES", most)
+        found.append(sorted(map(repr, ray.raytrace(asked, own, kind, t_max=3.0).collect())))
+    assert found[0] == found[1] and any("hit=True" in r for r in found[0]) and any("hit=False" in r for r in found[0])
+
+
+def test_few_pairs_are_tested(monkeypatch):
+    """A ray through a regular wall of triangles meets a small part of them."""
+    rng, n = np.random.default_rng(3), 60
+    x, y = (a.ravel().astype(float) for a in np.meshgrid(np.arange(n), np.arange(n)))
+    z = np.zeros(n * n)
+    scene = ray.Scene(np.arange(n * n), np.stack([x, y, z, x + 1, y, z, x, y + 1, z], axis=1), "triangle")
+    o = np.concatenate([rng.random((500, 2)) * n, np.full((500, 1), -0.5)], axis=1)
+    tested, hits = [], ray._hits_triangles
+    monkeypatch.setitem(ray._HITS, "triangle", lambda o, d, v: tested.append(v[0][0].size) or hits(o, d, v))
+    found = scene.hits(o, np.tile([0.0, 0.0, 1.0], (500, 1)), 1e-7, np.inf)
+    assert sum(tested) < 0.05 * 500 * n * n
+    px, py = o[:, 0] % 1, o[:, 1] % 1
+    want = {i: int(o[i, 1]) * n + int(o[i, 0]) for i in range(500) if px[i] + py[i] <= 1}
+    assert dict(zip(found[0].tolist(), found[1].tolist(), strict=True)) == want
