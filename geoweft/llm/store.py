@@ -1,62 +1,13 @@
-"""Shared storage for intermediate tables.
-
-Every executor must be able to read what another executor wrote, so intermediate tables go under the
-folder that the session names in ``spark.checkpoint.dir``.  Only where that is unset (tests on one
-machine) a temporary folder is made and set.
-"""
+"""Helpers on the caller's columns and on intermediate tables, which go under the session's shared folder."""
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_KEY = "spark.checkpoint.dir"
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-_LOCAL: dict[str, str] = {}
-
+from ..storage import discard, materialize, shared_dir
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a new local one where the session has none."""
-    found = spark.conf.get(_KEY, None) or spark.sparkContext.getConf().get(_KEY)
-    if found:
-        return found.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _LOCAL:
-        _LOCAL[app] = tempfile.mkdtemp(prefix="geoweft-")
-        atexit.register(shutil.rmtree, _LOCAL[app], True)
-    return "file://" + _LOCAL[app]
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Writes ``df`` as Parquet under the shared folder and reads it back.
-
-    This cuts the lineage, fixes values that may differ between two evaluations and survives the loss
-    of any executor.  The shuffle files of the job have no reader once the table is written, so they go
-    at its end instead of waiting for the driver's garbage collector.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    before = spark.conf.get(_CLEANUP, None)
-    spark.conf.set(_CLEANUP, "true")
-    try:
-        df.write.option("compression", "zstd").parquet(path)
-    finally:
-        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def discard(df: DataFrame) -> None:
-    """Deletes the table that ``materialize`` made once nothing reads it any more."""
-    spark = df.sparkSession
-    for file in df.inputFiles()[:1]:
-        folder = file.rsplit("/", 1)[0]
-        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+__all__ = ["discard", "input_bytes", "materialize", "narrow", "placed", "shared_dir", "text_or_empty"]
 
 
 def input_bytes(df: DataFrame) -> int:
@@ -65,12 +16,6 @@ def input_bytes(df: DataFrame) -> int:
     return size if size < 1 << 60 else 0
 
 
-def parts(df: DataFrame, bytes_each: int, expansion: float = 1.0) -> int:
-    """Shuffle partitions so that each holds about ``bytes_each``, and at least the session's number."""
-    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(least, int(input_bytes(df) * expansion / bytes_each) + 1)
-
-
 def placed(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
     """``df`` with its columns renamed by place, and the new name of each (of equal names the first).
 
