@@ -20,10 +20,9 @@ def test_ids_are_the_tokenizers(spark, sf_dir, corpus):
     assert all(encode(t) == tokenizer.encode(t, add_special_tokens=False).ids for t in texts)
 
 
-def test_special_token_strings_are_text():
-    tokenizer = Tokenizer.from_file(PATH)
-    tokenizer.encode_special_tokens = True
-    assert packing.encoder(PATH)("a <|endoftext|> b") == tokenizer.encode("a <|endoftext|> b", add_special_tokens=False).ids
+@pytest.mark.parametrize("text", ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>\n y", "<|endoftext", "Ünï <|endoftext|>'s"])
+def test_special_token_strings_are_their_ids(text):
+    assert packing.encoder(PATH)(text) == Tokenizer.from_file(PATH).encode(text, add_special_tokens=False).ids
 
 
 @pytest.mark.parametrize("seed", range(6))
