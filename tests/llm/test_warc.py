@@ -46,7 +46,7 @@ def test_headers(spark):
 @pytest.mark.parametrize(
     ("url", "canonical"),
     [
-        ("HTTPS://WWW.A.org:443/Path/?utm_source=x&b=1&ref=q#frag", "a.org/Path/?b=1"), ("http://m.a.org/x/", "a.org/x"), ("a.org", "a.org"), ("http://a.org?ref=1", "a.org"), ("", ""), (None, ""),
+        ("HTTPS://WWW.A.org:443/Path/?utm_source=x&b=1&ref=q#frag", "www.a.org/Path/?b=1"), ("http://m.a.org:80/x/", "m.a.org/x"), ("a.org", "a.org"), ("http://a.org?ref=1", "a.org"), ("", ""), (None, ""),
         ("http://a.org:8080/x", "a.org:8080/x"), ("http://a.org/?a=1&&b=2&", "a.org/?a=1&b=2"),
     ],
 )
@@ -54,6 +54,20 @@ def test_canonical(spark, url, canonical):
     assert spark.createDataFrame([(url,)], "u string").select(warc.canonical_url(F.col("u")).alias("c")).first()["c"] == canonical
 
 
+def test_host_prefixes(spark):
+    one = spark.createDataFrame([("http://WWW.a.org/x",)], "u string")
+    assert one.select(warc.canonical_url(F.col("u"), ("www", "m")).alias("c")).first()["c"] == "a.org/x"
+
+
+def test_only_full_responses_are_resolved_to(spark):
+    answer = lambda name, date, status: (name, "http://a.org/x", date, "response", status, {"ETag": '"1"'}, "d")
+    got = resolve(spark, [answer("ok", 1, 200), answer("gone", 2, 404), answer("moved", 3, 301), answer("part", 4, 206), answer("null", 5, None), revisit("r", 6), revisit("other", 6, url="http://www.a.org/x")])
+    assert {k: (r.resolution, r.status, r.source_record_id) for k, r in got.items()} == {
+        "ok": ("full", 200, None), "gone": ("other", 404, None), "moved": ("other", 301, None), "part": ("other", 206, None), "null": ("other", None, None),
+        "r": ("resolved", 200, "ok"), "other": ("missing", 304, None),
+    }
+
+
 def test_odd_rows(spark):
     got = resolve(spark, [("n", None, None, "revisit", 304, None, None), ("m", None, 5, "response", 200, None, None), ("o", None, 6, "revisit", 304, None, None), revisit("r", 9), full("f", 8), full("f", 8)])
     assert got["n"].resolution == "missing" and got["o"].source_record_id == "m" and got["o"].resolution == "unverified" and got["r"].source_record_id == "f"
