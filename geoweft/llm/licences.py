@@ -3,10 +3,12 @@
 A text is normalised and its breaks are marked: ends of sentences, lines and paragraphs.  Known licence
 sentences between two breaks become their identifiers, however their own lines are wrapped and their
 clauses are set off, but not across blank lines; the sequence of identifiers is matched against ordered rules, the most specific first,
-and what a rule has matched is used up.  Per-row DataFrame functions only: no shuffle, no join.
+and what a rule has matched is used up and leaves a bar that no later rule matches across.  Per-row
+DataFrame functions only: no shuffle, no join.
 
-Edge cases: null and empty texts have no sentence and no licence; repeated rows are scanned each; an
-empty table gives an empty result.
+Edge cases: null and empty texts have no sentence and no licence; very long texts are scanned whole; of two
+known sentences at one place the longer counts, of rules the earlier; repeated rows are scanned each; an
+empty table gives an empty result; columns besides doc_id and text are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -146,7 +148,7 @@ def match(sequence: Column, rules: list[tuple[str, list[int]]] = RULES) -> Colum
 
     def step(state: Column, rule: Column) -> Column:
         return F.struct(
-            F.replace(state["rest"], rule["ids"], F.lit("")).alias("rest"),
+            F.replace(state["rest"], rule["ids"], F.lit("|")).alias("rest"),
             F.when(F.contains(state["rest"], rule["ids"]), F.array_union(state["found"], F.array(rule["licence"]))).otherwise(state["found"]).alias("found"),
         )
 
@@ -159,20 +161,33 @@ def scan_licences(docs: DataFrame) -> DataFrame:
     return ids.select("doc_id", "sentence_ids", match(F.col("sentence_ids")).alias("licences"))
 
 
-def oracle(known: dict[int, str] = SENTENCES, rules: list[tuple[str, list[int]]] = RULES) -> str:
-    """DuckDB SQL for ``scan_licences``."""
-    text = "regexp_replace(lower(coalesce(text, '')), '[.;:!?]+([ \\t\\r\\n]|$)', chr(10), 'g')"
-    values = ", ".join(f"({k}, '{v}')" for k, v in known.items())
+def oracle(known: dict[int, str] = SENTENCES, forms: list[tuple[int, str]] = FORMS, rules: list[tuple[str, list[int]]] = RULES) -> str:
+    """DuckDB SQL for ``scan_licences``.
+
+    Paragraphs are cut into fragments at ends of sentences and lines; runs of fragments are joined and compared
+    with the known sentences as a whole, so nothing is searched for inside a text.
+    """
+    plain = ", ".join(f"({k}, '{v}')" for k, v in [*known.items(), *forms] if "*" not in v)
+    named = " ".join(f"WHEN regexp_full_match(s, '{v.replace('*', '[a-z0-9]+( [a-z0-9]+){0,11}')}') THEN {k}" for k, v in forms if "*" in v)
+    first = ", ".join(f"'{w}'" for w in sorted({v.split(" ")[0] for v in known.values()}))
+    longest = max(len(v) for _, v in [*known.items(), *forms]) + 150
     sql = f"""
-      WITH known(id, s) AS (VALUES {values}),
-      cut AS (SELECT row_number() OVER () AS r, doc_id, string_split(regexp_replace(regexp_replace({text}, '[^a-z0-9\\n]+', ' ', 'g'), ' ?\\n ?', chr(10), 'g'), chr(10)) AS ss FROM documents),
-      one AS (SELECT r, trim(unnest(ss)) AS s, generate_subscripts(ss, 1) AS k FROM cut),
-      ids AS (SELECT r, string_agg('<' || id || '>', '' ORDER BY k) AS ids FROM one JOIN known USING (s) GROUP BY r),
-      t0 AS (SELECT doc_id, coalesce(ids, '') AS ids, coalesce(ids, '') AS rest, CAST([] AS VARCHAR[]) AS found FROM cut LEFT JOIN ids USING (r))"""
+      WITH doc AS (SELECT row_number() OVER () AS r, doc_id, lower(coalesce(text, '')) AS t FROM documents),
+      clean AS (SELECT r, regexp_replace(regexp_replace(t, '[.;:!?]+([ \\t\\r\\n]|$)', 'S\\1', 'g'), '[^a-z0-9\\nS]+', ' ', 'g') AS t FROM doc WHERE regexp_matches(t, '{"|".join(ANCHORS)}')),
+      para AS (SELECT r, generate_subscripts(ps, 1) AS p, unnest(ps) AS t FROM (SELECT r, string_split_regex(t, '\\n( ?\\n)+') AS ps FROM clean)),
+      frag AS (SELECT r, p, list_filter(list_transform(string_split_regex(t, '[\\nS]'), lambda x: trim(x)), lambda x: x <> '') AS fs FROM para),
+      open AS (SELECT * FROM (SELECT r, p, fs, unnest(range(1, len(fs) + 1)) AS i FROM frag) WHERE split_part(fs[i], ' ', 1) IN ({first})),
+      runs AS (SELECT r, p, i, j, array_to_string(fs[i:j], ' ') AS s FROM (SELECT *, unnest(range(i, least(i + 80, len(fs) + 1))) AS j FROM open)),
+      sentence(id, s) AS (VALUES {plain}),
+      hit AS (SELECT r, p, i, j, coalesce(sentence.id, CASE {named} END) AS id FROM runs LEFT JOIN sentence USING (s) WHERE length(s) <= {longest}),
+      longest AS (SELECT r, p, i, max(j) AS j, arg_max(id, j) AS id FROM hit WHERE id IS NOT NULL GROUP BY r, p, i),
+      own AS (SELECT * FROM longest a WHERE NOT EXISTS (SELECT 1 FROM longest b WHERE b.r = a.r AND b.p = a.p AND b.i < a.i AND b.j >= a.i)),
+      ids AS (SELECT r, string_agg('<' || id || '>', '' ORDER BY p, i) AS ids FROM own GROUP BY r),
+      t0 AS (SELECT doc_id, coalesce(ids, '') AS ids, coalesce(ids, '') AS rest, CAST([] AS VARCHAR[]) AS found FROM doc LEFT JOIN ids USING (r))"""
     for i, (name, seq) in enumerate(rules):
         pattern = "".join(f"<{x}>" for x in seq)
         sql += f""",
-      t{i + 1} AS (SELECT doc_id, ids, replace(rest, '{pattern}', '') AS rest,
+      t{i + 1} AS (SELECT doc_id, ids, replace(rest, '{pattern}', '|') AS rest,
         CASE WHEN contains(rest, '{pattern}') THEN list_append(found, '{name}') ELSE found END AS found FROM t{i})"""
     return sql + f"""
       SELECT doc_id, ids AS sentence_ids, array_to_string(list_sort(list_distinct(found)), ',') AS licences FROM t{len(rules)}"""

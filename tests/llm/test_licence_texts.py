@@ -53,6 +53,27 @@ def test_full_texts(spark, width, prefix):
     assert got == {k + i: (name, ids) for k in (0, 100) for i, (_, name, ids) in enumerate(TEXTS)}
 
 
+def test_sql_on_full_texts(spark):
+    """The SQL, which compares runs of fragments, against the operator on wrapped texts and odd sequences."""
+    import duckdb
+    import pandas as pd
+
+    texts = [t if w is None else wrapped(t, w, x) for w, x in ((None, ""), (79, ""), (40, " * ")) for t, _, _ in TEXTS]
+    texts += ["\n\n".join(t for t, _, _ in TEXTS), "Released under the\n\nMIT License", "S Released under the\nMIT License", None, ""]
+    con = duckdb.connect()
+    con.register("documents", pd.DataFrame({"doc_id": range(len(texts)), "text": texts}))
+    want = {d: (i, x) for d, i, x in con.sql(f"SELECT doc_id, sentence_ids, licences FROM ({licences.oracle()})").fetchall()}
+    got = licences.scan_licences(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r.doc_id: (r.sentence_ids, r.licences) for r in got} == want
+
+
+def test_rules_do_not_match_across_what_is_used_up(spark):
+    """7, 8 and 9 are one licence; 10 before and 11, 12 behind it are not another."""
+    text = ".\n".join(licences.SENTENCES[i] for i in (10, 7, 8, 9, 11, 12))
+    row = licences.scan_licences(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert (row.sentence_ids, row.licences) == ("<10><7><8><9><11><12>", "MIT")
+
+
 def test_breaks(spark):
     texts = ["Notes\nReleased under the MIT License\nmore", "Released under\n\nthe MIT License", "We were released under the\nMIT License.", "Released under the MIT\nLicense or not", "S Released under the\nMIT License"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
