@@ -4,8 +4,14 @@ Records are hashed into a fixed number of slots, bytes are summed per slot, and
 slots to shards.  Rebalancing edits that table: a slot keeps its shard while the shard has room, else
 it moves to the least loaded one.  All of it is DataFrame functions.
 
-Edge cases: a null text has size 1 (no bytes, plus 1) and CRC 0; null ids are hashed as nulls; repeated
-equal rows get a copy number, so that they spread over slots; an empty table gives an empty result.
+The law is ``bytes``: sizes near equal.  Equal texts are not kept together: one text may be a third of all
+rows, which no law of equal sizes could hold in one shard.
+
+Edge cases: a null text has size 1 (no bytes, plus 1) and CRC 0; a very long text is one record, and the
+lightest shard takes what follows; null ids are hashed as nulls; repeated equal rows get a copy number, so
+that they spread over slots; of equally loaded shards the first takes a slot, of equally heavy slots the
+first is dealt first; an empty table gives an empty result; columns besides doc_id and text are not read,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -15,10 +21,12 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .store import narrow, shared_dir, text_or_empty
+from .store import materialize, narrow, shared_dir, text_or_empty
 
 #: Virtual slots.  A slot is the unit that moves; it is fixed for the life of a data set.
 N_SLOTS = 8192
+#: Copies of a row that one task numbers at once.
+COPIES = 4096
 
 
 def size_of(text: str = "text") -> Column:
@@ -70,9 +78,16 @@ def rebalance(current: DataFrame, load: DataFrame, n_shards: int) -> DataFrame:
     )
 
 
-def store_map(version: DataFrame, folder: str) -> DataFrame:
-    """Appends a version to the map table and returns the whole table as stored."""
-    version.coalesce(1).write.mode("append").partitionBy("version").parquet(folder)
+def store_map(version: DataFrame, folder: str, number: int | None = None) -> DataFrame:
+    """Adds a version to the map table and returns the whole table as stored.
+
+    A version is a folder of its own, which appears with its commit; a version that is there already (a
+    second run) is an error, never added to.  ``number`` saves reading the version's own.
+    """
+    if number is None:
+        version = materialize(version, "slot-map")
+        number = version.agg(F.max("version")).first()[0]
+    version.select("virtual_slot", "shard").coalesce(1).write.mode("errorifexists").parquet(f"{folder}/version={number}")
     return version.sparkSession.read.schema("virtual_slot int, shard int, version int").parquet(folder)
 
 
@@ -85,6 +100,19 @@ def assign(records: DataFrame, slot_map: DataFrame) -> DataFrame:
     return records.join(F.broadcast(slot_map), "virtual_slot")
 
 
+def numbered_copies(rows: DataFrame) -> DataFrame:
+    """Each row of ``rows(…, copies)`` that many times, with ``copy`` from 1.
+
+    A row with very many copies is cut into blocks of them, which are dealt out before they are made.
+    """
+    keys = [c for c in rows.columns if c != "copies"]
+    few = rows.filter(F.col("copies") <= COPIES).select(*keys, F.explode(F.expr("sequence(1L, copies)")).alias("copy"))
+    blocks = rows.filter(F.col("copies") > COPIES).select(*keys, "copies", F.explode(F.expr(f"sequence(0L, (copies - 1) div {COPIES})")).alias("block"))
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    many = blocks.repartition(parts, *keys, "block").select(*keys, F.explode(F.expr(f"sequence(block * {COPIES} + 1, least((block + 1) * {COPIES}, copies))")).alias("copy"))
+    return few.unionByName(many)
+
+
 def shard_documents(docs: DataFrame, n_shards: int = 16, n_slots: int = N_SLOTS, folder: str | None = None) -> DataFrame:
     """Places of all documents: doc_id, size, text_crc32, virtual_slot, map_version, shard, slot.
 
@@ -95,11 +123,10 @@ def shard_documents(docs: DataFrame, n_shards: int = 16, n_slots: int = N_SLOTS,
     folder = folder or f"{shared_dir(spark)}/slot-map-{uuid.uuid4().hex}"
     rows = narrow(docs, "doc_id", "text").select("doc_id", size_of().alias("size"), F.crc32(text_or_empty()).alias("text_crc32"))
     rows = rows.groupBy("doc_id", "size", "text_crc32").agg(F.count(F.lit(1)).alias("copies"))
-    rows = rows.select("doc_id", "size", "text_crc32", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
-    rows = rows.withColumn("virtual_slot", slot_of(F.col("doc_id"), F.col("text_crc32"), F.col("copy"), n_slots=n_slots))
-    table = store_map(initial_map(spark, n_shards, n_slots), folder)
+    rows = numbered_copies(rows).withColumn("virtual_slot", slot_of(F.col("doc_id"), F.col("text_crc32"), F.col("copy"), n_slots=n_slots))
+    table = store_map(initial_map(spark, n_shards, n_slots), folder, 0)
     load = rows.groupBy("virtual_slot").agg(F.sum("size").alias("bytes"))
-    table = store_map(rebalance(latest(table), load, n_shards), folder)
+    table = store_map(rebalance(latest(table), load, n_shards), folder, 1)
     version = latest(table)
     counts = assign(rows.groupBy("virtual_slot").agg(F.count(F.lit(1)).alias("n")), version)
     first = counts.select(
