@@ -30,6 +30,10 @@ class _Writer:
         self.rng, self.out, self.labels = rng, [], []
         #: Most words of a paragraph: some pages are short throughout.
         self.longest = rng.choice([3, 8, 30, 90, 90])
+        #: Some sites name their parts in ways that say nothing; there longer prose is all there is to go by.
+        self.obscure = rng.random() < 0.25
+        if self.obscure:
+            self.longest = rng.choice([30, 60, 90])
 
     def words(self, low: int, high: int) -> str:
         r = self.rng
@@ -39,6 +43,8 @@ class _Writer:
         r, attributes = self.rng, ""
         if names:
             chosen = r.sample(names, 1 + (r.random() < 0.3))
+            if self.obscure:
+                chosen = ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.choice([1, 4, 6]))) + str(r.randint(0, 99)) for _ in chosen]
             value = r.choice(["-", "_", " "]).join(chosen)
             attributes = f' {r.choice(["class", "class", "id"])}="{value}"'
         self.out.append(f"<{tag}{attributes}>")
@@ -147,6 +153,9 @@ class _Writer:
         self.leaf(tag, 0, self.rng.choice(['var t="</p>";track(1);', "p{margin:0}", self.words(1, 12)]))
 
     def noise(self) -> None:
+        if self.obscure:
+            self.rng.choice([self.unseen, self.form, self.menu, lambda: self.box(SIDE, ("aside",)), lambda: self.box(SHARE, low=1, high=4)])()
+            return
         self.rng.choice(
             [lambda: self.box(ADS), lambda: self.box(ADS), lambda: self.box(NOTICE), lambda: self.box(SHARE, low=1, high=6), self.unseen,
              lambda: self.box(SIDE, ("aside", "div", "section")), self.form, self.menu]
@@ -203,23 +212,25 @@ class _Writer:
         elif shape < 0.55:
             tags = [("main", r.choice([None, CONTENT]))]
         elif shape < 0.75:
-            tags = [("div", CONTENT)]
+            tags = [(r.choice(["div", "div", "section"]), CONTENT)]
         elif shape < 0.9:
             tags = [("main", None), ("article", None)]
         else:
             tags = [("div", None)]
+        if self.obscure and shape >= 0.3:
+            tags = [("div", r.choice([None, CONTENT])) for _ in range(r.randint(1, 4))]
         if r.random() < 0.15:
             tags.append(("div", r.choice([None, CONTENT])))
         for tag, names in tags:
             self.open(tag, 1, names)
         if r.random() < 0.85:
             self.leaf("h1", 1, self.words(1, 14))
-        for _ in range(r.choice([0, 1, 1, 1, 2, 3, 5, 8, 12])):
+        for _ in range(r.choice([2, 3, 5, 8]) if self.obscure else r.choice([0, 1, 1, 1, 2, 3, 5, 8, 12])):
             self.paragraph()
             if r.random() < 0.04:
                 self.noise()
         for tag, _ in reversed(tags):
-            if r.random() < 0.07:
+            if r.random() < 0.07 and not self.obscure:
                 self.comments()
             self.close(tag)
 
@@ -246,7 +257,7 @@ class _Writer:
         self.content()
         for _ in range(r.randint(0, 2)):
             self.noise()
-        if r.random() < 0.35:
+        if r.random() < 0.35 and not self.obscure:
             self.comments()
         if r.random() < 0.85:
             self.bottom()

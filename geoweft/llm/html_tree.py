@@ -9,13 +9,16 @@ gradient needs only the same marginals).
 All pages of a batch are one forest, so messages are passed level by level for all of them at once.
 
 Edge cases: a null or empty page has no text; unclosed tags, stray end tags, cut-off pages and bare text
-are parsed leniently; repeated rows are extracted each; an empty table gives an empty result.
+are parsed leniently; very long and very deep pages are parsed whole, in linear time; a marginal of exactly
+a half is not content; repeated rows are extracted each; an empty table gives an empty result; columns
+besides page_id, url and html are not read, whatever their names.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -33,6 +36,10 @@ BLOCKS = frozenset(
 )
 RAW = frozenset("script style textarea title noscript template iframe svg".split())
 UNSEEN = frozenset("head script style title textarea noscript template iframe svg".split())
+#: Elements around a whole page: they hold content and all else, so they are tied to no child.
+FRAMES = frozenset("#root html body".split())
+#: The feature of a class or id word that too few of the labelled pages have; pages that they are fitted on at least.
+UNKNOWN, MIN_PAGES = "name=?", 6
 VOID = frozenset("br hr img input meta link wbr area base col embed source track".split())
 #: An element that starts ends these if they are open inside the nearest list, table or select.
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"thead", "tbody", "tr", "td", "th"}}
@@ -40,10 +47,19 @@ SCOPES = frozenset("ul ol dl table select body html div section article".split()
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<[!?/][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(?:>|\Z)", re.S)
 _NAMES = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
-_WORD = re.compile(r"[a-z]+|\d+")
+_WORD = re.compile(r"[a-z]{2,}")
 _RIGHTS = re.compile(r"&copy;|©|copyright|all rights reserved|cookie", re.I)
 
 
+@lru_cache(maxsize=64)
+def _ends(tag: str) -> re.Pattern:
+    return re.compile(rf"</{tag}(?![a-zA-Z0-9])\s*>?", re.I)
+
+
+#: Features of text, as ``Page.described`` writes them.
+TEXT_FEATURES = frozenset(["rights", *(f"{a}={n}" for a, m in (("own", 8), ("all", 10), ("prose", 8), ("?prose", 8), ("link", 6)) for n in range(m))])
+
+
 class Page:
     """Nodes (parents come first) and pieces of text of one page."""
 
@@ -57,11 +73,11 @@ class Page:
         self._parse(html)
 
     def _open(self, tag: str, attributes: str, parent: int, parent_tag: str) -> int:
-        found = [f"tag={tag}", f"in={parent_tag}"]
+        found = [f"tag={tag}", "in=frame" if parent_tag in FRAMES else f"in={parent_tag}"]
         if attributes:
             for m in _NAMES.finditer(attributes):
                 kind = m[1].lower()
-                found += [f"{kind}={w}" if kind == "role" else f"name={w}" for w in _WORD.findall((m[2] or m[3] or m[4] or "").lower())]
+                found += [f"{kind}={w}" if kind == "role" else f"name={w}" for w in _WORD.findall((m[2] or m[3] or m[4] or "").lower()) or ["?"]]
         self.parent.append(parent)
         self.features.append(found)
         self.words.append(0)
@@ -81,6 +97,24 @@ class Page:
 
     def _parse(self, html: str) -> None:
         stack: list[tuple[str, int]] = [("#root", 0)]
+        #: Open elements by tag: the stack is searched only for what it holds, so a page takes linear time.
+        held: dict[str, int] = {}
+
+        def close_to(wanted: str | set[str], scopes: frozenset[str] = frozenset()) -> bool:
+            """Closes elements down to the nearest wanted one, unless a scope comes first."""
+            tags = {wanted} if isinstance(wanted, str) else wanted
+            if not any(held.get(t) for t in tags):
+                return False
+            for k in range(len(stack) - 1, 0, -1):
+                if stack[k][0] in tags:
+                    for t, _ in stack[k:]:
+                        held[t] -= 1
+                    del stack[k:]
+                    return True
+                if stack[k][0] in scopes:
+                    break
+            return False
+
         at, block, linked, size = 0, 0, 0, len(html)
         while at < size:
             m = _TOKEN.search(html, at)
@@ -106,48 +140,45 @@ class Page:
             breaks = tag in BLOCKS
             block += breaks
             if closing:
-                depth = next((k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == tag), 0)
-                if depth:
-                    del stack[depth:]
-                    linked = linked if not breaks else 0
+                if close_to(tag) and breaks:
+                    linked = 0
                 continue
             if breaks:
                 linked = 0
-                ends = SIBLINGS.get(tag)
-                depth = next((k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == "p"), 0)
-                if depth:
-                    del stack[depth:]
-                if ends:
-                    for k in range(len(stack) - 1, 0, -1):
-                        if stack[k][0] in ends:
-                            del stack[k:]
-                        elif stack[k][0] in SCOPES:
-                            break
+                close_to("p")
+                while tag in SIBLINGS and close_to(SIBLINGS[tag], SCOPES):
+                    pass
             if tag in RAW:
                 node = self._open(tag, attributes, stack[-1][1], stack[-1][0])
-                end = re.compile(rf"</{tag}\s*>?", re.I).search(html, at) if not attributes.endswith("/") else None
+                # only svg can close itself: HTML takes no notice of the slash of other elements
+                alone = tag == "svg" and attributes.endswith("/")
+                end = None if alone else _ends(tag).search(html, at)
                 if end:
                     block += 1
                     self._text(html[at : end.start()], node, block, False)
                     block += 1
                     at = end.end()
-                elif not attributes.endswith("/"):
+                elif not alone:
                     at = size
                 continue
-            if (breaks or "=" in attributes and tag != "a") and not attributes.endswith("/"):
+            if breaks or "=" in attributes and tag != "a":
                 stack.append((tag, self._open(tag, attributes, stack[-1][1], stack[-1][0])))
+                held[tag] = held.get(tag, 0) + 1
 
     def described(self) -> list[list[str]]:
-        """Features with those of text: amount, share of links, rights notices; own and below."""
+        """Features with those of text: amount, share of links, longest prose, rights notices; own and below."""
         words, links = self.words[:], self.links[:]
+        prose = [w - k for w, k in zip(words, links, strict=True)]
         for i in range(len(words) - 1, 0, -1):
             if self.features[i][0][4:] not in UNSEEN:
                 words[self.parent[i]] += words[i]
                 links[self.parent[i]] += links[i]
+                prose[self.parent[i]] = max(prose[self.parent[i]], prose[i])
         for i, f in enumerate(self.features):
             own = self.words[i]
             f.append(f"own={min(own.bit_length(), 7)}")
             f.append(f"all={min(words[i].bit_length(), 9)}")
+            f.append(f"prose={min(prose[i].bit_length(), 7)}")
             f.append(f"link={4 * links[i] // words[i] if words[i] else 5}")
             if self.rights[i]:
                 f.append("rights")
@@ -157,15 +188,19 @@ class Page:
 class Forest:
     """Many trees as arrays: nodes by level, for messages level by level."""
 
-    def __init__(self, pages: list[Page], vocabulary: dict[str, int], grow: bool = False) -> None:
+    def __init__(self, pages: list[Page], vocabulary: dict[str, int], grow: frozenset[str] = frozenset()) -> None:
+        """With ``grow``, its features join the vocabulary; names that are in neither are one feature."""
         parent, index, owner, unseen, self.bounds = [], [], [], [], [0]
         for page in pages:
             base = len(parent)
             for i, (p, names) in enumerate(zip(page.parent, page.described(), strict=True)):
                 unseen.append(names[0][4:] in UNSEEN)
-                parent.append(base + p if p >= 0 and not unseen[-1] else -1)
-                for name in names:
-                    k = vocabulary.setdefault(name, len(vocabulary)) if grow else vocabulary.get(name)
+                parent.append(base + p if p >= 0 and not unseen[-1] and page.features[p][0][4:] not in FRAMES else -1)
+                known = [n if n in grow or n in vocabulary or not n.startswith("name=") else UNKNOWN for n in names]
+                if UNKNOWN in known:  # where names say nothing, the amount of prose counts on its own
+                    known += [f"?{n}" for n in names if n.startswith("prose=")]
+                for name in known:
+                    k = vocabulary.setdefault(name, len(vocabulary)) if name in grow else vocabulary.get(name)
                     if k is not None:
                         index.append(k)
                         owner.append(base + i)
@@ -207,6 +242,15 @@ class Model:
     def __init__(self, vocabulary: dict[str, int], weights: np.ndarray, tie: np.ndarray) -> None:
         self.vocabulary, self.weights, self.tie = vocabulary, weights, tie
 
+    def save(self, path: str) -> None:
+        """Writes the model as an ``.npz`` file, so that a fit can be kept between sessions."""
+        np.savez_compressed(path, names=np.array(list(self.vocabulary)), weights=self.weights, tie=self.tie)
+
+    @classmethod
+    def load(cls, path: str) -> Model:
+        with np.load(path) as f:
+            return cls({str(n): k for k, n in enumerate(f["names"])}, f["weights"], f["tie"])
+
     def texts(self, pages: list[str | None]) -> list[str]:
         parsed = [Page(html or "") for html in pages]
         forest = Forest(parsed, self.vocabulary)
@@ -222,12 +266,15 @@ class Model:
         return out
 
 
-def fit(pages: list[tuple[str, list[int]]], rounds: int = 400, rate: float = 1.0, decay: float = 1e-5) -> Model:
+def fit(pages: list[tuple[str, list[int]]], rounds: int = 600, rate: float = 3.0, decay: float = 1e-5) -> Model:
     """Maximum-likelihood weights from labelled pages: html, and the label of each element in order."""
     vocabulary: dict[str, int] = {}
     parsed = [Page(html) for html, _ in pages]
     labels = np.concatenate([np.array([0, *marks]) for _, marks in pages])
-    forest = Forest(parsed, vocabulary, grow=True)
+    on = Counter(name for page in parsed for name in {x for f in page.features for x in f})
+    vocabulary[UNKNOWN] = 0
+    # features of text are added to a page when it joins a forest, so they are taken as they come
+    forest = Forest(parsed, vocabulary, frozenset(n for n, k in on.items() if k >= MIN_PAGES or not n.startswith("name=")) | TEXT_FEATURES)
     assert len(labels) == len(forest.parent), "labels and nodes differ"
     weights, tie = np.zeros(len(vocabulary)), np.zeros((2, 2))
     child = forest.parent >= 0
