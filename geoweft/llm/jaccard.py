@@ -9,18 +9,23 @@ The n-grams of all documents have one global order, by (document frequency, hash
 2. *Survivors.*  A document whose shared n-grams are fewer than the threshold's share of its set has no
    link and is done.  Equal sets become one class.
 3. *Candidates.*  Linked sets share an n-gram of their prefixes (the rarest n-grams, as many as the
-   threshold needs).  Sets are tied to the least set of each prefix bucket, which is linear in the
-   bucket; the components of these ties hold all links.
-4. *Vertical partitioning.*  A component is cut into blocks of sets (by size, so that only sizes that
-   can link meet), and the global order into fragments.  For each pair of blocks and each fragment the
-   partial overlaps are counted on their own; they are summed per pair, and compared with the threshold.
-5. The components of the links are the result.
-
-No pairs are emitted as rows: a pair of blocks is one row with a matrix of counts.
+   threshold needs).  The least set of a prefix bucket is its hub; each set first meets the hub that it
+   shares most prefix n-grams with, in units of at most BLOCK sets, which is linear in the sets.  The links
+   found there settle most buckets: one whose sets are all in one component needs nothing more.
+4. *Rest.*  Sets of different components that share a prefix n-gram and can be linked by their sizes are
+   tied through their buckets; each component of these ties is cut into blocks of sets by size, and
+   blocks whose sizes can link meet in pairs.
+5. *Vertical partitioning.*  The global order is cut into fragments.  For each unit (of 3 or 4) and each
+   fragment the partial overlaps are counted on their own; they are summed per pair, and compared with
+   the threshold.
+6. The components of all links are the result.
+
+No pairs are emitted as rows: a unit is one row with a matrix of counts.
 
 Edge cases: null and empty texts have an empty set and no links; a text of fewer words than n is one
-n-gram; repeated rows are equal sets; null ids never name a component that has another id; an empty
-table gives an empty result.
+n-gram; a very long text is a chunk of its own; repeated rows are equal sets; of equal sizes and
+frequencies hashes decide, so there are no ties; null ids never name a component that has another id; an
+empty table gives an empty result; columns besides doc_id and text are not read, or pass through.
 """
 
 from __future__ import annotations
@@ -42,6 +47,11 @@ from .store import input_bytes, materialize, narrow, placed
 CHUNK_GRAMS, CHUNK_DOCS = 1_000_000, 60_000
 #: Input bytes of a hash range; about three times as many n-grams fit as a range has then.
 RANGE_BYTES = 6 << 20
+#: Ranges up to which a range's bytes stay the same.  Beyond, both the ranges and their bytes grow with the root of the
+#: input, since a chunk of n-grams spread over more ranges than it can fill would be sent n-gram by n-gram.
+RANGES = 1 << 16
+#: N-grams of a range that are counted at once.
+SLICE = 1 << 22
 #: Sets of a block; a pair of blocks is compared in one task.
 BLOCK = 256
 #: Document frequencies at which the global order is cut into fragments.
@@ -116,11 +126,10 @@ def _chunks(words: int, bits: int):
             edge[-1] = len(distinct)
             chunk = (part << 32) + number
             out = {"chunk": [], "dest": [], "hashes": [], "ords": [], "counts": []}
-            for k in range(1 << bits):
+            for k in np.flatnonzero(edge[1:] > edge[:-1]).tolist():
                 a, b = edge[k], edge[k + 1]
-                if a < b:
-                    for name, value in zip(out, (chunk, k, _pack(distinct[a:b]), ords[a:b].tobytes(), count[a:b][many[a:b]].astype(np.uint32).tobytes()), strict=True):
-                        out[name].append(value)
+                for name, value in zip(out, (chunk, k, _pack(distinct[a:b]), ords[a:b].tobytes(), count[a:b][many[a:b]].astype(np.uint32).tobytes()), strict=True):
+                    out[name].append(value)
             posting = np.repeat(many, count)
             values = np.stack([id_.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64), np.concatenate(marks)])
             own = (chunk, -1 - chunk, distinct[many].tobytes(), row[posting].astype(np.uint16).tobytes(), count[many].astype(np.uint32).tobytes())
@@ -173,6 +182,29 @@ def _grouped(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[int,
         yield now, rows
 
 
+def _counted(lists: list[np.ndarray], weights: list[np.ndarray]) -> list[np.ndarray]:
+    """For each of several sorted lists the summed weights of its hashes over all lists, slice by slice of their range."""
+    out = [np.empty(len(h), np.int64) for h in lists]
+    n = sum(map(len, lists)) // SLICE + 1
+    low, high = (int(f(h[k] for h in lists if len(h))) for f, k in ((min, 0), (max, -1)))
+    cuts = [low + (high - low + 1) * k // n for k in range(n)] + [high + 1]
+    for low, high in zip(cuts[:-1], cuts[1:], strict=True):
+        at = [np.searchsorted(h, np.array([low, high], np.uint64)) for h in lists]
+        every, weight = (np.concatenate([x[a:b] for x, (a, b) in zip(of, at, strict=True)]) for of in (lists, weights))
+        if not len(every):
+            continue
+        order = np.argsort(every, kind="stable")
+        ordered = every[order]
+        first = np.concatenate([[True], ordered[1:] != ordered[:-1]])
+        freq = np.empty(len(every), np.int64)
+        freq[order] = np.add.reduceat(weight[order], np.flatnonzero(first))[np.cumsum(first) - 1]
+        done = 0
+        for x, (a, b) in zip(out, at, strict=True):
+            x[a:b] = freq[done : done + b - a]
+            done += b - a
+    return out
+
+
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Shared n-grams of each chunk in a hash range, with their document frequency."""
     names = [c.split()[0] for c in _REPLY.split(", ")]
@@ -189,16 +221,9 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             w = np.ones(len(o), np.int64)
             w[o == _MANY] = np.frombuffer(r["counts"], np.uint32)
             weights.append(w)
-        every, weight = np.concatenate(lists), np.concatenate(weights)
-        order = np.argsort(every, kind="stable")
-        ordered = every[order]
-        first = np.concatenate([[True], ordered[1:] != ordered[:-1]])
-        freq = np.empty(len(every), np.int64)
-        freq[order] = np.add.reduceat(weight[order], np.flatnonzero(first))[np.cumsum(first) - 1]
-        out, at = [], 0
-        for r, h, o in zip(rows, lists, ords, strict=True):
-            f = freq[at : at + len(h)]
-            at += len(h)
+        freqs = _counted(lists, weights)
+        out = []
+        for r, h, o, f in zip(rows, lists, ords, freqs, strict=True):
             keep = f > 1
             if keep.any():
                 out.append({"chunk": r["chunk"], "hashes": _pack(h[keep]), "ords": o[keep].tobytes(), "freq": np.minimum(f[keep], 2**31 - 1).astype(np.int32).tobytes()})
@@ -257,7 +282,8 @@ def _survivors(percent: int):
 def gram_sets(docs: DataFrame, words: int, percent: int) -> DataFrame:
     """Set sizes and signatures of all documents; the shared n-grams, in global order, of the survivors."""
     size = input_bytes(docs)
-    bits = min(20, max(4, math.ceil(math.log2(size / RANGE_BYTES + 1))))
+    ranges = size / RANGE_BYTES + 1
+    bits = max(4, math.ceil(math.log2(ranges if ranges <= RANGES else math.sqrt(ranges * RANGES))))
     n = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), (1 << bits) // 4)
     texts = narrow(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
     sent = texts.mapInArrow(bk.tidy(_chunks(words, bits)), _CHUNK).repartition(n, "dest").sortWithinPartitions("dest")
@@ -265,37 +291,48 @@ def gram_sets(docs: DataFrame, words: int, percent: int) -> DataFrame:
     return materialize(back.mapInArrow(bk.tidy(_survivors(percent)), SETS), "jaccard-sets")
 
 
+def _tables(batches: Iterator[pa.RecordBatch], *keys: str) -> Iterator[pa.Table]:
+    """Groups of sorted batches as tables."""
+    now, parts = None, []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [batch.column(k).to_numpy(zero_copy_only=False) for k in keys]
+        new = np.flatnonzero(np.any([c[1:] != c[:-1] for c in columns], axis=0)) + 1
+        for a, b in zip([0, *new.tolist()], [*new.tolist(), batch.num_rows], strict=True):
+            key = tuple(c[a] for c in columns)
+            if parts and key != now:
+                yield pa.Table.from_batches(parts)
+                parts = []
+            now = key
+            parts.append(batch.slice(a, b - a))
+    if parts:
+        yield pa.Table.from_batches(parts)
+
+
 def _partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Overlap counts of the sets of a unit, in one fragment of the global order."""
-    for unit, rows in _grouped_pairs(batches):
-        lists = [np.array(r["tokens"], np.int64) for r in rows]
-        member = np.repeat(np.arange(len(rows)), [len(x) for x in lists])
-        _, column, count = np.unique(np.concatenate(lists), return_inverse=True, return_counts=True)
+    for group in _tables(batches, "unit", "fragment"):
+        n = group.num_rows
+        lists = [x for x in group.column("tokens").chunks if len(x)]
+        member = np.repeat(np.arange(n), np.concatenate([np.diff(x.offsets.to_numpy()) for x in lists]))
+        tokens = np.concatenate([x.flatten().to_numpy() for x in lists])
+        _, column, count = np.unique(tokens, return_inverse=True, return_counts=True)
         both = count[column] > 1
         column = np.unique(column[both], return_inverse=True)[1]
         member = member[both]
-        total = np.zeros((len(rows), len(rows)), np.float32)
+        total = np.zeros((n, n), np.float32)
         width, step = int(column.max(initial=-1)) + 1, 4096
         order = np.argsort(column, kind="stable")
         member, column = member[order], column[order]
         for a in range(0, width, step):
             i, j = np.searchsorted(column, (a, a + step))
-            bits = np.zeros((len(rows), min(step, width - a)), np.float32)
+            bits = np.zeros((n, min(step, width - a)), np.float32)
             bits[member[i:j], column[i:j] - a] = 1
             total += bits @ bits.T
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([unit], pa.int64()), pa.array([[r["cid"] for r in rows]], pa.list_(pa.int64())), pa.array([[r["n"] for r in rows]], pa.list_(pa.int64())), pa.array([total.astype(np.uint32).tobytes()], pa.binary())],
-            names=["unit", "cids", "sizes", "overlap"],
-        )
-
-
-def _grouped_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[dict]]]:
-    for unit, rows in _grouped(batches, "unit"):
-        by: dict[int, list[dict]] = {}
-        for r in rows:
-            by.setdefault(r["fragment"], []).append(r)
-        for own in by.values():
-            yield int(unit), own
+        one = pa.array([0, n], pa.int32())
+        cids, sizes = (pa.ListArray.from_arrays(one, pa.concat_arrays(group.column(c).chunks)) for c in ("cid", "n"))
+        yield pa.RecordBatch.from_arrays([group.column("unit").chunk(0).slice(0, 1), cids, sizes, pa.array([total.astype(np.uint32).tobytes()], pa.binary())], names=["unit", "cids", "sizes", "overlap"])
 
 
 def _links(percent: int):
@@ -303,9 +340,8 @@ def _links(percent: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in _grouped(batches, "unit"):
-            sizes = {c: n for r in rows for c, n in zip(r["cids"], r["sizes"], strict=True)}
-            cids = np.array(sorted(sizes), np.int64)
-            size = np.array([sizes[c] for c in cids.tolist()], np.int64)
+            cids, at = np.unique(np.concatenate([np.array(r["cids"], np.int64) for r in rows]), return_index=True)
+            size = np.concatenate([np.array(r["sizes"], np.int64) for r in rows])[at]
             total = np.zeros((len(cids), len(cids)), np.int64)
             for r in rows:
                 at = np.searchsorted(cids, np.array(r["cids"], np.int64))
@@ -352,42 +388,90 @@ def _fragments(units: DataFrame) -> DataFrame:
     return cut.select("unit", F.col("s.fragment").alias("fragment"), "cid", "n", F.col("s.tokens").alias("tokens"))
 
 
-def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """(doc_id, text_hash, n_shingles, component_id) of all rows: documents link whose sets are so similar."""
+def _stars(posts: DataFrame) -> DataFrame:
+    """(unit, cid): each set with the hub that it shares most prefix n-grams with, in units of at most BLOCK sets."""
+    hubs = posts.groupBy("token").agg(F.min("cid").alias("hub"), F.max("cid").alias("top")).filter("hub <> top")
+    shared = posts.join(hubs, "token").filter("cid <> hub").groupBy("cid", "hub").agg(F.count(F.lit(1)).alias("k"))
+    best = materialize(shared.groupBy("cid").agg(F.max(F.struct("k", "hub")).alias("best")).select("cid", F.col("best.hub").alias("hub")), "jaccard-hubs")
+    loads = best.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / (BLOCK - 1)).cast("int").alias("units"))
+    own = best.join(loads, "hub").select(F.expr("xxhash64(hub, pmod(xxhash64(cid), units))").alias("unit"), "cid")
+    return own.unionByName(loads.select(F.explode(F.expr("transform(sequence(0, units - 1), k -> xxhash64(hub, cast(k AS bigint)))")).alias("unit"), F.col("hub").alias("cid")))
+
+
+def _linked(units: DataFrame, percent: int, n: int) -> DataFrame:
+    """Links (a, b) of ``units(unit, cid, n, tokens, freqs)`` by partial overlaps; each linked set is tied to the least it reaches."""
+    cut = _fragments(units).repartition(n, "unit", "fragment").sortWithinPartitions("unit", "fragment")
+    partial = cut.mapInArrow(bk.tidy(_partial), "unit long, cids array<long>, sizes array<long>, overlap binary")
+    return materialize(partial.repartition(n, "unit").sortWithinPartitions("unit").mapInArrow(bk.tidy(_links(percent)), "a long, b long"), "jaccard-links")
+
+
+def _classes(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``sets`` with the id ``cid`` of their class, and the classes of equal sets.
+
+    A set is told by its size and two 64-bit signatures; should two classes get one id, another salt is taken.
+    """
+    signs = ["n", "sign1", "sign2"]
+    for salt in range(8):
+        named = sets.withColumn("cid", F.expr(f"IF(tokens IS NULL, NULL, xxhash64({salt}, sign1, sign2, n))"))
+        classes = materialize(
+            named.filter("cid IS NOT NULL").groupBy("cid").agg(
+                F.min("doc_id").alias("first_doc"), F.first("prefix").alias("prefix"), F.first("tokens").alias("tokens"), F.first("freqs").alias("freqs"),
+                *(F.min(c).alias(c) for c in signs), *(F.max(c).alias(f"most_{c}") for c in signs),
+            ),
+            "jaccard-classes",
+        )
+        if classes.filter(" OR ".join(f"{c} <> most_{c}" for c in signs)).isEmpty():
+            return named, classes
+    raise RuntimeError("classes of equal sets cannot be told apart")
+
+
+def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, named: bool = False) -> DataFrame:
+    """(doc_id, text_hash, n_shingles, component_id) of all rows: documents link whose sets are so similar.
+
+    With ``named`` also ``component``, an id of the component that does not need documents' ids (null for rows
+    that can link with nothing).
+    """
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    sets = gram_sets(docs, words, percent).withColumn("cid", F.expr("IF(tokens IS NULL, NULL, xxhash64(sign1, sign2, n))"))
-    classes = materialize(
-        sets.filter("cid IS NOT NULL").groupBy("cid").agg(
-            F.min("doc_id").alias("first_doc"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("tokens").alias("tokens"), F.first("freqs").alias("freqs")
-        ),
-        "jaccard-classes",
-    )
-    post = classes.select("cid", F.explode(F.expr("slice(tokens, 1, prefix)")).alias("token"))
-    hubs = post.groupBy("token").agg(F.min("cid").alias("hub"), F.max("cid").alias("top")).filter("hub <> top")
-    ties = post.join(hubs, "token").filter("cid <> hub").select(F.col("cid").alias("a"), F.col("hub").alias("b"))
+    sets, classes = _classes(gram_sets(docs, words, percent))
+    held = classes.select("cid", "n", "tokens", "freqs")
+    posts = classes.select("cid", F.explode(F.expr("slice(tokens, 1, prefix)")).alias("token"))
+    links = _linked(_stars(posts).join(held, "cid"), percent, n)
+    settled = components(links).select(F.col("node").alias("cid"), F.col("component").alias("known"))
+    # sets whose sizes can link are in one band or in neighbouring ones, so each posts to its own and to the next
+    band = F.floor(F.log("n") / F.lit(math.log(100 / percent))).cast("int")
+    open_ = classes.join(settled, "cid", "left").select("cid", F.coalesce("known", "cid").alias("known"), band.alias("own"), F.explode(F.expr("slice(tokens, 1, prefix)")).alias("token"))
+    open_ = open_.select("cid", "known", "token", F.explode(F.array("own", F.col("own") + 1)).alias("band"))
+    buckets = open_.groupBy("token", "band").agg(F.min("known").alias("least"), F.max("known").alias("most"), F.min("cid").alias("hub")).filter("least <> most")
+    ties = open_.join(buckets, ["token", "band"]).filter("cid <> hub").select(F.col("cid").alias("a"), F.col("hub").alias("b"))
     near = components(ties).select(F.col("node").alias("cid"), "component")
-    members = classes.join(near, "cid").select("component", "cid", "n", "tokens", "freqs")
-    cut = _fragments(_units(members, percent)).repartition(n, "unit", "fragment").sortWithinPartitions("unit", "fragment")
-    partial = cut.mapInArrow(bk.tidy(_partial), "unit long, cids array<long>, sizes array<long>, overlap binary")
-    links = partial.repartition(n, "unit").sortWithinPartitions("unit").mapInArrow(bk.tidy(_links(percent)), "a long, b long")
-    groups = components(links).select(F.col("node").alias("cid"), "component")
-    named = classes.select("cid", "first_doc").join(groups, "cid", "left").withColumn("component", F.coalesce("component", "cid"))
-    least = named.groupBy("component").agg(F.min("first_doc").alias("component_id"))
+    more = _linked(_units(held.join(near, "cid"), percent), percent, n)
+    groups = components(links.unionByName(more)).select(F.col("node").alias("cid"), "component")
+    whose = classes.select("cid", "first_doc").join(groups, "cid", "left").withColumn("component", F.coalesce("component", "cid"))
+    least = whose.groupBy("component").agg(F.min("first_doc").alias("component_id"))
     # a stored side lets adaptive execution split the copies of one set on the other
-    named = materialize(named.join(least, "component").select("cid", "component_id"), "named")
-    return sets.join(named, "cid", "left").select("doc_id", "text_hash", F.col("n").alias("n_shingles"), F.expr("IF(cid IS NULL, doc_id, component_id)").alias("component_id"))
+    whose = materialize(whose.join(least, "component").select("cid", "component", "component_id"), "components")
+    out = sets.join(whose, "cid", "left").select("doc_id", "text_hash", F.col("n").alias("n_shingles"), F.expr("IF(cid IS NULL, doc_id, component_id)").alias("component_id"), "component")
+    return out if named else out.drop("component")
 
 
 def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` without the rows whose component has a smaller id; all columns stay.
+    """``docs`` with one row of each component; all columns stay.
 
-    Rows of one component that share its least id are one document and all stay; rows without id stay
-    unless their component has an id.
+    The row of the least id stays (rows without id come last), of rows with that id the one of the least text
+    hash, and one of equal rows.  Rows that link with nothing all stay.
     """
-    gone = jaccard_components(docs, words, percent).filter("NOT doc_id <=> component_id")
-    gone = gone.select(F.col("doc_id").alias("_gone"), F.col("text_hash").alias("_hash")).distinct()
-    gone = materialize(gone, "gone")
+    found = jaccard_components(docs, words, percent, named=True).filter("component IS NOT NULL")
+    first = found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("first"))
+    keys = found.groupBy("component", "doc_id", "text_hash").agg(F.count(F.lit(1)).alias("copies")).join(first, "component").select(
+        F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h"), (F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_hash") == F.col("first.text_hash"))).alias("stays"), "copies"
+    )
+    keys = materialize(keys, "near-duplicates")
     inner, at = placed(docs)
-    same = F.col(at["doc_id"]).cast("long").eqNullSafe(F.col("_gone")) & (F.xxhash64(at["text"]) == F.col("_hash"))
-    return inner.join(gone, same, "left_anti").toDF(*docs.columns)
+    same = F.col(at["doc_id"]).cast("long").eqNullSafe(F.col("_d")) & (F.xxhash64(at["text"]) == F.col("_h"))
+    out = inner.join(keys.filter("NOT stays OR copies > 1"), same, "left_anti")
+    repeated = keys.filter("stays AND copies > 1")
+    if not repeated.isEmpty():
+        # equal rows are cut to one in each task before the shuffle
+        out = out.unionByName(inner.join(repeated, same).dropDuplicates(["_d", "_h"]).select(*inner.columns))
+    return out.toDF(*docs.columns)
