@@ -5,13 +5,17 @@ it; the state and the matched length say, at each word, the longest run of words
 some item holds.  A run of ``window`` words (or a whole shorter item) is an occurrence; its words are
 hit.
 
-An automaton is built from a block of items of bounded size, so that it fits a worker.  A benchmark of one
-block is one pass over the rows without a shuffle; more blocks are as many passes, whose hits are merged.  Words that no item holds reset the automaton, so stretches whose word pairs
-are in no item are skipped by a vectorised test before the automaton runs.
-
-Edge cases: null or empty texts and items have no words and match nothing; items with equal ids count
-once, a null id is written as the empty string; repeated rows are scanned each; an empty benchmark
-leaves all documents clean.
+An automaton is built from a block of items of bounded size, so that it fits a worker; an item larger than
+that is cut into pieces that overlap by a window less one word, which loses no window.  A benchmark of one
+block is one pass over the rows without a shuffle.  More blocks are as many passes, one after the other: only
+one block is sent to the executors at a time, and its hits are stored before the next one is.  Words that no
+item holds reset the automaton, so stretches whose word pairs are in no item are skipped by a vectorised test
+before the automaton runs.
+
+Edge cases: null or empty texts and items have no words and match nothing; very long texts are streamed in
+whole; items with equal ids count once, a null id is written as the empty string; a window that several items
+hold counts for each; repeated rows are scanned each; an empty benchmark leaves all documents clean; columns
+besides doc_id and text are not read, or pass through, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytekit as bk
-from .store import materialize, narrow, placed
+from .store import discard, materialize, narrow, placed
 
 WINDOW = 8
 #: Words of benchmark items in one automaton; what is sent to the executors is bounded by it.
@@ -179,8 +183,20 @@ class Automaton:
         return np.stack([starts[keep], ends[keep]], axis=1)
 
 
-def _blocks(benchmark: DataFrame, block_words: int) -> list[DataFrame]:
+def _blocks(benchmark: DataFrame, window: int, block_words: int) -> list[DataFrame]:
+    """The items, cut into pieces of at most ``block_words`` words, in blocks of about that many."""
+    most = max(block_words, 2 * window)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple[str, str]] = []
+            for name, text in zip(batch.column("item_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                words = words_of(text)
+                out += [(name, b" ".join(words[a : a + most]).decode()) for a in range(0, max(1, len(words) - window + 1), most - window + 1)]
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.string()) for k in range(2)], names=["item_id", "text"])
+
     items = narrow(benchmark, "item_id", "text").select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), "text").filter(F.col("text").isNotNull())
+    items = materialize(items.mapInArrow(run, "item_id string, text string"), "items")
     total = items.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     n = total // (4 * block_words) + 1
     return [items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k) for k in range(n)]
@@ -224,32 +240,37 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([new.get(c, batch.column(c)) for c in names], names=names)
 
 
-def _over_blocks(rows: DataFrame, passes: list[tuple]) -> DataFrame:
-    """The hits of texts that have any, from a pass over the rows for each block."""
-    parts = [materialize(_scanned(rows, one).filter("size(hit_spans) > 0").dropDuplicates(["doc_id", "text_hash"]), "hits") for one in passes]
+def _over_blocks(rows: DataFrame, blocks: list[DataFrame], window: int) -> DataFrame:
+    """The hits of all texts, from a pass over the rows for each block; the first pass keeps every text's n_words."""
+    parts = []
+    for block in blocks:
+        one = _sent(block, window)
+        found = _scanned(rows, one)
+        parts.append(materialize((found.filter("size(hit_spans) > 0") if parts else found).dropDuplicates(["doc_id", "text_hash"]), "hits"))
+        one[0].destroy()
     every = parts[0]
     for part in parts[1:]:
         every = every.unionByName(part)
     flat = lambda c: F.flatten(F.collect_list(c)).alias(c)
     found = every.groupBy("doc_id", "text_hash").agg(F.first("n_words").alias("n_words"), flat("hit_spans"), flat("hit_items"))
-    return materialize(found.mapInArrow(bk.tidy(_merged), FOUND), "hits")
+    found = materialize(found.mapInArrow(bk.tidy(_merged), FOUND), "hits")
+    for part in parts:
+        discard(part)
+    return found
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
     """All rows: doc_id, n_words, ``hit_spans`` (merged word ranges) and ``hit_items``."""
-    rows, passes = _keyed(docs), _passes(docs.sparkSession, benchmark, window, block_words)
-    if len(passes) == 1:
-        return _scanned(rows, passes[0]).drop("text_hash")
-    found = _over_blocks(rows, passes).select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h"), F.col("hit_spans").alias("_s"), F.col("hit_items").alias("_i"))
-    counted = _scanned(rows, passes[0]).select("doc_id", "text_hash", "n_words")
-    joined = counted.join(found, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("text_hash") == F.col("_h")), "left")
-    return joined.select("doc_id", "n_words", F.coalesce("_s", F.array().cast(SPANS)).alias("hit_spans"), F.coalesce("_i", F.array().cast("array<string>")).alias("hit_items"))
+    rows, blocks = _keyed(docs), _blocks(benchmark, window, block_words)
+    if len(blocks) == 1:
+        return _scanned(rows, _sent(blocks[0], window)).drop("text_hash")
+    found = _over_blocks(rows, blocks, window).select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h"), "n_words", "hit_spans", "hit_items")
+    return rows.drop("text").join(found, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("text_hash") == F.col("_h"))).select("doc_id", "n_words", "hit_spans", "hit_items")
 
 
-def _passes(spark, benchmark: DataFrame, window: int, block_words: int) -> list[tuple]:
-    """(broadcast items, cache key, window) of each block of the benchmark."""
-    blocks = _blocks(benchmark, block_words)
-    return [(spark.sparkContext.broadcast([(r["item_id"], r["text"]) for r in b.toLocalIterator()]), uuid.uuid4().hex, window) for b in blocks]
+def _sent(block: DataFrame, window: int) -> tuple:
+    """(broadcast items, cache key, window) of a block of the benchmark."""
+    return block.sparkSession.sparkContext.broadcast([(r["item_id"], r["text"]) for r in block.toLocalIterator()]), uuid.uuid4().hex, window
 
 
 def _automaton(items, key: str, window: int) -> Automaton:
@@ -317,17 +338,17 @@ def decontaminate(
     """
     inner, at = placed(docs)
     names, text = inner.columns, at["text"]
-    passes = _passes(docs.sparkSession, benchmark, max_span, block_words)
-    known = len(passes) > 1
-    rows = inner
+    blocks = _blocks(benchmark, max_span, block_words)
+    known = len(blocks) > 1
+    rows, one = inner, None if known else _sent(blocks[0], max_span)
     if known:
-        found = _over_blocks(_keyed(docs), passes).select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h"), F.col("n_words").alias("_n"), F.col("hit_spans").alias("_s"))
+        found = _over_blocks(_keyed(docs), blocks, max_span).select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h"), F.col("n_words").alias("_n"), F.col("hit_spans").alias("_s"))
         same = F.col(at["doc_id"]).cast("long").eqNullSafe(F.col("_d")) & (F.xxhash64(text) == F.col("_h"))
         rows = inner.join(found, same, "left").drop("_d", "_h")
 
     def hits(batches):
         if not known:
-            yield from _hits(batches, text, passes[0])
+            yield from _hits(batches, text, one)
             return
         for batch in batches:
             spans = [[(x["a"], x["b"]) for x in own or ()] for own in batch.column("_s").to_pylist()]

@@ -28,6 +28,13 @@ def test_texts(docs, corpus, benchmark, items):
     assert any(t != got[i] for i, t, _ in corpus if i in got) and len(got) < len(corpus)
 
 
+def test_a_huge_item_is_cut_without_loss(spark):
+    words = [f"w{k}" for k in range(400)]
+    docs = spark.createDataFrame([(k, " ".join(words[k : k + 8])) for k in range(393)] + [(1000, " ".join(words[5:12]))], "doc_id long, text string")
+    found = dc.scan(docs, spark.createDataFrame([(1, " ".join(words))], "item_id long, text string"), block_words=20).collect()
+    assert {r.doc_id: (sum(x.b - x.a for x in r.hit_spans), r.hit_items) for r in found} == {k: (8, ["1"]) for k in range(393)} | {1000: (0, [])}
+
+
 def test_empty_benchmark(docs, corpus, benchmark):
     assert dc.scan(docs, benchmark.limit(0)).filter("size(hit_spans) > 0").count() == 0
     assert dc.decontaminate(docs, benchmark.limit(0)).count() == len(corpus)
