@@ -48,7 +48,7 @@ LENGTH, GRAM = 400, 128
 #: Words of a repeated passage.
 PASSAGE = 50
 #: Windows handled at once, and contexts of a bucket.
-STEP, BUCKET = 1 << 17, 20_000
+STEP, BUCKET = 1 << 17, 8_000
 
 _ANCHORS = "text_hash long, n_bytes long, key long, context long, unit byte, first int, anchor int, size int"
 BYTES, WORDS = 0, 1
