@@ -10,7 +10,7 @@ The n-grams of all documents have one global order, by (document frequency, hash
    link and is done.  Equal sets become one class.
 3. *Candidates.*  Linked sets share an n-gram of their prefixes (the rarest n-grams, as many as the
    threshold needs).  The least set of a prefix bucket is its hub; each set first meets the hub that it
-   shares most prefix n-grams with, in units of at most BLOCK sets, which is linear in the sets.  The links
+   shares most prefix n-grams with, in units of about STAR sets, which is linear in the sets.  The links
    found there settle most buckets: one whose sets are all in one component needs nothing more.
 4. *Rest.*  Sets of different components that share a prefix n-gram and can be linked by their sizes are
    tied through their buckets; each component of these ties is cut into blocks of sets by size, and
@@ -52,8 +52,8 @@ RANGE_BYTES = 6 << 20
 RANGES = 1 << 16
 #: N-grams of a range that are counted at once.
 SLICE = 1 << 22
-#: Sets of a block; a pair of blocks is compared in one task.
-BLOCK = 256
+#: Sets of a block, of which a pair is compared in one task, and of a unit around a hub.
+BLOCK, STAR = 256, 64
 #: Document frequencies at which the global order is cut into fragments.
 CUTS = (4, 16, 128)
 #: Hashes keep their upper 56 bits, so that the packed differences of a chunk need five bytes each.
@@ -389,11 +389,11 @@ def _fragments(units: DataFrame) -> DataFrame:
 
 
 def _stars(posts: DataFrame) -> DataFrame:
-    """(unit, cid): each set with the hub that it shares most prefix n-grams with, in units of at most BLOCK sets."""
+    """(unit, cid): each set with the hub that it shares most prefix n-grams with, in units of about STAR sets."""
     hubs = posts.groupBy("token").agg(F.min("cid").alias("hub"), F.max("cid").alias("top")).filter("hub <> top")
     shared = posts.join(hubs, "token").filter("cid <> hub").groupBy("cid", "hub").agg(F.count(F.lit(1)).alias("k"))
     best = materialize(shared.groupBy("cid").agg(F.max(F.struct("k", "hub")).alias("best")).select("cid", F.col("best.hub").alias("hub")), "jaccard-hubs")
-    loads = best.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / (BLOCK - 1)).cast("int").alias("units"))
+    loads = best.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / (STAR - 1)).cast("int").alias("units"))
     own = best.join(loads, "hub").select(F.expr("xxhash64(hub, pmod(xxhash64(cid), units))").alias("unit"), "cid")
     return own.unionByName(loads.select(F.explode(F.expr("transform(sequence(0, units - 1), k -> xxhash64(hub, cast(k AS bigint)))")).alias("unit"), F.col("hub").alias("cid")))
 
@@ -451,7 +451,10 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, named
     least = whose.groupBy("component").agg(F.min("first_doc").alias("component_id"))
     # a stored side lets adaptive execution split the copies of one set on the other
     whose = materialize(whose.join(least, "component").select("cid", "component", "component_id"), "components")
-    out = sets.join(whose, "cid", "left").select("doc_id", "text_hash", F.col("n").alias("n_shingles"), F.expr("IF(cid IS NULL, doc_id, component_id)").alias("component_id"), "component")
+    # sets that can link with nothing have no class, and would all meet in one task of a join
+    common = ["doc_id", "text_hash", F.col("n").alias("n_shingles")]
+    alone = sets.filter("cid IS NULL").select(*common, F.col("doc_id").alias("component_id"), F.lit(None).cast("long").alias("component"))
+    out = alone.unionByName(sets.filter("cid IS NOT NULL").join(whose, "cid").select(*common, "component_id", "component"))
     return out if named else out.drop("component")
 
 
