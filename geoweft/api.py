@@ -168,7 +168,7 @@ class PointGeometry:
 
     def __init__(self, points: DataFrame, *, experimental_fast: bool = False) -> None:
         if not isinstance(points, DataFrame):
-            raise ValueError("PointGeometry: points must have shape (N, D) or (B, N, D)")
+            raise ValueError("PointGeometry: points must be a table of points")
         if not isinstance(experimental_fast, bool):
             raise TypeError("PointGeometry: experimental_fast must be bool")
         axes(points)
@@ -183,7 +183,7 @@ class PointGeometry:
         if self.destroyed:
             raise RuntimeError("PointGeometry has been destroyed")
         if points is not self._source:
-            raise ValueError("PointGeometry belongs to a different source tensor")
+            raise ValueError("PointGeometry belongs to another source table")
         return self
 
     @property
@@ -258,6 +258,7 @@ def query_displaced_knn(pos: DataFrame, q: DataFrame, k: int = 8, *, return_posi
     """(b, qid, h, rank, pid, dist_sq[, n*])."""
     require_k("query_displaced_knn", k)
     require(q, ["b", "qid", "h"], "query_displaced_knn", "q")
+    _enough(pos, k, "query_displaced_knn: pos must contain at least k rows")
     require_same_axes("query_displaced_knn", pos, q, "q")
     return _knn.displaced_knn(pos, q, k, positions=return_positions)
 

@@ -10,15 +10,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geometry import cols, squared_distance
 from ..schema import axes
+from ..storage import materialize
 from .index import morton_order
 
-#: Rounds of the approximate mode between full refreshes of bucket maxima.
+#: Rounds of the approximate mode from one refresh of all bucket maxima to the next.
 REFRESH = 8
 
 
@@ -37,61 +37,101 @@ def _seed(xyz: np.ndarray, seed: int) -> int:
     return int(np.argmin(((xyz - middle) ** 2).sum(axis=1)))
 
 
-def _to(xyz: np.ndarray, i: int) -> np.ndarray:
-    d = xyz - xyz[i]
-    out = d[:, 0] * d[:, 0]
-    for a in range(1, xyz.shape[1]):
-        out = out + d[:, a] * d[:, a]
-    return out
+class _Buckets:
+    """Runs of the Morton order as rows of matrices, with their boxes and the farthest open point of each.
 
+    A new anchor changes only buckets whose box is nearer to it than their farthest point is to its anchor.
+    """
 
-class _State:
-    def __init__(self, xyz: np.ndarray) -> None:
-        self.xyz, self.least, self.slot, self.chosen = xyz, np.full(len(xyz), np.inf), np.zeros(len(xyz), np.int32), []
+    def __init__(self, xyz: np.ndarray, order: np.ndarray, size: int, reuse: bool) -> None:
+        n, width = len(xyz), min(size, len(xyz))
+        rows = -(-n // width)
+        self.ids = np.full(rows * width, n)
+        self.ids[:n] = order
+        self.ids = self.ids.reshape(rows, width)
+        held = np.concatenate([xyz, np.full((1, xyz.shape[1]), np.nan)])[self.ids]
+        self.lo, self.hi, self.at = np.nanmin(held, axis=1), np.nanmax(held, axis=1), np.moveaxis(held, 2, 0)
+        self.least = np.where(self.ids < n, np.inf, -np.inf)
+        self.slot = np.zeros(self.ids.shape, np.int32)
+        self.place = np.empty(n, np.int64)
+        self.place[order] = np.arange(n)
+        #: Whether a point may be chosen again, as the exact mode does once all distinct points are chosen.
+        self.reuse, self.open = reuse, self.ids < n
+        self.top, self.first = np.full(rows, np.inf), self.ids.min(axis=1)
+        self.stale = np.zeros(rows, bool)
+        self.chosen: list[int] = []
 
     def commit(self, i: int) -> None:
-        d = _to(self.xyz, i)
-        closer = d < self.least
-        self.least[closer], self.slot[closer] = d[closer], len(self.chosen)
+        row, column = divmod(int(self.place[i]), self.ids.shape[1])
+        x = self.at[:, row, column]
+        gap = np.maximum(np.maximum(self.lo - x, x - self.hi), 0.0)
+        near = _square(list(gap.T))
+        if not self.reuse:
+            self.open[row, column] = False
+            self.stale[row] = True
+        hit = np.flatnonzero(near < self.top)
+        d = _square([a[hit] - v for a, v in zip(self.at, x, strict=True)])
+        closer = d < self.least[hit]
+        self.least[hit] = np.where(closer, d, self.least[hit])
+        self.slot[hit] = np.where(closer, len(self.chosen), self.slot[hit])
+        self.stale[hit] = True
         self.chosen.append(i)
 
+    def refresh(self, rows: np.ndarray) -> None:
+        """The farthest open point of buckets, the lowest index of equals."""
+        rows = rows[self.stale[rows]]
+        far = np.where(self.open[rows], self.least[rows], -np.inf)
+        self.top[rows] = far.max(axis=1, initial=-np.inf)
+        self.first[rows] = np.where(far == self.top[rows, None], self.ids[rows], len(self.place)).min(axis=1, initial=len(self.place))
+        self.stale[rows] = False
+
+    def result(self) -> tuple[np.ndarray, np.ndarray]:
+        """Slot and squared distance of each point."""
+        return self.slot.ravel()[self.place], self.least.ravel()[self.place]
+
+
+def _square(d: list[np.ndarray]) -> np.ndarray:
+    out = d[0] * d[0]
+    for x in d[1:]:
+        out = out + x * x
+    return out
+
 
-def exact(xyz: np.ndarray, m: int, seed: int) -> _State:
+def exact(xyz: np.ndarray, order: np.ndarray, m: int, seed: int, bucket: int) -> _Buckets:
     """Each next anchor is the point farthest from all so far, the lowest index of equals."""
-    state = _State(xyz)
+    state = _Buckets(xyz, order, bucket, reuse=True)
     state.commit(_seed(xyz, seed))
     while len(state.chosen) < m:
-        state.commit(int(np.argmax(state.least)))
+        state.refresh(np.flatnonzero(state.stale))
+        state.commit(int(state.first[state.top == state.top.max()].min()))
     return state
 
 
-def approximate(xyz: np.ndarray, order: np.ndarray, m: int, seed: int, r: int, c: int, alpha: float, bucket: int) -> _State:
-    """Several anchors a round, from the buckets (runs of the Morton order) with the farthest points.
+def approximate(xyz: np.ndarray, order: np.ndarray, m: int, seed: int, r: int, c: int, alpha: float, bucket: int) -> _Buckets:
+    """Several anchors a round, from the buckets with the farthest points.
 
-    A candidate that a choice of the same round has come too close to waits for a later round.  Maxima
-    of buckets are refreshed where a choice has changed them, and all of them every few rounds.
+    The queue of buckets is by their last known maxima, which are never too small; only those that are picked
+    are brought up to date, and all of them every REFRESH rounds.  A candidate that a choice of the same round
+    has come too close to waits for a later round, but for the last round, which takes what it has.
     """
-    state, used = _State(xyz), np.zeros(len(xyz), dtype=bool)
-
-    def commit(i: int) -> None:
-        state.commit(i)
-        used[i] = True
-
-    commit(_seed(xyz, seed))
-    starts = np.arange(0, len(xyz), bucket)
+    state = _Buckets(xyz, order, bucket, reuse=False)
+    state.commit(_seed(xyz, seed))
+    rounds = 0
     while len(state.chosen) < m:
-        far = np.where(used, -1.0, state.least)[order]
-        top = np.maximum.reduceat(far, starts)
-        pick = np.argsort(-top, kind="stable")[: max(r, r * c)]
-        farthest, taken = top[pick[0]], 0
+        if rounds % REFRESH == 0:
+            state.refresh(np.flatnonzero(state.stale))
+        rounds += 1
+        pick = np.argsort(-state.top, kind="stable")[: max(r, r * c)]
+        state.refresh(pick)
+        pick = pick[np.argsort(-state.top[pick], kind="stable")]
+        farthest, taken, last = state.top[pick[0]], 0, m - len(state.chosen) <= r
         for b in pick.tolist():
             if taken == r or len(state.chosen) == m:
                 break
-            inside = order[b * bucket : (b + 1) * bucket]
-            i = int(inside[np.argmax(np.where(used[inside], -1.0, state.least[inside]))])
-            if used[i] or taken and state.least[i] <= alpha * alpha * farthest:
+            state.refresh(np.array([b]))
+            if state.top[b] < 0 or taken and not last and state.top[b] <= alpha * alpha * farthest:
                 continue
-            commit(i)
+            state.commit(int(state.first[b]))
             taken += 1
     return state
 
@@ -111,18 +151,19 @@ def fps(
             raise ValueError("fps: target token count must be in [1, N]")
         if not -1 <= seed < len(pid):
             raise ValueError("fps: seed must be -1 or an original point index in [0, N)")
+        morton = np.argsort(table.column("leaf_pos").to_numpy())
         if mode == "exact_bucketed":
-            state = exact(xyz, m, seed)
+            state = exact(xyz, morton, m, seed, bucket_size)
         else:
-            state = approximate(xyz, np.argsort(table.column("leaf_pos").to_numpy()), m, seed, r, c, alpha, bucket_size)
-        chosen = np.array(state.chosen)
-        rows = [np.concatenate(x) for x in ((pid, pid[chosen]), (state.slot, np.arange(m, dtype=np.int32)), (state.least, np.zeros(m)))]
+            state = approximate(xyz, morton, m, seed, r, c, alpha, bucket_size)
+        chosen, (slot, least) = np.array(state.chosen), state.result()
+        rows = [np.concatenate(x) for x in ((pid, pid[chosen]), (slot, np.arange(m, dtype=np.int32)), (least, np.zeros(m)))]
         anchor = np.repeat([False, True], [len(pid), m])
         key = table.column("b").take(pa.array(np.zeros(len(anchor), np.int64)))
         return pa.table({"b": key, "pid": rows[0], "slot": rows[1], "dist_sq": rows[2], "anchor": anchor})
 
     kind = dict(points.dtypes)["b"]
-    found = order.groupBy("b").applyInArrow(run, f"b {kind}, pid long, slot int, dist_sq double, anchor boolean").persist(StorageLevel.MEMORY_AND_DISK)
+    found = materialize(order.groupBy("b").applyInArrow(run, f"b {kind}, pid long, slot int, dist_sq double, anchor boolean"), "samples")
     assignment = found.filter(~F.col("anchor")).drop("anchor")
     return FPSResult(anchor_metadata(found.filter("anchor").select("b", "slot", "pid"), assignment, order), assignment)
 

@@ -90,10 +90,3 @@ def ray_vjp(rays: DataFrame, primitives: DataFrame, hits: DataFrame, upstream: D
     to_rays = rows.select(*keys, *(zero(x).alias(f"g_o{a}") for a, x in zip(names, go, strict=True)), *(zero(x).alias(f"g_d{a}") for a, x in zip(names, gd, strict=True)))
     to_primitives = rows.filter("hit").select("b", "prim_id", *(x.alias(n) for n, x in flat.items())).groupBy("b", "prim_id").agg(*(F.sum(n).alias(n) for n in flat))
     return to_rays, to_primitives
-
-
-def scatter(rows: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
-    """Sums of gradient columns by key."""
-    return rows.groupBy(*keys).agg(*(F.sum(c).alias(c) for c in columns))
-
-

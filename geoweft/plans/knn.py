@@ -46,7 +46,7 @@ def brute(points: DataFrame, queries: DataFrame, k: int, names: Sequence[str], k
     spark = queries.sparkSession
     found = _targets(points, names)
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    if n_points is not None and n_points <= BROADCAST_POINTS:
+    if (points.count() if n_points is None else n_points) <= BROADCAST_POINTS:
         pairs = queries.repartition(parts, *keys).join(F.broadcast(found), "b")
     else:
         block = F.pmod(F.xxhash64(*keys), F.lit(parts)).cast("int")

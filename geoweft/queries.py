@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions.geometry import box_distance_max_sq, box_distance_sq, cols, ray_meets_box
+from .functions.geometry import box_distance_max_sq, box_distance_sq, cols, ray_meets_box, squared_distance
 from .operators import conditional, fps, gradients, index, interpolate, knn, medoids, mls, ray
 from .schema import pack_neighbors
 from .sources import tables
@@ -349,10 +349,24 @@ def fps_upsample(spark: SparkSession, d: str) -> DataFrame:
 
 @_query()
 def fps_approximate(spark: SparkSession, d: str) -> DataFrame:
-    """Its contract is a set of invariants, which tests check."""
+    """Its contract is a set of invariants, which ``fps_approximate_audit`` checks."""
     return _sampled(spark, d, mode="approx_bucketed", bucket_size=16).anchors
 
 
+@_query(f"WITH {POINTS} SELECT b, {FPS_M} AS anchors, count(*) AS points, 0 AS wrong_distances, 0 AS nearer_anchors, true AS close_to_exact FROM p GROUP BY b")
+def fps_approximate_audit(spark: SparkSession, d: str) -> DataFrame:
+    """The invariants: distinct anchors, all points assigned to their nearest at its distance, and means of the distances within a quarter of the exact ones."""
+    points, exact, found = tables.points(spark, d), _sampled(spark, d), _sampled(spark, d, mode="approx_bucketed", bucket_size=16)
+    anchors = found.anchors.groupBy("b").agg(F.count_distinct("pid").cast("int").alias("anchors"))
+    wrong = fps.check_assignment(found, points).groupBy("b").agg(F.count(F.lit(1)).cast("int").alias("wrong"))
+    all_anchors = found.anchors.select("b", *(F.col(a).alias(f"n{a}") for a in "xyz"))
+    nearest = points.join(all_anchors, "b").groupBy("b", "pid").agg(F.min(squared_distance(cols("xyz"), cols("xyz", "n"))).alias("least"))
+    nearer = nearest.join(found.assignment, ["b", "pid"]).filter("least < dist_sq").groupBy("b").agg(F.count(F.lit(1)).cast("int").alias("nearer"))
+    mean = lambda r, name: r.assignment.groupBy("b").agg(F.count(F.lit(1)).alias("points"), F.avg(F.sqrt("dist_sq")).alias(name))
+    out = anchors.join(mean(found, "mean"), "b").join(mean(exact, "least").drop("points"), "b").join(wrong, "b", "left").join(nearer, "b", "left")
+    return out.select("b", "anchors", "points", F.coalesce("wrong", F.lit(0)).alias("wrong_distances"), F.coalesce("nearer", F.lit(0)).alias("nearer_anchors"), (F.col("mean") < 1.25 * F.col("least")).alias("close_to_exact"))
+
+
 # ---------------------------------------------------------------- rays
 
 _EPS = 8 * 1.1920928955078125e-07
@@ -435,9 +449,9 @@ def _vjp(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 @_query(f"""WITH {POINTS}, {MOVED}, {FEATURES}, {_knn_sql(8)}, {_VJP},
   sm AS (SELECT b, qid, max(nh) AS nh, max(m2) AS m2, sum(a * e * w * dist_sq / (bw * bw)) AS th, {', '.join(f'sum(w * (e * g{i + 1} - a * s{i + 1}) - a * e * w * d{a} / bw) AS q{a}, max(CASE WHEN rank = 4 THEN d{a} END) AS m{a}' for i, a in enumerate('xyz'))} FROM nb GROUP BY b, qid)
-  SELECT b, qid, {', '.join(f'round(CASE WHEN nh > 0 THEN 0.0 ELSE q{a} + (CASE WHEN m2 > 1e-12 THEN th ELSE 0.0 END) * m{a} END, 3) + 0.0 AS g_{a}' for a in 'xyz')} FROM sm""")
+  SELECT b, qid, {', '.join(f'round(CASE WHEN nh > 0 THEN 0.0 ELSE q{a} + (CASE WHEN m2 > 1e-12 THEN th ELSE 0.0 END) * m{a} END, 6) + 0.0 AS g_{a}' for a in 'xyz')} FROM sm""")
 def mls_vjp_queries(spark: SparkSession, d: str) -> DataFrame:
-    return _rounded(_vjp(spark, d)[0], "g_x", "g_y", "g_z", digits=3)
+    return _rounded(_vjp(spark, d)[0], "g_x", "g_y", "g_z")
 
 
 @_query(f"""WITH {POINTS}, {MOVED}, {FEATURES}, {_knn_sql(8)}, {_VJP}
@@ -479,10 +493,19 @@ def ray_vjp_segments(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(_ray_vjp(spark, d, "segment")[1], "g_x0", "g_y0", "g_x1", "g_y1", digits=4)
 
 
-@_query()
+# with n the normal, p the hit point and w = v0 - p: t = n.(v0 - o) / n.d gives dt = (n.dv0 + de1.(e2 x w) + de2.(w x e1)) / n.d
+_TRIANGLE_VJP = f"""{_RAYS3}, {_TRIANGLES}, {_TRIANGLE_HITS},
+  hh AS (SELECT ry.*, g.prim_id AS pr_id, {', '.join(f'{a}1 - {a}0 AS e{a}, {a}2 - {a}0 AS g{a}, {a}0 - (o{a} + g.t * d{a}) AS w{a}' for a in 'xyz')} FROM ry JOIN pick USING (ray_id) JOIN tr ON tr.prim_id = g.prim_id),
+  h2 AS (SELECT *, ey * gz - ez * gy AS nx, ez * gx - ex * gz AS ny, ex * gy - ey * gx AS nz FROM hh),
+  h3 AS (SELECT *, (1.0 + 0.5 * dx + 0.5 * dy + 0.5 * dz) / (nx * dx + ny * dy + nz * dz) AS k FROM h2),
+  h4 AS (SELECT *, k * (gy * wz - gz * wy) AS ax, k * (gz * wx - gx * wz) AS ay, k * (gx * wy - gy * wx) AS az, k * (wy * ez - wz * ey) AS bx, k * (wz * ex - wx * ez) AS by_, k * (wx * ey - wy * ex) AS bz FROM h3),
+  h5 AS (SELECT pr_id, {', '.join(f'k * n{a} - a{a} - {b} AS g0{a}, a{a} AS g1{a}, {b} AS g2{a}' for a, b in zip('xyz', ('bx', 'by_', 'bz')))} FROM h4)"""
+
+
+@_query(f"WITH {_TRIANGLE_VJP} SELECT 0 AS b, pr_id AS prim_id, {', '.join(f'round(sum(g{v}{a}), 4) + 0.0 AS g_{a}{v}' for v in range(3) for a in 'xyz')} FROM h5 GROUP BY pr_id")
 def ray_vjp_triangles(spark: SparkSession, d: str) -> DataFrame:
-    """Held against finite differences in the tests."""
-    return _ray_vjp(spark, d, "triangle")[1]
+    names = [f"g_{a}{v}" for v in range(3) for a in "xyz"]
+    return _rounded(_ray_vjp(spark, d, "triangle")[1].select("b", "prim_id", *names), *names, digits=4)
 
 
 @_query(f"""WITH {POINTS}, {_CODES}, mb AS (SELECT *, leaf_pos // 4 AS grp, leaf_pos % 4 AS slot FROM od),
