@@ -5,14 +5,17 @@ distinct documents that hold a line are counted.  Lines in more documents than t
 boilerplate and are removed; a document that fails the base rules, or that has too little left, is
 rejected.
 
-A document is a row: a repeated row counts as one more document.  Edge cases: a null text has no
-words and fails the base rules; a null source is a host of its own; empty lines are never counted;
-an empty table gives an empty result.
+A document is told by its id, host and text: a repeated row is the same document and counts once, a copy
+under another id counts as one more.  Edge cases: a null text has no words and fails the base rules; a
+null source is a host of its own; empty lines are never counted; very long texts and lines are counted
+whole; a line at a limit stays; an empty table gives an empty result; other columns are matched by place and
+pass through, whatever their names.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +31,9 @@ MAX_REPEAT_PERCENT = 20
 WINDOW = 5
 SYMBOLS = b"#*$%&|<>"
 
-#: A line is boilerplate of a host if more documents than both of these hold it.
-MAX_DOCS, MAX_SHARE = 20, 0.01
+#: A line is boilerplate of a host if more documents than both of these hold it, or more than ALWAYS, however large the host.
+MAX_DOCS, MAX_SHARE, ALWAYS = 20, 0.01, 1000
+_KEY = ["doc_id", "host", "text_hash"]
 #: A document is depleted if less than this share of its words, or fewer than MIN_WORDS, are left.
 MIN_LEFT = 0.5
 
@@ -134,13 +138,29 @@ def features(docs: DataFrame) -> DataFrame:
     return own.mapInArrow(bk.tidy(run), FEATURES)
 
 
-def frequent_lines(found: DataFrame, max_docs: int = MAX_DOCS, max_share: float = MAX_SHARE) -> DataFrame:
-    """(host, line) above the limits.  Counts are summed before the shuffle, so a hot line is cheap."""
-    host = F.coalesce("source", F.lit("\x00")).alias("host")
-    lines = found.select(host, F.explode("line_hash").alias("line")).groupBy("host", "line").agg(F.count(F.lit(1)).alias("n_docs"))
+def _null_safe(keys: list[str]) -> Column:
+    """Equality of columns with those of the same names behind a _."""
+    return reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"_{c}")) for c in keys))
+
+
+def frequent_lines(found: DataFrame, max_docs: int = MAX_DOCS, max_share: float = MAX_SHARE, always: int = ALWAYS) -> DataFrame:
+    """(host, line, n_docs) above the limits.  Counts are summed before the shuffle, so a hot line is cheap.
+
+    Rows are counted; where rows are repeated, what they count too often is taken off again.
+    """
+    found = found.withColumn("host", F.coalesce("source", F.lit("\x00")))
+    lines = found.select("host", F.explode("line_hash").alias("line")).groupBy("host", "line").agg(F.count(F.lit(1)).alias("n_docs"))
+    hosts = found.groupBy("host").agg(F.count(F.lit(1)).alias("host_docs"))
+    repeated = materialize(found.groupBy(*_KEY).agg((F.count(F.lit(1)) - 1).alias("extra")).filter("extra > 0").select(*(F.col(c).alias(f"_{c}") for c in _KEY), "extra"), "repeated")
+    if not repeated.isEmpty():
+        once = found.select(*_KEY, "line_hash").join(repeated, _null_safe(_KEY)).select(*_KEY, "line_hash", "extra").dropDuplicates(_KEY)
+        off = once.select(F.col("host").alias("_h"), F.explode("line_hash").alias("_l"), "extra").groupBy("_h", "_l").agg(F.sum("extra").alias("extra"))
+        lines = lines.join(off, (F.col("host") == F.col("_h")) & (F.col("line") == F.col("_l")), "left").select("host", "line", (F.col("n_docs") - F.coalesce("extra", F.lit(0))).alias("n_docs"))
+        off = repeated.groupBy("_host").agg(F.sum("extra").alias("extra"))
+        hosts = hosts.join(off, F.col("host") == F.col("_host"), "left").select("host", (F.col("host_docs") - F.coalesce("extra", F.lit(0))).alias("host_docs"))
     lines = lines.filter(F.col("n_docs") > max_docs)
-    hosts = found.groupBy(host).agg(F.count(F.lit(1)).alias("host_docs"))
-    return lines.join(hosts, "host").filter(F.col("n_docs") > max_share * F.col("host_docs")).select("host", "line", "n_docs")
+    above = (F.col("n_docs") > max_share * F.col("host_docs")) | (F.col("n_docs") > always)
+    return lines.join(hosts, "host").filter(above).select("host", "line", "n_docs")
 
 
 def base_failed() -> Column:
@@ -152,7 +172,7 @@ def judge(found: DataFrame, frequent: DataFrame, min_left: float = MIN_LEFT) ->
 
     Documents are told apart by (doc_id, source, text_hash); equal rows get equal verdicts.
     """
-    key = ["doc_id", "host", "text_hash"]
+    key = _KEY
     found = found.withColumn("host", F.coalesce("source", F.lit("\x00")))
     lines = found.select(*key, F.explode(F.arrays_zip("line_hash", "line_words")).alias("l")).distinct()
     lines = lines.select(*key, F.col("l.line_hash").alias("line"), F.col("l.line_words").alias("words"))
@@ -160,10 +180,7 @@ def judge(found: DataFrame, frequent: DataFrame, min_left: float = MIN_LEFT) ->
         F.sum("words").alias("removed_words"), F.collect_set("line").alias("removed_lines")
     )
     hit = hit.select(*(F.col(c).alias(f"_{c}") for c in key), "removed_words", "removed_lines")
-    same = F.lit(True)
-    for c in key:
-        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
-    out = found.join(hit, same, "left").select(
+    out = found.join(hit, _null_safe(key), "left").select(
         "doc_id", "source", "text_hash", *_BASE, base_failed().alias("base_failed"),
         F.coalesce("removed_words", F.lit(0)).cast("long").alias("removed_words"), "removed_lines",
     )
@@ -171,10 +188,10 @@ def judge(found: DataFrame, frequent: DataFrame, min_left: float = MIN_LEFT) ->
     return out.withColumn("kept", ~F.col("base_failed") & (left >= MIN_WORDS) & (left >= min_left * F.col("n_words")))
 
 
-def quality(docs: DataFrame, max_docs: int = MAX_DOCS, max_share: float = MAX_SHARE, min_left: float = MIN_LEFT) -> DataFrame:
+def quality(docs: DataFrame, max_docs: int = MAX_DOCS, max_share: float = MAX_SHARE, min_left: float = MIN_LEFT, always: int = ALWAYS) -> DataFrame:
     """Verdicts of all documents; see ``judge``."""
     found = materialize(features(docs), "quality")
-    return judge(found, frequent_lines(found, max_docs, max_share), min_left)
+    return judge(found, frequent_lines(found, max_docs, max_share, always), min_left)
 
 
 def drop_lines(docs: DataFrame, text: str, gone: str) -> DataFrame:

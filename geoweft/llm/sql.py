@@ -22,17 +22,18 @@ FROM d LEFT JOIN n ON n.r = d.r LEFT JOIN reach ON reach.a = d.r LEFT JOIN d e O
 """
 
 QUALITY = f"""
-WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(source, chr(0)) AS host, coalesce(text, '') AS text FROM documents),
+WITH d0 AS (SELECT row_number() OVER () AS r, doc_id, coalesce(source, chr(0)) AS host, coalesce(text, '') AS text, text IS NULL AS none FROM documents),
+d AS (SELECT *, min(r) OVER (PARTITION BY doc_id, host, text, none) AS doc FROM d0),
 w AS (SELECT *, regexp_extract_all(text, {_SOLID}) AS w FROM d),
 g AS (SELECT r, generate_subscripts(gs, 1) AS i, unnest(gs) AS g FROM (SELECT r, [array_to_string(w[i:i + 4], ' ') FOR i IN range(1, len(w) - 3)] AS gs FROM w WHERE len(w) >= 5)),
 h AS (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS n FROM g),
 c AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest(range(i, i + 5)) AS p FROM h WHERE n > 1) GROUP BY r),
-l AS (SELECT r, host, line, regexp_extract_all({_LOWER.replace("coalesce(text, '')", 'line')}, {_SOLID}) AS lw FROM (SELECT r, host, unnest(string_split(text, chr(10))) AS line FROM d)),
-k AS (SELECT r, host, line, array_to_string(lw, ' ') AS key, len(lw) AS n FROM l WHERE len(lw) > 0),
+l AS (SELECT r, doc, host, line, regexp_extract_all({_LOWER.replace("coalesce(text, '')", 'line')}, {_SOLID}) AS lw FROM (SELECT r, doc, host, unnest(string_split(text, chr(10))) AS line FROM d)),
+k AS (SELECT r, doc, host, line, array_to_string(lw, ' ') AS key, len(lw) AS n FROM l WHERE len(lw) > 0),
 u AS (SELECT r, count(*) - count(DISTINCT line) AS dup FROM k GROUP BY r),
-f AS (SELECT host, key, count(DISTINCT r) AS docs FROM k GROUP BY host, key),
-t AS (SELECT host, count(*) AS total FROM d GROUP BY host),
-q AS (SELECT host, key FROM f JOIN t USING (host) WHERE docs > 20 AND docs > 0.01 * total),
+f AS (SELECT host, key, count(DISTINCT doc) AS docs FROM k GROUP BY host, key),
+t AS (SELECT host, count(DISTINCT doc) AS total FROM d GROUP BY host),
+q AS (SELECT host, key FROM f JOIN t USING (host) WHERE docs > 20 AND (docs > 0.01 * total OR docs > 1000)),
 x AS (SELECT r, sum(n) AS gone FROM k JOIN q USING (host, key) GROUP BY r),
 b AS (SELECT doc_id, len(w) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda v: length(v))), 0) AS BIGINT) AS word_chars,
   length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(u.dup, 0) AS n_dup_lines, coalesce(c.n, 0) AS n_repeat_words, CAST(coalesce(x.gone, 0) AS BIGINT) AS removed_words

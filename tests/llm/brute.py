@@ -56,13 +56,13 @@ def base_counts(text):
     return len(words), sum(map(len, words)), sum(text.count(c) for c in "#*$%&|<>"), len(lines) - len(set(lines)), len(hit)
 
 
-def quality(docs, max_docs, max_share, min_left):
+def quality(docs, max_docs, max_share, min_left, always=1000):
     """[(kept, text without boilerplate)] of (id, source, text) rows."""
     norm = lambda x: " ".join(SOLID.findall(lower(x)))
-    hosts, lines = Counter(s for _, s, _ in docs), Counter()
-    for _, s, t in docs:
+    hosts, lines = Counter(s for _, s, _ in set(docs)), Counter()
+    for _, s, t in set(docs):
         lines.update((s, x) for x in {norm(x) for x in (t or "").split("\n")} if x)
-    gone = {k for k, n in lines.items() if n > max_docs and n > max_share * hosts[k[0]]}
+    gone = {k for k, n in lines.items() if n > max_docs and (n > max_share * hosts[k[0]] or n > always)}
     out = []
     for _, s, t in docs:
         n, _, _, _, repeat = base_counts(t)

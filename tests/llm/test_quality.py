@@ -34,4 +34,22 @@ def test_repeated_rows_and_null_hosts(spark):
     text = "some words that are enough for one document to pass the rules"
     docs = spark.createDataFrame([(1, text, None)] * 3 + [(None, text, None)], "doc_id long, text string, source string")
     assert quality.filter_documents(docs).count() == 4
-    assert quality.quality(docs, max_docs=3, max_share=0.0).filter(~F.col("kept")).count() == 4
+    # the repeated row is one document, the null id another
+    assert quality.quality(docs, max_docs=2, max_share=0.0).filter(~F.col("kept")).count() == 0
+    assert quality.quality(docs, max_docs=1, max_share=0.0).filter(~F.col("kept")).count() == 4
+
+
+def test_repeated_rows_against_brute_force(spark, corpus):
+    rows = [(i, t, s) for i, t, s in corpus] + [(i, t, s) for i, t, s in corpus[:30]] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    want = plain([(i, s, t) for i, t, s in rows], 2, 0.05, 0.2, always=4)
+    got = sorted((r.doc_id, r.kept) for r in quality.quality(docs, max_docs=2, max_share=0.05, min_left=0.2, always=4).collect())
+    assert got == sorted((i, k) for (i, _, _), (k, _) in zip(rows, want, strict=True))
+
+
+def test_an_absolute_limit(spark):
+    line = "one footer that very many documents of a large host have"
+    rows = [(i, f"w{i} x y z q r s t u v k l m n o p{i}\n{line if i % 50 == 0 else 'l' + str(i)}", "big") for i in range(2000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    assert quality.quality(docs, max_docs=20, max_share=0.5, always=30).filter("removed_words > 0").count() == 40
+    assert quality.quality(docs, max_docs=20, max_share=0.5).filter("removed_words > 0").count() == 0
