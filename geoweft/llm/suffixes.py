@@ -50,6 +50,9 @@ PASSAGE = 50
 #: Windows handled at once, and contexts of a bucket.
 STEP, BUCKET = 1 << 17, 8_000
 
+#: Rows of a partition of the sort that are compared whole.
+SMALL = 48
+
 _ANCHORS = "text_hash long, n_bytes long, key long, context long, unit byte, first int, anchor int, size int"
 BYTES, WORDS = 0, 1
 
@@ -198,15 +201,19 @@ def _contexts(kinds: list[Unit]):
 
 
 def multikey_quicksort(words: np.ndarray) -> np.ndarray:
-    """Order of rows of big-endian words: three-way partitions by one word at a time."""
-    order, stack = np.arange(len(words)), [(0, len(words), 0)]
+    """Order of rows of unsigned words: three-way partitions by one word at a time, small ones by whole rows."""
+    order, stack, width = np.arange(len(words)), [(0, len(words), 0)], 8 * words.shape[1]
+    data = words.astype(">u8").tobytes()
     while stack:
         a, b, depth = stack.pop()
         if b - a < 2 or depth == words.shape[1]:
             continue
         part = order[a:b]
+        if b - a < SMALL:
+            order[a:b] = sorted(part.tolist(), key=lambda i: data[i * width : (i + 1) * width])
+            continue
         column = words[part, depth]
-        pivot = column[(b - a) // 2] if b - a < 16 else np.partition(column, (b - a) // 2)[(b - a) // 2]
+        pivot = np.partition(column, (b - a) // 2)[(b - a) // 2]
         less, equal = column < pivot, column == pivot
         n_less, n_equal = int(less.sum()), int(equal.sum())
         order[a:b] = np.concatenate([part[less], part[equal], part[~less & ~equal]])
