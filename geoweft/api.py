@@ -183,7 +183,7 @@ class PointGeometry:
         if self.destroyed:
             raise RuntimeError("PointGeometry has been destroyed")
         if points is not self._source:
-            raise ValueError("PointGeometry belongs to another source table")
+            raise ValueError("PointGeometry belongs to a different source table")
         return self
 
     @property
