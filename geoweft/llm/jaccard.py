@@ -41,10 +41,10 @@ from pyspark.sql import functions as F
 
 from . import bytekit as bk
 from .components import components
-from .store import input_bytes, materialize, narrow, placed
+from .store import discard, input_bytes, materialize, narrow, placed
 
 #: N-grams and documents of a chunk at most (one longer document is a chunk of its own).
-CHUNK_GRAMS, CHUNK_DOCS = 1_000_000, 60_000
+CHUNK_GRAMS, CHUNK_DOCS = 500000, 60_000
 #: Input bytes of a hash range; about three times as many n-grams fit as a range has then.
 RANGE_BYTES = 6 << 20
 #: Ranges up to which a range's bytes stay the same.  Beyond, both the ranges and their bytes grow with the root of the
@@ -451,6 +451,8 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, named
     least = whose.groupBy("component").agg(F.min("first_doc").alias("component_id"))
     # a stored side lets adaptive execution split the copies of one set on the other
     whose = materialize(whose.join(least, "component").select("cid", "component", "component_id"), "components")
+    for done in (classes, links, more):
+        discard(done)
     # sets that can link with nothing have no class, and would all meet in one task of a join
     common = ["doc_id", "text_hash", F.col("n").alias("n_shingles")]
     alone = sets.filter("cid IS NULL").select(*common, F.col("doc_id").alias("component_id"), F.lit(None).cast("long").alias("component"))

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from . import bytekit as bk
 from .quality import LineKit
-from .store import materialize, narrow, placed
+from .store import discard, materialize, narrow, placed
 
 #: Shorter lines have too little in common for one edit to mean anything (one word of five is a fifth), so only equal ones count.
 MIN_WORDS = 5
@@ -194,7 +194,10 @@ def duplicate_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     good = pairs.mapInArrow(_verified, "line long, near_rank long, near_line_no int")
     best = firsts.join(good, "line", "left").select("line", F.col("first.rank").alias("f_rank"), F.col("first.line_no").alias("f_line"), "near_rank", "near_line_no")
     # a stored side lets adaptive execution split the occurrences of one line on the other
-    out = lines.join(materialize(best, "best"), "line").withColumn("later", F.struct("rank", "line_no") > F.struct(F.col("f_rank").alias("rank"), F.col("f_line").alias("line_no")))
+    best = materialize(best, "best")
+    for done in (firsts, known):
+        discard(done)
+    out = lines.join(best, "line").withColumn("later", F.struct("rank", "line_no") > F.struct(F.col("f_rank").alias("rank"), F.col("f_line").alias("line_no")))
     out = out.filter("later OR near_rank IS NOT NULL")
     to_id = lambda c: F.when(F.col(c) != LAST, F.col(c))
     earlier = "near_rank IS NOT NULL"

@@ -1,5 +1,7 @@
 """Every operator and stage on nulls, empty and odd texts, repeated rows, empty tables and clashing names."""
 
+import zlib
+
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -58,6 +60,47 @@ def test_rows(odd, clashing, items, name):
     assert sorted(map(repr, rows)) == sorted(map(repr, DOCS[name](clashing, items).collect()))
 
 
+TEXT = "a plain line of some words\nand one more line of words here"
+OTHER = "another text under an id that is taken"
+
+#: What each operator gives for the odd rows: columns, and values by (id, text).
+VALUES = {
+    "sharding": (["size", "text_crc32"], {(2, None): (1, 0), (None, None): (1, 0), (3, ""): (1, 0), (4, LONG): (150001, zlib.crc32(LONG.encode())), (5, "\n\n \n"): (5, zlib.crc32(b"\n\n \n"))}),
+    "licences": (["sentence_ids", "licences"], {(2, None): ("", ""), (None, None): ("", ""), (3, ""): ("", ""), (4, LONG): ("", "")}),
+    "jaccard": (["n_shingles", "component_id"], {(2, None): (0, 2), (None, None): (0, None), (3, ""): (0, 3), (4, LONG): (1, 4), (5, "\n\n \n"): (0, 5), (1, TEXT): (9, 1), (None, TEXT): (9, 1), (1, OTHER): (4, 1)}),
+    "quality": (["n_words", "n_repeat_words", "base_failed", "kept"], {(2, None): (0, 0, True, False), (None, None): (0, 0, True, False), (3, ""): (0, 0, True, False), (4, LONG): (30000, 30000, True, False), (1, TEXT): (13, 0, False, True), (1, OTHER): (8, 0, True, False)}),
+    "suffixes": (["n_bytes", "n_removed", "n_spans", "n_passage_words"], {(2, None): (0, 0, 0, 0), (None, None): (0, 0, 0, 0), (3, ""): (0, 0, 0, 0), (4, LONG): (150000, 150000, 1, 30000), (1, TEXT): (len(TEXT), 0, 0, 0)}),
+    "decontaminate": (["n_words", "hit_spans", "hit_items"], {(2, None): (0, [], []), (None, None): (0, [], []), (3, ""): (0, [], []), (4, LONG): (30000, [], []), (1, TEXT): (13, [], [])}),
+}
+
+
+@pytest.mark.parametrize("name", VALUES)
+def test_values(odd, items, name):
+    """Rows are told by their id and a column that the text decides; equal rows give equal values."""
+    columns, want = VALUES[name]
+    got = [(r.doc_id, tuple(r[c] for c in columns)) for r in DOCS[name](odd, items).collect()]
+    copies = {(1, TEXT): 2}
+    for (doc_id, text), value in want.items():
+        assert got.count((doc_id, value)) >= copies.get((doc_id, text), 1), (doc_id, text, value)
+
+
+def test_kept_values(odd, items):
+    rows = lambda df: sorted((r.doc_id is None, r.doc_id or 0, r.text is None, r.text or "") for r in df.collect())
+    plain = lambda *own: sorted((i is None, i or 0, t is None, t or "") for i, t in own)
+    assert rows(KEEP["filter"](odd, items)) == plain((1, TEXT), (1, TEXT), (None, TEXT))
+    # equal rows are one document; the copy without id goes
+    assert rows(KEEP["keep_one"](odd, items)) == plain((1, TEXT), (2, None), (None, None), (3, ""), (4, LONG), (5, "\n\n \n"), (1, OTHER))
+    # lines of the rows with an id come first; the long line is a document of its own
+    assert rows(KEEP["lines"](odd, items)) == plain((1, TEXT), (1, TEXT), (2, None), (None, None), (3, ""), (4, LONG), (5, "\n\n \n"), (1, OTHER), (None, ""))
+    assert rows(KEEP["spans"](odd, items)) == rows(odd)
+
+
+def test_empty_columns(odd, items):
+    """An empty table gives the columns of a full one."""
+    for name, f in {**DOCS, **KEEP}.items():
+        assert f(odd.limit(0), items).dtypes == f(odd, items).dtypes, name
+
+
 @pytest.mark.parametrize("name", KEEP)
 def test_kept_columns(odd, clashing, items, name):
     plain, more = KEEP[name](odd, items), KEEP[name](clashing, items)

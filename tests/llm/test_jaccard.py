@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -67,3 +68,40 @@ def test_keep_one(spark):
     assert kept in ([2, 3, 5], [3, 5, 6])
     unnamed = docs.withColumn("doc_id", F.lit(None).cast("long"))
     assert sorted(r.text for r in jaccard.keep_one(unnamed).collect() if r.text.startswith("w")) in ([text], [text + " end"])
+
+
+def test_counts_of_slices(monkeypatch):
+    """Weights of hashes over several sorted lists, whatever the slices; hashes use all 64 bits."""
+    monkeypatch.setattr(jaccard, "SLICE", 7)
+    rng = np.random.default_rng(1)
+    pool = rng.integers(0, 2**64, 40, dtype=np.uint64)
+    lists = [np.unique(rng.choice(pool, n)) for n in (1, 12, 0, 33, 20)]
+    weights = [rng.integers(1, 5, len(x)) for x in lists]
+    total = {}
+    for h, w in zip(lists, weights, strict=True):
+        for k, n in zip(h.tolist(), w.tolist(), strict=True):
+            total[k] = total.get(k, 0) + n
+    got = jaccard._counted(lists, weights)
+    assert [g.tolist() for g in got] == [[total[k] for k in h.tolist()] for h in lists]
+
+
+def test_groups_larger_than_a_unit(spark, monkeypatch):
+    """Chains and rings of near copies that meet in many small units, and sets of frequent prefix n-grams that do not link."""
+    monkeypatch.setattr(jaccard, "BLOCK", 4)
+    monkeypatch.setattr(jaccard, "STAR", 3)
+    r = random.Random(8)
+    word = lambda: f"w{r.randrange(10**6)}"
+    texts, base = [], [word() for _ in range(60)]
+    for _ in range(40):  # each one word from the one before
+        base = base[:]
+        base[r.randrange(60)] = word()
+        texts.append(" ".join(base))
+    shared = [word() for _ in range(12)]
+    texts += [" ".join(shared + [word() for _ in range(40)]) for _ in range(25)]
+    star = [word() for _ in range(50)]
+    texts += [" ".join([*star[:k], word(), *star[k + 1 :]]) for k in range(0, 50, 2)]
+    docs = list(enumerate(texts))
+    want, sizes = near_groups(docs, 5, 80)
+    rows = jaccard.jaccard_components(spark.createDataFrame(docs, "doc_id long, text string").repartition(4)).collect()
+    assert {x.doc_id: (x.n_shingles, x.component_id) for x in rows} == {i: (sizes[i], want[i]) for i in sizes}
+    assert 1 < len(set(want.values())) < len(docs)
