@@ -12,10 +12,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geometry import cols
-from ..functions.morton import morton_code
+from ..functions.morton import BITS, morton_code
 from ..schema import axes
 
 Names = Sequence[str]
+#: Leading bits of a Morton code that tell the cells in which rows are numbered.
+CELL_BITS = 12
 
 
 def scene_bounds(points: DataFrame, names: Names | None = None) -> DataFrame:
@@ -33,9 +35,18 @@ def morton_encode(points: DataFrame, bounds: DataFrame | None = None) -> DataFra
 
 
 def morton_order(points: DataFrame, key: str = "pid", bounds: DataFrame | None = None) -> DataFrame:
-    """(b, leaf_pos, key, code, coordinates): the order of (code, key) in each sample."""
-    coded = morton_encode(points, bounds)
-    return coded.withColumn("leaf_pos", F.expr(f"row_number() OVER (PARTITION BY b ORDER BY code, {key}) - 1").cast("long"))
+    """(b, leaf_pos, key, code, coordinates): the order of (code, key) in each sample.
+
+    Rows are numbered inside the cells of the leading bits of the code, and a running sum of the cells' counts
+    (at most 2 ** CELL_BITS a sample) gives each cell's first place, so one large sample is many tasks.
+    """
+    dims = len(axes(points))
+    cell = F.shiftright("code", BITS[dims] * dims - CELL_BITS)
+    coded = morton_encode(points, bounds).withColumn("_cell", cell)
+    cells = coded.groupBy("b", "_cell").agg(F.count(F.lit(1)).alias("_n"))
+    cells = cells.select("b", "_cell", F.expr("coalesce(sum(_n) OVER (PARTITION BY b ORDER BY _cell ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)").alias("_base"))
+    ranked = coded.withColumn("_rank", F.expr(f"row_number() OVER (PARTITION BY b, _cell ORDER BY code, {key}) - 1"))
+    return ranked.join(cells, ["b", "_cell"]).withColumn("leaf_pos", (F.col("_base") + F.col("_rank")).cast("long")).drop("_cell", "_rank", "_base")
 
 
 def leaf_level(n: Column) -> Column:

@@ -57,8 +57,9 @@ def brute(points: DataFrame, queries: DataFrame, k: int, names: Sequence[str], k
 
 def pair_count(points: DataFrame, queries: DataFrame) -> tuple[int, int]:
     """Candidate pairs of the brute strategy, and points."""
-    sizes = points.groupBy("b").agg(F.count(F.lit(1)).alias("n")).join(queries.groupBy("b").agg(F.count(F.lit(1)).alias("m")), "b", "left")
-    row = sizes.agg(F.sum(F.col("n") * F.coalesce("m", F.lit(0))).alias("t"), F.sum("n").alias("n")).first()
+    both = points.select("b", F.lit(1).alias("p")).unionByName(queries.select("b", F.lit(0).alias("p")))
+    sizes = both.groupBy("b").agg(F.sum("p").alias("n"), F.sum(1 - F.col("p")).alias("m"))
+    row = sizes.agg(F.sum(F.col("n") * F.col("m")).alias("t"), F.sum("n").alias("n")).first()
     return row["t"] or 0, row["n"] or 0
 
 

@@ -11,10 +11,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import api
 from .functions.geometry import box_distance_max_sq, box_distance_sq, cols, ray_meets_box, squared_distance
 from .operators import conditional, fps, gradients, index, interpolate, knn, medoids, mls, ray
 from .schema import pack_neighbors
 from .sources import tables
+from .storage import materialize
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -517,3 +519,57 @@ def medoids_of_leaves(spark: SparkSession, d: str) -> DataFrame:
     points = tables.points(spark, d)
     members = index.morton_order(points).select("b", F.expr("leaf_pos div 4").alias("grp"), (F.col("leaf_pos") % 4).alias("slot"), "pid")
     return _rounded(medoids.select_medoids(members, points), "centroid_x", "centroid_y", "centroid_z")
+
+
+# ---------------------------------------------------------------- public surface
+
+
+@_query(ORACLE_SQL["knn_ragged"])
+def api_sorted_queries(spark: SparkSession, d: str) -> DataFrame:
+    """Neighbours of an index that is gone by the time they are read; ordering the queries changes no row."""
+    with api.BVH(tables.points(spark, d)) as own:
+        return materialize(own.knn(tables.points(spark, d, first=3, key="qid"), 8, sort_queries=True), "neighbours")
+
+
+@_query(ORACLE_SQL["mls_slopes"])
+def api_point_geometry(spark: SparkSession, d: str) -> DataFrame:
+    """Interpolation over a cloud that is kept for several calls."""
+    points = tables.points(spark, d)
+    with api.PointGeometry(points) as geometry:
+        out = api.mls_interpolate(points, tables.points(spark, d, first=3, key="qid"), tables.features(spark, d), 8, return_grad=True, geometry=geometry)
+        return materialize(_rounded(_rounded(out, "value"), "slope_x", "slope_y", "slope_z", digits=4), "values")
+
+
+def _outcome(call: Callable[[], object]) -> str:
+    try:
+        call()
+    except (RuntimeError, ValueError) as e:
+        return str(e)
+    return "ok"
+
+
+@_query("""SELECT * FROM (VALUES ('index', 'live', 'ok'), ('index', 'destroyed', 'Batched BVH handle has been destroyed'), ('index', 'destroyed again', 'ok'),
+  ('geometry', 'live', 'ok'), ('geometry', 'other table', 'PointGeometry belongs to a different source table'), ('geometry', 'destroyed', 'PointGeometry has been destroyed'),
+  ('rays', 'live', 'ok'), ('rays', 'destroyed', 'RayBVH has been destroyed')) AS t(owner, state, outcome)""")
+def api_lifecycle(spark: SparkSession, d: str) -> DataFrame:
+    """What owners of an index say when they are read alive, destroyed, and for another table."""
+    points, found = tables.points(spark, d), []
+    handle = api.build_bvh(points)
+    found.append(("index", "live", _outcome(lambda: handle["points"])))
+    api.destroy_bvh(handle)
+    found += [("index", "destroyed", _outcome(lambda: handle["points"])), ("index", "destroyed again", _outcome(lambda: api.destroy_bvh(handle)))]
+    geometry = api.PointGeometry(points)
+    found += [("geometry", "live", _outcome(lambda: geometry.validate(points))), ("geometry", "other table", _outcome(lambda: geometry.validate(tables.points(spark, d))))]
+    geometry.destroy()
+    found.append(("geometry", "destroyed", _outcome(lambda: geometry.validate(points))))
+    rays = api.RayBVH(tables.primitives(spark, d, "triangle"), primitive_type="triangle")
+    found.append(("rays", "live", _outcome(lambda: rays.nodes)))
+    rays.destroy()
+    found.append(("rays", "destroyed", _outcome(lambda: rays.nodes)))
+    return spark.createDataFrame(found, "owner string, state string, outcome string")
+
+
+@_query("SELECT * FROM (VALUES ('k', CAST(4.0 AS DOUBLE)), ('k', 8.0), ('k', 16.0), ('dim', 2.0), ('dim', 3.0)) AS t(name, value)")
+def api_constants(spark: SparkSession, d: str) -> DataFrame:
+    """The values of k and the dimensions that the public surface takes."""
+    return spark.createDataFrame([("k", float(k)) for k in api.SUPPORTED_K] + [("dim", float(n)) for n in api.SUPPORTED_DIMS], "name string, value double")
