@@ -54,8 +54,25 @@ SENTENCES: dict[int, str] = {
     32: "released under the mozilla public license version 2 0",
     33: "this source code form is subject to the terms of the mozilla public license v 2 0",
     34: "all rights reserved without permission of the copyright holder",
-    35: "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted",
+    35: "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
     36: "this is free and unencumbered software released into the public domain without a licence fee",
+    37: "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted",
+    38: "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    39: "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version",
+    40: "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    41: "this library is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose",
+    42: "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license version 2 as published by the free software foundation",
+    43: "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the software to use reproduce display distribute execute and transmit the software and to prepare derivative works of the software and to permit third parties to whom the software is furnished to do so all subject to the following",
+    44: "distributed under the boost software license version 1 0",
+    45: "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions",
+    46: "everyone is permitted to copy and distribute verbatim or modified copies of this license document and changing it is allowed as long as the name is changed",
+    47: "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0 which is available at",
+    48: "all advertising materials mentioning features or use of this software must display the following acknowledgement",
+    49: "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so",
+    50: "licensed under the gnu affero general public license version 3",
+    51: "licensed under the bsd 4 clause license",
+    52: "released under the isc license",
+    53: "licensed under the eclipse public license version 2 0",
 }
 
 # Other forms of known sentences, as in the full texts; a * is a name of up to twelve words.
@@ -63,18 +80,22 @@ FORMS: list[tuple[int, str]] = [
     (7, SENTENCES[7] + " including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions"),
     (9, SENTENCES[9] + " including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement"),
     (13, "neither the name of * nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
-    (35, SENTENCES[35] + " provided that the above copyright notice and this permission notice appear in all copies"),
-    (35, SENTENCES[35].replace("and or", "and") + " provided that the above copyright notice and this permission notice appear in all copies"),
+    (35, SENTENCES[35].replace("and or", "and")),
     (36, "this is free and unencumbered software released into the public domain"),
 ]
 
 # Ordered rules, a licence identifier and the sentence identifiers in order.
 RULES: list[tuple[str, list[int]]] = [
     ("MIT", [7, 8, 9]),
+    ("BSD-4-Clause", [10, 11, 12, 48, 13]),
     ("BSD-3-Clause", [10, 11, 12, 13]),
     ("BSD-2-Clause", [10, 11, 12]),
     ("GPL-3.0-or-later", [18, 20]),
     ("GPL-2.0-or-later", [19, 20]),
+    ("AGPL-3.0-or-later", [38, 20]),
+    ("LGPL-2.1-or-later", [39, 41]),
+    ("LGPL-3.0-or-later", [40, 41]),
+    ("GPL-2.0-only", [42, 20]),
     ("Apache-2.0", [1, 3, 4]),
     ("Apache-2.0", [2, 3, 4]),
     ("GPL-3.0-or-later", [18]),
@@ -104,10 +125,25 @@ RULES: list[tuple[str, list[int]]] = [
     ("LicenseRef-proprietary", [34]),
     ("ISC", [35]),
     ("Unlicense", [36]),
+    ("0BSD", [37]),
+    ("AGPL-3.0-or-later", [38]),
+    ("LGPL-2.1-or-later", [39]),
+    ("LGPL-3.0-or-later", [40]),
+    ("GPL-2.0-only", [42]),
+    ("BSL-1.0", [43]),
+    ("BSL-1.0", [44]),
+    ("Zlib", [45]),
+    ("WTFPL", [46]),
+    ("EPL-2.0", [47]),
+    ("MIT-0", [49]),
+    ("AGPL-3.0-only", [50]),
+    ("BSD-4-Clause", [51]),
+    ("ISC", [52]),
+    ("EPL-2.0", [53]),
 ]
 
 #: Every known sentence holds one of these, so texts without any need no cutting.
-ANCHORS = ("licen", "copyright", "permi", "warrant", "unencumbered")
+ANCHORS = ("licen", "copyright", "permi", "warrant", "unencumbered", "advertising")
 
 _END = "[.;:!?]+([ \\t\\r\\n]|$)"
 

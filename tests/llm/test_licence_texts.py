@@ -34,7 +34,26 @@ Anyone is free to copy, modify, publish, use, compile, sell, or distribute this
 APACHE = """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at
 
     http://www.apache.org/licenses/LICENSE-2.0"""
+LGPL = GPL.replace("This program", "This library").replace("GNU General", "GNU Lesser General")
+AGPL = GPL.replace("GNU General", "GNU Affero General")
+GPL_2 = """This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation.
+
+""" + GPL.split("\n\n")[1]
+BOOST = """Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:"""
+ZLIB = """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.
+
+Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:"""
+ZERO_BSD = "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted."
+WTFPL = "Everyone is permitted to copy and distribute verbatim or modified copies of this license document, and changing it is allowed as long as the name is changed."
+BSD_4 = BSD_2 + """
+
+3. All advertising materials mentioning features or use of this software must display the following acknowledgement: This product includes software developed by the organization.
+
+4. """ + BSD_3.split("\n\n3. ")[1].format("the copyright holder")
 TEXTS = [
+    (LGPL.format(";", ";", "2.1"), "LGPL-2.1-or-later", "<39><41>"), (LGPL.format(":", ",", 3), "LGPL-3.0-or-later", "<40><41>"), (AGPL.format(":", ",", 3), "AGPL-3.0-or-later", "<38><20>"),
+    (GPL_2, "GPL-2.0-only", "<42><20>"), (BOOST, "BSL-1.0", "<43>"), (ZLIB, "Zlib", "<45>"), (ZERO_BSD, "0BSD", "<37>"), (BSD_4, "BSD-4-Clause", "<10><11><12><48><13>"), (WTFPL, "WTFPL", "<46>"),
+    (MIT.split("\n\n")[2].replace(", subject to the following conditions:", "."), "MIT-0", "<49>"), ("(Distributed under the Boost Software License, Version 1.0.)", "BSL-1.0", "<44>"),
     (MIT, "MIT", "<7><8><9>"), (BSD_2, "BSD-2-Clause", "<10><11><12>"), (APACHE, "Apache-2.0", "<2><3><4>"), (MPL, "MPL-2.0", "<33>"), (UNLICENSE, "Unlicense", "<36>"),
     (BSD_3.format("the copyright holder"), "BSD-3-Clause", "<10><11><12><13>"), (BSD_3.format("the psutil authors"), "BSD-3-Clause", "<10><11><12><13>"),
     (GPL.format(":", ",", 3), "GPL-3.0-or-later", "<18><20>"), (GPL.format(";", ";", 2), "GPL-2.0-or-later", "<19><20>"), (ISC.format("/or"), "ISC", "<35>"), (ISC.format(""), "ISC", "<35>"),
