@@ -173,18 +173,20 @@ def duplicate_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     lines = materialize(texts.mapInArrow(bk.tidy(_line_table(min_words)), _LINES), "lines").withColumn("rank", rank)
     firsts = materialize(lines.groupBy("line").agg(F.min(F.struct("rank", "line_no", "text_hash")).alias("first"), *(F.max(h).alias(h) for h in _HALVES)), "distinct-lines")
     halves = firsts.select(F.explode(F.array(*_HALVES)).alias("half"), "line").filter("half IS NOT NULL")
-    met = halves.groupBy("half").agg(F.min("line").alias("a"), F.max("line").alias("b")).filter("a <> b").select("half")
+    # stored sides (here and below) let adaptive execution split a hot half, variant or line on the other
+    met = materialize(halves.groupBy("half").agg(F.min("line").alias("a"), F.max("line").alias("b")).filter("a <> b").select("half"), "shared-halves")
     candidates = halves.join(met, "half").select("line").distinct()
     wanted = candidates.join(firsts, "line").groupBy(F.col("first.rank").alias("rank"), F.col("first.text_hash").alias("text_hash")).agg(F.collect_set("first.line_no").alias("wanted"))
     found = texts.withColumn("rank", rank).select("rank", "text_hash", "text").join(wanted, ["rank", "text_hash"])
     known = materialize(found.mapInArrow(bk.tidy(_words), "line long, rank long, line_no int, words array<long>").dropDuplicates(["line"]), "line-words")
     keys = known.mapInArrow(bk.tidy(_variants), "key long, kind byte, line long, rank long, line_no int").withColumn("at", F.struct("rank", "line_no", "line")).drop("rank", "line_no")
     place, short = keys.filter(F.col("kind") == PLACE), keys.filter(F.col("kind") != PLACE)
-    same = place.groupBy("key").agg(F.min("at").alias("least"), F.max("at").alias("most")).filter("least <> most").select("key", "least")
+    same = materialize(place.groupBy("key").agg(F.min("at").alias("least"), F.max("at").alias("most")).filter("least <> most").select("key", "least"), "shared-variants")
     replaced = place.join(same, "key").filter("least < at").select("line", F.col("least").alias("near"))
     sides = short.groupBy("key").agg(
         F.min(F.when(F.col("kind") == SHORTER, F.col("at"))).alias("longer"), F.min(F.when(F.col("kind") == WHOLE, F.col("at"))).alias("whole")
     ).filter("longer IS NOT NULL AND whole IS NOT NULL")
+    sides = materialize(sides, "shorter-lines")
     moved = short.join(sides, "key").select("line", "at", F.when(F.col("kind") == SHORTER, F.col("whole")).otherwise(F.col("longer")).alias("near")).filter("near < at").select("line", "near")
     near = replaced.unionByName(moved).groupBy("line").agg(F.min("near").alias("near"))
     pairs = near.join(known.select("line", "words"), "line").select("line", "words", "near").join(
@@ -193,9 +195,8 @@ def duplicate_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     pairs = pairs.select("line", "words", "other_words", F.col("near.rank").alias("near_rank"), F.col("near.line_no").alias("near_line_no"))
     good = pairs.mapInArrow(_verified, "line long, near_rank long, near_line_no int")
     best = firsts.join(good, "line", "left").select("line", F.col("first.rank").alias("f_rank"), F.col("first.line_no").alias("f_line"), "near_rank", "near_line_no")
-    # a stored side lets adaptive execution split the occurrences of one line on the other
     best = materialize(best, "best")
-    for done in (firsts, known):
+    for done in (firsts, known, met, same, sides):
         discard(done)
     out = lines.join(best, "line").withColumn("later", F.struct("rank", "line_no") > F.struct(F.col("f_rank").alias("rank"), F.col("f_line").alias("line_no")))
     out = out.filter("later OR near_rank IS NOT NULL")

@@ -125,7 +125,7 @@ def shard_documents(docs: DataFrame, n_shards: int = 16, n_slots: int = N_SLOTS,
     rows = rows.groupBy("doc_id", "size", "text_crc32").agg(F.count(F.lit(1)).alias("copies"))
     rows = numbered_copies(rows).withColumn("virtual_slot", slot_of(F.col("doc_id"), F.col("text_crc32"), F.col("copy"), n_slots=n_slots))
     table = store_map(initial_map(spark, n_shards, n_slots), folder, 0)
-    load = rows.groupBy("virtual_slot").agg(F.sum("size").alias("bytes"))
+    load = slot_bytes(rows)
     table = store_map(rebalance(latest(table), load, n_shards), folder, 1)
     version = latest(table)
     counts = assign(rows.groupBy("virtual_slot").agg(F.count(F.lit(1)).alias("n")), version)

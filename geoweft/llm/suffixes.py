@@ -28,7 +28,6 @@ not read, whatever their names.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
