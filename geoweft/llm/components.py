@@ -25,6 +25,8 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, component) for all nodes of ``edges(a, b)``; a component is named by its least node."""
     ordered = edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     now = materialize(ordered, "edges")
+    if now.isEmpty():
+        return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
     sign = None
     for _ in range(MAX_ROUNDS):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))

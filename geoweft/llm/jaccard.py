@@ -446,7 +446,9 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, named
     ties = open_.join(buckets, ["token", "band"]).filter("cid <> hub").select(F.col("cid").alias("a"), F.col("hub").alias("b"))
     near = components(ties).select(F.col("node").alias("cid"), "component")
     more = _linked(_units(held.join(near, "cid"), percent), percent, n)
-    groups = components(links.unionByName(more)).select(F.col("node").alias("cid"), "component")
+    # what is settled is stars already, so only new links between them need rounds
+    stars = settled.filter("cid <> known").select(F.col("cid").alias("a"), F.col("known").alias("b"))
+    groups = settled.withColumnRenamed("known", "component") if more.isEmpty() else components(stars.unionByName(more)).select(F.col("node").alias("cid"), "component")
     whose = classes.select("cid", "first_doc").join(groups, "cid", "left").withColumn("component", F.coalesce("component", "cid"))
     least = whose.groupBy("component").agg(F.min("first_doc").alias("component_id"))
     # a stored side lets adaptive execution split the copies of one set on the other
