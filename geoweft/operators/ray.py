@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -157,8 +158,18 @@ def _near_hits(rays: DataFrame, primitives: DataFrame, kind: str, t_min: float,
 
 def _near_hits_in_blocks(rays: DataFrame, primitives: DataFrame, kind: str, t_min: float, t_max: float, keys: Sequence[str], n: int) -> DataFrame:
     """As ``_near_hits``, for any number of primitives: rays meet the first block on their way, then those not behind its hit."""
-    names = _ray_names(kind)
-    index = blocks.build(primitives, "prim_id", vertex_names(kind), n)
+    names, vertices = _ray_names(kind), vertex_names(kind)
+    large, small = blocks.by_size(primitives, n)
+    asked = rays.select(*dict.fromkeys([*keys, "b", *names]))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in asked.select(*keys).schema) + ", prim_id long, t double"
+
+    def search(asked: pa.Table, ids: np.ndarray, coordinates: np.ndarray) -> pa.Table:
+        return pa.table(_answer(asked, keys, Scene(ids, coordinates, kind).hits(*_of_table(asked, names), t_min, t_max)))
+
+    found = [] if small is None else [blocks.by_sample(asked, small, "prim_id", vertices, keys, search, schema)]
+    if large is None:
+        return found[0]
+    index = blocks.build(large, "prim_id", vertices, n)
     sent = rays.sparkSession.sparkContext.broadcast(blocks.boxes(index))
     dims = len(names) // 2
 
@@ -171,17 +182,12 @@ def _near_hits_in_blocks(rays: DataFrame, primitives: DataFrame, kind: str, t_mi
         keep = np.isfinite(entry)
         return ray[keep], block[keep], entry[keep]
 
-    def search(asked: pa.Table, ids: np.ndarray, coordinates: np.ndarray) -> pa.Table:
-        return pa.table(_answer(asked, keys, Scene(ids, coordinates, kind).hits(*_of_table(asked, names), t_min, t_max)))
-
-    asked = rays.select(*dict.fromkeys([*keys, "b", *names]))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in asked.select(*keys).schema) + ", prim_id long, t double"
     pairs = blocks.routed(asked, names, sent, route)
     first = blocks.materialize(blocks.searched(pairs.filter("turn = 0"), index, keys, search, schema), "first-hits")
     least = first.groupBy(*keys).agg(F.min("t").alias("_least")).select(*(F.col(k).alias(f"_{k}") for k in keys), "_least")
     rest = pairs.filter("turn > 0").join(least, [F.col(k) == F.col(f"_{k}") for k in keys], "left")
     rest = rest.filter(F.col("_least").isNull() | (F.col("near") <= F.col("_least") + 8 * EPS * F.greatest(F.lit(1.0), F.abs("_least")))).select(*pairs.columns)
-    return first.unionByName(blocks.searched(rest, index, keys, search, schema))
+    return reduce(DataFrame.unionByName, [*found, first, blocks.searched(rest, index, keys, search, schema)])
 
 
 def _nearest(hits: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -3,7 +3,8 @@
 Rows are dealt out by sample and Morton code, and each partition is cut by medians along its widest axis
 into blocks of at most so many rows; a block is one packed row with its box.  Dense places get small boxes
 and empty ones large boxes, so skewed clouds need no other plan.  The size of a block grows with the input
-once there are MAX_BLOCKS, so the table of boxes, which goes to every task, is bounded at every size.
+once there are MAX_BLOCKS, and samples that are no larger than a block are not indexed but met whole, so
+the table of boxes, which goes to every task, is bounded for any number of rows and of samples.
 
 A search is routed by boxes (two levels of them), meets the nearest block first and then only those blocks
 whose box is nearer than what it has found.  A block that many searches meet is dealt to several tasks.
@@ -29,6 +30,9 @@ SEARCHES = 65_536
 #: Searches routed at once.
 STEP = 512
 
+#: The results of searches (a table) among rows with these ids and coordinates.
+Search = Callable[[pa.Table, np.ndarray, np.ndarray], pa.Table]
+
 
 def kd_order(centre: np.ndarray, size: int) -> tuple[np.ndarray, list[int]]:
     """Rows cut by medians along the widest axis: their order and the first place of each cell of at most ``size``."""
@@ -56,7 +60,7 @@ def build(rows: DataFrame, key: str, vertices: Sequence[Sequence[str]], n_rows:
     """(b, block, n, lo, hi, ids, coordinates): ``rows(b, key, vertices…)`` packed into blocks, as a stored table."""
     spark, names = rows.sparkSession, [c for v in vertices for c in v]
     dims = len(vertices[0])
-    size = max(BLOCK_ROWS, -(-n_rows // MAX_BLOCKS))
+    size = least_rows(n_rows)
     parts = max(-(-n_rows // PARTITION_ROWS), min(int(spark.conf.get("spark.sql.shuffle.partitions")), n_rows // (8 * size) + 1))
     own = rows.select("b", F.col(key).cast("long").alias("id"), *(F.col(c).cast("double").alias(f"v{k}") for k, c in enumerate(names)))
     centres = {a: sum((F.col(f"v{v * dims + k}") for v in range(1, len(vertices))), F.col(f"v{k}")) / F.lit(float(len(vertices))) for k, a in enumerate("xyz"[:dims])}
@@ -95,6 +99,38 @@ def build(rows: DataFrame, key: str, vertices: Sequence[Sequence[str]], n_rows:
     return materialize(dealt.mapInArrow(run, f"b {kind}, block long, n long, lo binary, hi binary, ids binary, coordinates binary"), "blocks")
 
 
+def least_rows(n_rows: int) -> int:
+    """Rows of a block at least.  Fewer than MAX_BLOCKS samples can be larger than that."""
+    return max(BLOCK_ROWS, n_rows // MAX_BLOCKS)
+
+
+def by_size(rows: DataFrame, n_rows: int) -> tuple[DataFrame | None, DataFrame | None]:
+    """The rows of samples that are larger than a block, and those of the others; None where there are none."""
+    sizes = rows.groupBy("b").agg((F.count(F.lit(1)) > least_rows(n_rows)).alias("large"))
+    found = sizes.agg(F.max("large").alias("some"), F.min("large").alias("all")).first()
+    if found["some"] is None or found["some"] == found["all"]:
+        return (rows, None) if found["some"] else (None, rows)
+    large = materialize(sizes.filter("large").select("b"), "large-samples")
+    return rows.join(F.broadcast(large), "b"), rows.join(F.broadcast(large), "b", "left_anti")
+
+
+def by_sample(asked: DataFrame, rows: DataFrame, key: str, vertices: Sequence[Sequence[str]], keys: Sequence[str], search: Search, schema: str) -> DataFrame:
+    """The results of ``search`` for whole samples, each of which is dealt to as many tasks as its searches need."""
+    names = [c for v in vertices for c in v]
+    # both tables may come from one, so their columns get names of their own here
+    mine = rows.select(F.col("b").alias("_s"), F.col(key).cast("long").alias("id"), *(F.col(c).cast("double").alias(f"v{k}") for k, c in enumerate(names)))
+    loads = asked.groupBy(F.col("b").alias("_l")).agg(F.ceil(F.count(F.lit(1)) / SEARCHES).cast("int").alias("salts"))
+    loads = loads.join(mine.select(F.col("_s").alias("_m")).distinct(), F.col("_l") == F.col("_m")).select("_l", "salts")
+    left = asked.join(loads, F.col("b") == F.col("_l")).withColumn("salt", F.pmod(F.xxhash64(*keys), F.col("salts")).cast("int")).drop("salts")
+    right = mine.join(loads, F.col("_s") == F.col("_l")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts", "_l")
+
+    def run(asked: pa.Table, held: pa.Table) -> pa.Table:
+        coordinates = np.stack([held.column(f"v{k}").to_numpy() for k in range(len(names))], axis=1)
+        return search(asked, held.column("id").to_numpy(), coordinates)
+
+    return left.groupBy("_l", "salt").cogroup(right.groupBy("_s", "salt")).applyInArrow(run, schema)
+
+
 class Boxes:
     """The boxes of one sample's blocks, and boxes around runs of them."""
 
@@ -149,7 +185,7 @@ def routed(asked: DataFrame, names: Sequence[str], sent: Broadcast, route: Route
     return materialize(asked.mapInArrow(run, f"{kinds}, block long, near double, turn int"), "routes")
 
 
-def searched(pairs: DataFrame, blocks: DataFrame, keys: Sequence[str], search: Callable[[pa.Table, np.ndarray, np.ndarray], pa.Table], schema: str) -> DataFrame:
+def searched(pairs: DataFrame, blocks: DataFrame, keys: Sequence[str], search: Search, schema: str) -> DataFrame:
     """The results of ``search(searches, ids, coordinates)`` for each block and the searches that meet it."""
     loads = pairs.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / SEARCHES).cast("int").alias("salts"))
     left = pairs.join(F.broadcast(loads), "block").withColumn("salt", F.pmod(F.xxhash64(*keys), F.col("salts")).cast("int")).drop("salts")

@@ -9,6 +9,7 @@ nearer than that, which certifies the answer.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -103,7 +104,7 @@ def _nearest(names: Sequence[str], kept: Sequence[str], k: int):
     def search(asked: pa.Table, ids: np.ndarray, points: np.ndarray) -> pa.Table:
         q = np.stack([asked.column(a).to_numpy() for a in names], axis=1)
         most, step = min(k, len(ids)), max(1, STEP // len(ids))
-        rows, hits, dist = [], [], []
+        rows, hits, dist = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
         for a in range(0, len(q), step):
             d = [q[a : a + step, i, None] - points[None, :, i] for i in range(len(names))]
             d = dot(d, d)
@@ -124,18 +125,30 @@ def _nearest(names: Sequence[str], kept: Sequence[str], k: int):
 
 
 def grid(points: DataFrame, queries: DataFrame, k: int, names: Sequence[str], keys: Sequence[str], n_points: int | None = None) -> DataFrame:
-    """Neighbours by cells of equal counts: the nearest cell, then the cells that can hold nearer points."""
+    """Neighbours by cells of equal counts: the nearest cell, then the cells that can hold nearer points.
+
+    Samples of at most a cell are searched whole.
+    """
     n_points = points.count() if n_points is None else n_points
-    index = blocks.build(points, "pid", [list(names)], n_points)
-    sent = points.sparkSession.sparkContext.broadcast(blocks.boxes(index))
-    pairs = blocks.routed(queries, names, sent, _route(k))
+    large, small = blocks.by_size(points, n_points)
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in queries.schema)
     schema = f"{kinds}, pid long, " + ", ".join(f"n{a} double" for a in names) + ", dist_sq double"
     search = _nearest(names, queries.columns, k)
+    found = [] if small is None else [blocks.by_sample(queries, small, "pid", [list(names)], keys, search, schema)]
+    if large is not None:
+        found += _by_cells(large, queries, k, names, keys, n_points, search, schema)
+    return ranked(reduce(DataFrame.unionByName, found), keys, k)
+
+
+def _by_cells(points: DataFrame, queries: DataFrame, k: int, names: Sequence[str], keys: Sequence[str], n_points: int, search: blocks.Search, schema: str) -> list[DataFrame]:
+    """Candidates of the nearest cell of each query, and of the cells that can hold nearer points."""
+    index = blocks.build(points, "pid", [list(names)], n_points)
+    sent = points.sparkSession.sparkContext.broadcast(blocks.boxes(index))
+    pairs = blocks.routed(queries, names, sent, _route(k))
     first = blocks.searched(pairs.filter("turn = 0"), index, keys, search, schema)
     first = blocks.materialize(first, "nearest")
     found = first.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.max("dist_sq").alias("_far"))
     found = found.select(*(F.col(c).alias(f"_{c}") for c in keys), F.when(F.col("_n") >= k, F.col("_far")).alias("_far"))
     same = [F.col(c) == F.col(f"_{c}") for c in keys]
     rest = pairs.filter("turn > 0").join(found, same, "left").filter("_far IS NULL OR near <= _far").select(*pairs.columns)
-    return ranked(first.unionByName(blocks.searched(rest, index, keys, search, schema)), keys, k)
+    return [first, blocks.searched(rest, index, keys, search, schema)]

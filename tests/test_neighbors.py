@@ -1,7 +1,11 @@
+from functools import reduce
+
 import numpy as np
 import pytest
+from pyspark.sql import DataFrame
 
 from geoweft.operators import interpolate, knn
+from geoweft.plans import blocks
 from geoweft.schema import from_offsets, pack_neighbors
 
 from .oracles import cloud
@@ -25,9 +29,14 @@ def rows(df, keys=("b", "qid")):
 
 
 @pytest.mark.parametrize("name", CLOUDS)
-@pytest.mark.parametrize("strategy", ["brute", "grid"])
-def test_matches_dense(spark, name, strategy):
+@pytest.mark.parametrize("strategy", ["brute", "grid", "whole samples"])
+def test_matches_dense(spark, name, strategy, monkeypatch):
     points = CLOUDS[name]
+    if strategy == "grid":
+        monkeypatch.setattr(blocks, "BLOCK_ROWS", 8)
+        monkeypatch.setattr(blocks, "UPPER", 3)
+        monkeypatch.setattr(blocks, "SEARCHES", 4)
+    strategy = "brute" if strategy == "brute" else "grid"
     queries = np.concatenate([points[:9] + 0.01, points[:5], points[:1] + 1e6])
     index, dist = dense(points, queries, 8)
     found = rows(knn.knn_join(cloud(spark, points), cloud(spark, queries, key="qid"), 8, strategy=strategy))
@@ -48,6 +57,22 @@ def test_samples_do_not_leak(spark):
             assert r.dist_sq == pytest.approx(((q - p) ** 2).sum(), rel=1e-12)
 
 
+def test_large_and_small_samples(spark, monkeypatch):
+    """Samples of more and of fewer points than a block, in one search; a sample without points has no answer."""
+    monkeypatch.setattr(blocks, "BLOCK_ROWS", 20)
+    monkeypatch.setattr(blocks, "SEARCHES", 7)
+    own = {0: RNG.random((90, 2)), 1: RNG.random((20, 2)), 2: RNG.random((3, 2)), 3: RNG.random((41, 2))}
+    points = reduce(DataFrame.union, (cloud(spark, p, b) for b, p in own.items()))
+    queries = reduce(DataFrame.union, (cloud(spark, own.get(b, own[0])[:15] + 0.02, b, key="qid") for b in (0, 1, 2, 3, 9)))
+    found = knn.knn_join(points, queries, 4, strategy="grid").orderBy("b", "qid", "rank").collect()
+    want = []
+    for b, p in own.items():
+        asked = p[:15] + 0.02
+        index, dist = dense(p, asked, min(4, len(p)))
+        want += [(b, i, r + 1, int(index[i, r]), dist[i, r]) for i in range(len(asked)) for r in range(min(4, len(p)))]
+    assert [(r.b, r.qid, r.rank, r.pid, r.dist_sq) for r in found] == want
+
+
 def test_ragged_offsets(spark):
     xyz = RNG.random((30, 2))
     packed = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(xyz)], "row long, x double, y double")

@@ -25,7 +25,8 @@ def test_blocks_and_broadcast_agree(spark, sf_dir, monkeypatch, kind):
     asked, own = queries.tables.rays(spark, sf_dir, kind), queries.tables.primitives(spark, sf_dir, kind)
     swap = {"x0": "x1", "x1": "x0"}
     own = own.unionByName(own.filter("prim_id % 7 = 0").select(*(F.col(swap.get(c, c)).alias(c) for c in own.columns)))
-    asked = asked.unionByName(asked.limit(3).withColumn("b", F.lit(9)))
+    own = own.unionByName(own.filter("prim_id % 50 = 1").withColumn("b", F.lit(5)))
+    asked = asked.unionByName(asked.filter("ray_id % 3 = 0").withColumn("b", F.lit(5))).unionByName(asked.limit(3).withColumn("b", F.lit(9)))
     found = []
     for most in (10**6, 10):
         monkeypatch.setattr(ray, "BROADCAST_PRIMITIVES", most)
