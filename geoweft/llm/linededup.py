@@ -98,32 +98,39 @@ def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 PLACE, SHORTER, WHOLE = 0, 1, 2
 
 
-def _variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The keys of each candidate line."""
-    sequences = bk.SequenceHasher()
-    for whole in batches:
-        for at in range(0, whole.num_rows, 4096):
-            batch = whole.slice(at, 4096)
-            words = batch.column("words")
-            offsets = words.offsets.to_numpy().astype(np.int64)
-            symbols = words.values.to_numpy(zero_copy_only=False).view(np.uint64)
-            start, end = offsets[:-1], offsets[1:]
-            m = end - start
-            owner = np.repeat(np.arange(len(m)), m)
-            place = np.arange(offsets[0], offsets[-1]) - start[owner]
-            # a variant is the hash of what stands before the place and of what stands after it
-            before = sequences.of_ranges(symbols, start[owner], start[owner] + place)
-            after = sequences.of_ranges(symbols, start[owner] + place + 1, end[owner])
-            spot = bk.mix(before + bk.mix(after ^ bk.mix(place.astype(np.uint64) * np.uint64(65537) + m[owner].astype(np.uint64))))
-            shorter = _tagged(_without(sequences, symbols, start, end, owner, place), m[owner] - 1, 2)
-            whole_key = _tagged(_without(sequences, symbols, start, end, np.arange(len(m)), None), m, 2)
-            rows = np.concatenate([owner, owner, np.arange(len(m))])
-            kind = np.repeat(np.array([PLACE, SHORTER, WHOLE], np.int8), [len(owner), len(owner), len(m)])
-            take = pa.array(rows)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate([spot, shorter, whole_key]).view(np.int64)), pa.array(kind), *(batch.column(c).take(take) for c in ("line", "rank", "line_no"))],
-                names=["key", "kind", "line", "rank", "line_no"],
-            )
+_KEYS = "key long, kind byte, line long, rank long, line_no int"
+
+
+def _variants(place_keys: bool):
+    """The keys of each candidate line: its places and variants, or its variants and itself."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sequences = bk.SequenceHasher()
+        for whole in batches:
+            for at in range(0, whole.num_rows, 4096):
+                batch = whole.slice(at, 4096)
+                words = batch.column("words")
+                offsets = words.offsets.to_numpy().astype(np.int64)
+                symbols = words.values.to_numpy(zero_copy_only=False).view(np.uint64)
+                start, end = offsets[:-1], offsets[1:]
+                m = end - start
+                owner = np.repeat(np.arange(len(m)), m)
+                place = np.arange(offsets[0], offsets[-1]) - start[owner]
+                if place_keys:
+                    # a variant is the hash of what stands before the place and of what stands after it
+                    before = sequences.of_ranges(symbols, start[owner], start[owner] + place)
+                    after = sequences.of_ranges(symbols, start[owner] + place + 1, end[owner])
+                    key = bk.mix(before + bk.mix(after ^ bk.mix(place.astype(np.uint64) * np.uint64(65537) + m[owner].astype(np.uint64))))
+                    rows, kind = owner, np.full(len(owner), PLACE, np.int8)
+                else:
+                    shorter = _tagged(_without(sequences, symbols, start, end, owner, place), m[owner] - 1, 2)
+                    itself = _tagged(_without(sequences, symbols, start, end, np.arange(len(m)), None), m, 2)
+                    key, rows = np.concatenate([shorter, itself]), np.concatenate([owner, np.arange(len(m))])
+                    kind = np.repeat(np.array([SHORTER, WHOLE], np.int8), [len(owner), len(m)])
+                take = pa.array(rows)
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(kind), *(batch.column(c).take(take) for c in ("line", "rank", "line_no"))], names=[c.split()[0] for c in _KEYS.split(", ")])
+
+    return run
 
 
 def _without(sequences: bk.SequenceHasher, symbols, start, end, owner, place) -> np.ndarray:
@@ -168,26 +175,34 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def duplicate_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """The lines that go: doc_id, text_hash, line_no, n_words, edits, and the earliest line within the bound."""
+    return _duplicates(docs, min_words)[0]
+
+
+def _duplicates(docs: DataFrame, min_words: int) -> tuple[DataFrame, list[DataFrame]]:
+    """The lines that go, and the tables that they are read from."""
     texts = narrow(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
     rank = F.coalesce("doc_id", F.lit(LAST))
-    lines = materialize(texts.mapInArrow(bk.tidy(_line_table(min_words)), _LINES), "lines").withColumn("rank", rank)
+    stored = materialize(texts.mapInArrow(bk.tidy(_line_table(min_words)), _LINES), "lines")
+    lines = stored.withColumn("rank", rank)
     firsts = materialize(lines.groupBy("line").agg(F.min(F.struct("rank", "line_no", "text_hash")).alias("first"), *(F.max(h).alias(h) for h in _HALVES)), "distinct-lines")
     halves = firsts.select(F.explode(F.array(*_HALVES)).alias("half"), "line").filter("half IS NOT NULL")
     # stored sides (here and below) let adaptive execution split a hot half, variant or line on the other
     met = materialize(halves.groupBy("half").agg(F.min("line").alias("a"), F.max("line").alias("b")).filter("a <> b").select("half"), "shared-halves")
     candidates = halves.join(met, "half").select("line").distinct()
+    # each step from here is a job of its own, so that the shuffles of all halves, texts and keys are never there at once
     wanted = candidates.join(firsts, "line").groupBy(F.col("first.rank").alias("rank"), F.col("first.text_hash").alias("text_hash")).agg(F.collect_set("first.line_no").alias("wanted"))
+    wanted = materialize(wanted, "wanted-lines")
     found = texts.withColumn("rank", rank).select("rank", "text_hash", "text").join(wanted, ["rank", "text_hash"])
     known = materialize(found.mapInArrow(bk.tidy(_words), "line long, rank long, line_no int, words array<long>").dropDuplicates(["line"]), "line-words")
-    keys = known.mapInArrow(bk.tidy(_variants), "key long, kind byte, line long, rank long, line_no int").withColumn("at", F.struct("rank", "line_no", "line")).drop("rank", "line_no")
-    place, short = keys.filter(F.col("kind") == PLACE), keys.filter(F.col("kind") != PLACE)
-    same = materialize(place.groupBy("key").agg(F.min("at").alias("least"), F.max("at").alias("most")).filter("least <> most").select("key", "least"), "shared-variants")
-    replaced = place.join(same, "key").filter("least < at").select("line", F.col("least").alias("near"))
-    sides = short.groupBy("key").agg(
-        F.min(F.when(F.col("kind") == SHORTER, F.col("at"))).alias("longer"), F.min(F.when(F.col("kind") == WHOLE, F.col("at"))).alias("whole")
-    ).filter("longer IS NOT NULL AND whole IS NOT NULL")
-    sides = materialize(sides, "shorter-lines")
-    moved = short.join(sides, "key").select("line", "at", F.when(F.col("kind") == SHORTER, F.col("whole")).otherwise(F.col("longer")).alias("near")).filter("near < at").select("line", "near")
+    at = F.struct("rank", "line_no", "line")
+    place = known.mapInArrow(bk.tidy(_variants(True)), _KEYS).drop("kind")
+    same = materialize(place.groupBy("key").agg(F.min(at).alias("least"), F.max(at).alias("most")).filter("least <> most").select("key", "least"), "shared-variants")
+    replaced = materialize(place.join(same, "key").filter(F.col("least") < at).groupBy("line").agg(F.min("least").alias("near")), "replaced-words")
+    short = known.mapInArrow(bk.tidy(_variants(False)), _KEYS)
+    sides = short.groupBy("key").agg(F.min(F.when(F.col("kind") == SHORTER, at)).alias("longer"), F.min(F.when(F.col("kind") == WHOLE, at)).alias("whole"))
+    sides = materialize(sides.filter("longer IS NOT NULL AND whole IS NOT NULL"), "shorter-lines")
+    other = F.when(F.col("kind") == SHORTER, F.col("whole")).otherwise(F.col("longer"))
+    moved = materialize(short.join(sides, "key").filter(other < at).groupBy("line").agg(F.min(other).alias("near")), "added-words")
     near = replaced.unionByName(moved).groupBy("line").agg(F.min("near").alias("near"))
     pairs = near.join(known.select("line", "words"), "line").select("line", "words", "near").join(
         known.select(F.col("line").alias("_line"), F.col("words").alias("other_words")), F.col("near.line") == F.col("_line")
@@ -196,25 +211,29 @@ def duplicate_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     good = pairs.mapInArrow(_verified, "line long, near_rank long, near_line_no int")
     best = firsts.join(good, "line", "left").select("line", F.col("first.rank").alias("f_rank"), F.col("first.line_no").alias("f_line"), "near_rank", "near_line_no")
     best = materialize(best, "best")
-    for done in (firsts, known, met, same, sides):
+    for done in (firsts, wanted, known, met, same, replaced, sides, moved):
         discard(done)
     out = lines.join(best, "line").withColumn("later", F.struct("rank", "line_no") > F.struct(F.col("f_rank").alias("rank"), F.col("f_line").alias("line_no")))
     out = out.filter("later OR near_rank IS NOT NULL")
     to_id = lambda c: F.when(F.col(c) != LAST, F.col(c))
     earlier = "near_rank IS NOT NULL"
-    return out.select(
+    out = out.select(
         "doc_id", "text_hash", "line_no", "n_words", F.expr(f"IF({earlier}, 1, 0)").alias("edits"),
         F.when(F.expr(earlier), to_id("near_rank")).otherwise(to_id("f_rank")).alias("first_doc_id"),
         F.expr(f"IF({earlier}, near_line_no, f_line)").alias("first_line_no"),
     )
+    return out, [stored, best]
 
 
 def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` without the duplicate lines; all columns stay, and so do documents that lose all lines."""
-    gone = duplicate_lines(docs, min_words).groupBy(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h")).agg(F.collect_set("line_no").alias("_gone"))
+    found, tables = _duplicates(docs, min_words)
+    gone = materialize(found.groupBy(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h")).agg(F.collect_set("line_no").alias("_gone")), "gone")
+    for done in tables:
+        discard(done)
     inner, at = placed(docs)
     hashed = inner.withColumn("_t", F.xxhash64(at["text"]))
-    joined = hashed.join(materialize(gone, "gone"), F.col(at["doc_id"]).cast("long").eqNullSafe(F.col("_d")) & (F.col("_t") == F.col("_h")), "left").drop("_d", "_h", "_t")
+    joined = hashed.join(gone, F.col(at["doc_id"]).cast("long").eqNullSafe(F.col("_d")) & (F.col("_t") == F.col("_h")), "left").drop("_d", "_h", "_t")
     names, text = inner.columns, at["text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
