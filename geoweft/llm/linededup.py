@@ -186,23 +186,24 @@ def _duplicates(docs: DataFrame, min_words: int) -> tuple[DataFrame, list[DataFr
     lines = stored.withColumn("rank", rank)
     firsts = materialize(lines.groupBy("line").agg(F.min(F.struct("rank", "line_no", "text_hash")).alias("first"), *(F.max(h).alias(h) for h in _HALVES)), "distinct-lines")
     halves = firsts.select(F.explode(F.array(*_HALVES)).alias("half"), "line").filter("half IS NOT NULL")
-    # stored sides (here and below) let adaptive execution split a hot half, variant or line on the other
+    # stored sides (here and below) let adaptive execution split a hot half, variant or line on the other; they are
+    # merged at every size, since a broadcast that small inputs get would hide what large ones shuffle
     met = materialize(halves.groupBy("half").agg(F.min("line").alias("a"), F.max("line").alias("b")).filter("a <> b").select("half"), "shared-halves")
-    candidates = halves.join(met, "half").select("line").distinct()
+    candidates = halves.join(met.hint("merge"), "half").select("line").distinct()
     # each step from here is a job of its own, so that the shuffles of all halves, texts and keys are never there at once
     wanted = candidates.join(firsts, "line").groupBy(F.col("first.rank").alias("rank"), F.col("first.text_hash").alias("text_hash")).agg(F.collect_set("first.line_no").alias("wanted"))
     wanted = materialize(wanted, "wanted-lines")
-    found = texts.withColumn("rank", rank).select("rank", "text_hash", "text").join(wanted, ["rank", "text_hash"])
+    found = texts.withColumn("rank", rank).select("rank", "text_hash", "text").join(wanted.hint("merge"), ["rank", "text_hash"])
     known = materialize(found.mapInArrow(bk.tidy(_words), "line long, rank long, line_no int, words array<long>").dropDuplicates(["line"]), "line-words")
     at = F.struct("rank", "line_no", "line")
     place = known.mapInArrow(bk.tidy(_variants(True)), _KEYS).drop("kind")
     same = materialize(place.groupBy("key").agg(F.min(at).alias("least"), F.max(at).alias("most")).filter("least <> most").select("key", "least"), "shared-variants")
-    replaced = materialize(place.join(same, "key").filter(F.col("least") < at).groupBy("line").agg(F.min("least").alias("near")), "replaced-words")
+    replaced = materialize(place.join(same.hint("merge"), "key").filter(F.col("least") < at).groupBy("line").agg(F.min("least").alias("near")), "replaced-words")
     short = known.mapInArrow(bk.tidy(_variants(False)), _KEYS)
     sides = short.groupBy("key").agg(F.min(F.when(F.col("kind") == SHORTER, at)).alias("longer"), F.min(F.when(F.col("kind") == WHOLE, at)).alias("whole"))
     sides = materialize(sides.filter("longer IS NOT NULL AND whole IS NOT NULL"), "shorter-lines")
     other = F.when(F.col("kind") == SHORTER, F.col("whole")).otherwise(F.col("longer"))
-    moved = materialize(short.join(sides, "key").filter(other < at).groupBy("line").agg(F.min(other).alias("near")), "added-words")
+    moved = materialize(short.join(sides.hint("merge"), "key").filter(other < at).groupBy("line").agg(F.min(other).alias("near")), "added-words")
     near = replaced.unionByName(moved).groupBy("line").agg(F.min("near").alias("near"))
     pairs = near.join(known.select("line", "words"), "line").select("line", "words", "near").join(
         known.select(F.col("line").alias("_line"), F.col("words").alias("other_words")), F.col("near.line") == F.col("_line")
@@ -213,7 +214,7 @@ def _duplicates(docs: DataFrame, min_words: int) -> tuple[DataFrame, list[DataFr
     best = materialize(best, "best")
     for done in (firsts, wanted, known, met, same, replaced, sides, moved):
         discard(done)
-    out = lines.join(best, "line").withColumn("later", F.struct("rank", "line_no") > F.struct(F.col("f_rank").alias("rank"), F.col("f_line").alias("line_no")))
+    out = lines.join(best.hint("merge"), "line").withColumn("later", F.struct("rank", "line_no") > F.struct(F.col("f_rank").alias("rank"), F.col("f_line").alias("line_no")))
     out = out.filter("later OR near_rank IS NOT NULL")
     to_id = lambda c: F.when(F.col(c) != LAST, F.col(c))
     earlier = "near_rank IS NOT NULL"
@@ -233,7 +234,7 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         discard(done)
     inner, at = placed(docs)
     hashed = inner.withColumn("_t", F.xxhash64(at["text"]))
-    joined = hashed.join(gone, F.col(at["doc_id"]).cast("long").eqNullSafe(F.col("_d")) & (F.col("_t") == F.col("_h")), "left").drop("_d", "_h", "_t")
+    joined = hashed.join(gone.hint("merge"), F.col(at["doc_id"]).cast("long").eqNullSafe(F.col("_d")) & (F.col("_t") == F.col("_h")), "left").drop("_d", "_h", "_t")
     names, text = inner.columns, at["text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
