@@ -107,12 +107,24 @@ def exact(xyz: np.ndarray, order: np.ndarray, m: int, seed: int, bucket: int) ->
     return state
 
 
+def _queue(state: _Buckets, size: int) -> np.ndarray:
+    """The ``size`` buckets with the farthest points, brought up to date; others keep maxima that are never too small."""
+    renewed = size
+    while True:
+        pick = np.argsort(-state.top, kind="stable")[:renewed]
+        if not state.stale[pick[:size]].any():
+            return pick[:size]
+        state.refresh(pick)
+        renewed *= 2
+
+
 def approximate(xyz: np.ndarray, order: np.ndarray, m: int, seed: int, r: int, c: int, alpha: float, bucket: int) -> _Buckets:
     """Several anchors a round, from the buckets with the farthest points.
 
-    The queue of buckets is by their last known maxima, which are never too small; only those that are picked
-    are brought up to date, and all of them every REFRESH rounds.  A candidate that a choice of the same round
-    has come too close to waits for a later round, but for the last round, which takes what it has.
+    The queue of buckets is by their last known maxima, which are never too small; its head is brought up to
+    date until it holds the farthest points of all, and all buckets every REFRESH rounds.  A candidate that a
+    choice of the same round has come nearer to than all before waits for a later round: in a large cloud the
+    candidates crowd at one place, and its anchors would leave other places bare.
     """
     state = _Buckets(xyz, order, bucket, reuse=False)
     state.commit(_seed(xyz, seed))
@@ -121,15 +133,13 @@ def approximate(xyz: np.ndarray, order: np.ndarray, m: int, seed: int, r: int, c
         if rounds % REFRESH == 0:
             state.refresh(np.flatnonzero(state.stale))
         rounds += 1
-        pick = np.argsort(-state.top, kind="stable")[: max(r, r * c)]
-        state.refresh(pick)
-        pick = pick[np.argsort(-state.top[pick], kind="stable")]
-        farthest, taken, last = state.top[pick[0]], 0, m - len(state.chosen) <= r
-        for b in pick.tolist():
+        pick = _queue(state, max(r, r * c))
+        before, taken = state.top[pick], 0
+        for b, far in zip(pick.tolist(), before.tolist(), strict=True):
             if taken == r or len(state.chosen) == m:
                 break
             state.refresh(np.array([b]))
-            if state.top[b] < 0 or taken and not last and state.top[b] <= alpha * alpha * farthest:
+            if state.top[b] < 0 or taken and (state.top[b] < far or state.top[b] <= alpha * alpha * before[0]):
                 continue
             state.commit(int(state.first[b]))
             taken += 1

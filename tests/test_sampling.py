@@ -52,6 +52,18 @@ def test_approximate_invariants(spark):
     assert np.sqrt(got).mean() < 1.25 * np.sqrt(dense(xyz, 256, 0)[2]).mean()
 
 
+@pytest.mark.parametrize("copies", [1, 50])
+def test_approximate_spreads_in_large_clouds(copies):
+    """Candidates of a round crowd at one place where buckets are small, also among equal points."""
+    rng = np.random.default_rng(0)
+    xyz = np.tile(rng.random((20_000 // copies, 3)), (copies, 1))
+    order = np.lexsort((xyz * 32).astype(int).T)
+    found = fps.approximate(xyz, order, 16, 0, 4, 2, 0.25, 16)
+    exact = fps.exact(xyz, order, 16, 0, 256)
+    assert len(set(found.chosen)) == 16
+    assert np.sqrt(found.result()[1]).mean() < 1.25 * np.sqrt(exact.result()[1]).mean()
+
+
 def test_upsample(spark):
     xyz = RNG.random((50, 2))
     result = fps.fps(cloud(spark, xyz), 5)
