@@ -3,7 +3,9 @@
 ``brute`` is an equi-join on the sample and a rank; Spark cuts each task's rows to k a query before the
 shuffle.  ``grid`` joins by cells of equal counts (``blocks``): a query meets the nearest cell first, and is
 done if its k-th distance is less than the distance to every other cell; else it meets those cells that are
-nearer than that, which certifies the answer.
+nearer than that, which certifies the answer.  Of the points at one place only the k of least pid can be
+among the neighbours of a query, so the others are left out before: else all cells of a crowded place would
+be equally near, and every query near it would meet all of them.
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geometry import cols, dot, squared_distance
+from ..storage import materialize
 from . import blocks
 
 #: Candidate pairs up to which ``auto`` takes the brute strategy.
@@ -124,12 +127,20 @@ def _nearest(names: Sequence[str], kept: Sequence[str], k: int):
     return search
 
 
-def grid(points: DataFrame, queries: DataFrame, k: int, names: Sequence[str], keys: Sequence[str], n_points: int | None = None) -> DataFrame:
+def _places(points: DataFrame, k: int, names: Sequence[str]) -> DataFrame:
+    """At each place the k points of least pid, as a stored table; each task cuts its own rows before the shuffle."""
+    own = points.select("b", "pid", *(F.col(a).cast("double").alias(a) for a in names))
+    order = f"row_number() OVER (PARTITION BY {', '.join(['b', *names])} ORDER BY pid)"
+    return materialize(own.withColumn("_copy", F.expr(order)).filter(F.col("_copy") <= k).drop("_copy"), "places")
+
+
+def grid(points: DataFrame, queries: DataFrame, k: int, names: Sequence[str], keys: Sequence[str]) -> DataFrame:
     """Neighbours by cells of equal counts: the nearest cell, then the cells that can hold nearer points.
 
-    Samples of at most a cell are searched whole.
+    Samples of at most a cell (of k points at a place at most) are searched whole.
     """
-    n_points = points.count() if n_points is None else n_points
+    points = _places(points, k, names)
+    n_points = points.count()
     large, small = blocks.by_size(points, n_points)
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in queries.schema)
     schema = f"{kinds}, pid long, " + ", ".join(f"n{a} double" for a in names) + ", dist_sq double"

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 
 from geoweft.operators import interpolate, knn
 from geoweft.plans import blocks
+from geoweft.plans import knn as plans
 from geoweft.schema import from_offsets, pack_neighbors
 
 from .oracles import cloud
@@ -43,6 +44,24 @@ def test_matches_dense(spark, name, strategy, monkeypatch):
     assert found == [(i, r + 1, int(index[i, r]), dist[i, r]) for i in range(len(queries)) for r in range(8)]
 
 
+def test_crowded_places(spark, monkeypatch):
+    """Points at few places are as many candidates as a few points of each place; ties go to the lowest pid."""
+    monkeypatch.setattr(blocks, "BLOCK_ROWS", 8)
+    points = np.concatenate([np.array([[float(i % 5), float(i % 3)] for i in range(900)]), [[0.0, -0.0]] * 9])
+    met, search = spark.sparkContext.accumulator(0), plans._nearest
+
+    def counted(*args):
+        own = search(*args)
+        return lambda asked, ids, at: met.add(asked.num_rows * len(ids)) or own(asked, ids, at)
+
+    monkeypatch.setattr(plans, "_nearest", counted)
+    queries = points[:200] + [0.25, 0.0]
+    index, dist = dense(points, queries, 4)
+    found = rows(knn.knn_join(cloud(spark, points), cloud(spark, queries, key="qid"), 4, strategy="grid"))
+    assert found == [(i, r + 1, int(index[i, r]), dist[i, r]) for i in range(len(queries)) for r in range(4)]
+    assert 0 < met.value <= 200 * 15 * 4
+
+
 def test_samples_do_not_leak(spark):
     parts = [CLOUDS["uniform"] + shift for shift in (0, 100, -100)]
     points, queries = (None, None)
