@@ -1,8 +1,9 @@
 """Closest-hit ray tracing against 2-D segments and 3-D triangles.
 
-Primitives lie in cells of boxes (``plans/blocks``); a ray meets cells from front to back and stops where the
-next one begins behind its nearest hit.  Counted primitives up to BROADCAST_PRIMITIVES go to every task; more
-are blocks that rays are dealt to, first to the nearest block and then to those that are not behind its hit.
+Rays that start near each other and the primitives around them are cut together into small groups (``Scene``); a
+ray's nearest hit so far bounds the section of it that is still searched.  Counted primitives up to
+BROADCAST_PRIMITIVES go to every task; more are blocks (``plans/blocks``) that rays are dealt to, first to the nearest
+block and then to those that are not behind its hit.
 """
 
 from __future__ import annotations
@@ -18,14 +19,17 @@ from pyspark.sql import functions as F
 
 from ..functions.geometry import add, cols, cross2, cross3, dot, scale, sub
 from ..plans import blocks
-from .index import vertex_names
+from ..storage import materialize
+from .index import morton_encode, vertex_names
 
 # Fixed value: eight units in the last place of a float32.
 EPS = 8 * 1.1920928955078125e-07
 #: Primitives up to which they are sent to every task.
-BROADCAST_PRIMITIVES = 200_000
-#: Primitives of a cell, and pairs of rays and cells (or primitives) tested at once.
-LEAF, CELLS = 32, 1 << 18
+BROADCAST_PRIMITIVES = 2_000_000
+#: Primitives of a group that are tested first, and pairs of rays and primitives tested at once.
+LEAF, CELLS = 64, 1 << 18
+#: Rays that are met together.
+TOGETHER = 65_536
 
 
 def _hits_segments(o, d, v) -> tuple[np.ndarray, np.ndarray]:
@@ -52,8 +56,8 @@ def _within(t: np.ndarray, least: np.ndarray, times: float = 1.0) -> np.ndarray:
     return t <= least + times * EPS * np.maximum(1.0, np.abs(least))
 
 
-def _entries(o: np.ndarray, d: np.ndarray, lo: np.ndarray, hi: np.ndarray, t_max: float) -> np.ndarray:
-    """The t at which rays (rows) enter boxes (same leading shape or broadcast), infinite if they miss them.
+def _span(o: np.ndarray, d: np.ndarray, lo: np.ndarray, hi: np.ndarray, t_max: float) -> tuple[np.ndarray, np.ndarray]:
+    """The t at which rays (rows) enter and leave boxes (same leading shape or broadcast); the first is infinite if they miss them.
 
     The exact test allows a relative overshoot of EPS at the ends of a primitive, so boxes are widened by twice that.
     """
@@ -66,53 +70,134 @@ def _entries(o: np.ndarray, d: np.ndarray, lo: np.ndarray, hi: np.ndarray, t_max
         near = np.maximum(near, np.where(still, -np.inf, np.minimum(t0, t1)))
         far = np.minimum(far, np.where(still, np.inf, np.maximum(t0, t1)))
         inside = inside & (~still | ((x >= a) & (x <= b)))
-    return np.where(inside & (near <= far), near, np.inf)
+    return np.where(inside & (near <= far), near, np.inf), far
+
+
+def _entries(o: np.ndarray, d: np.ndarray, lo: np.ndarray, hi: np.ndarray, t_max: float) -> np.ndarray:
+    """The t at which rays enter boxes."""
+    return _span(o, d, lo, hi, t_max)[0]
+
+
+def _reach(t: np.ndarray) -> np.ndarray:
+    """What is clearly behind a hit at ``t``; places and hits are rounded in other ways."""
+    return t + 8 * EPS * np.maximum(1.0, np.abs(t))
+
+
+def _first_of_ids(ray: np.ndarray, prim: np.ndarray, t: np.ndarray) -> np.ndarray:
+    """The places of hits whose id is less than that of every nearer hit of the ray; no other can count."""
+    order = np.lexsort((prim, t, ray))
+    rank = np.unique(prim, return_inverse=True)[1][order]
+    # a later ray has lower keys than all before, so the running minimum starts anew with each ray
+    key = rank - ray[order] * (len(prim) + 1)
+    first = np.ones(len(order), bool)
+    first[1:] = key[1:] < np.minimum.accumulate(key)[:-1]
+    return order[first]
 
 
 class Scene:
-    """Primitives of one sample in cells of ``LEAF``, met from front to back."""
+    """Primitives of one sample, met by sections of rays.
+
+    Groups of sections and the primitives that their common box meets are cut together: many rays by place, long
+    sections into a near and a far half, and what begins behind a ray's nearest hit is dropped.  A few primitives
+    of each group are tested first, which bounds the sections, so rays among large crossing primitives, whose
+    boxes tell nothing, are short before they meet many.
+    """
 
     def __init__(self, ids: np.ndarray, coordinates: np.ndarray, kind: str) -> None:
         self.kind, self.dims = kind, len(vertex_names(kind)[0])
-        order, starts = blocks.kd_order(coordinates.reshape(len(ids), -1, self.dims).mean(axis=1), LEAF)
-        self.ids, self.coordinates = ids[order], coordinates[order]
-        self.lo, self.hi = blocks.boxes_of(self.coordinates, self.dims, starts)
-        self.cells = np.minimum(np.array(starts)[:, None] + np.arange(LEAF)[None], np.array([*starts[1:], len(ids)])[:, None] - 1)
+        sound = np.flatnonzero(np.isfinite(coordinates).all(axis=1))
+        # in no order of place, so the first of any part are spread over it
+        sound = sound[np.random.default_rng(0).permutation(len(sound))]
+        self.ids, self.coordinates = ids[sound], coordinates[sound]
+        v = [self.coordinates[:, n * self.dims : (n + 1) * self.dims].T for n in range(self.coordinates.shape[1] // self.dims)]
+        lo, hi = reduce(np.minimum, v), reduce(np.maximum, v)
+        self.size = float(np.abs(self.coordinates).max(initial=0.0))
+        pad = 2 * EPS * (hi - lo) + 1e-12 * np.maximum(np.abs(lo), np.abs(hi))
+        edges = [[x for x in w - v[0]] for w in v[1:]]
+        with np.errstate(all="ignore"):
+            normal = np.stack(cross3(*edges) if self.dims == 3 else [-edges[0][1], edges[0][0]])
+            slack = 1e-12 * self.size * reduce(np.multiply, [np.sqrt(dot(e, e)) for e in edges])
+            #: Least and greatest coordinates, and the line or plane with what rounding may add to its distance.
+            self.sides = np.concatenate([lo - pad, hi + pad, normal, np.abs(normal), dot(list(normal), list(v[0]))[None], slack[None]])
+
+    def _meeting(self, sides: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        """Primitives (columns of ``sides``) that may meet a box; the line or plane and the bounds are tested."""
+        n, middle, half, none = self.dims, 0.5 * (lo + hi), 0.5 * (hi - lo), np.zeros(self.dims)
+        gap, room = np.array([[*middle, *none, -1.0, 0.0], [*none, *half, 0.0, 1.0]]) @ sides[2 * n :]
+        at = np.flatnonzero(np.abs(gap, out=gap) <= room)
+        for k in range(n):
+            low, high = sides[k].take(at), sides[n + k].take(at)
+            at = at[(low <= hi[k]) & (high >= lo[k])]
+        return at
 
     def hits(self, o: np.ndarray, d: np.ndarray, t_min: float, t_max: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(ray, prim_id, t) of all hits as near as each ray's least."""
+        """(ray, prim_id, t) of hits as near as each ray's least, those with a lower id than all nearer ones."""
         found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
-        step = max(1, CELLS // len(self.cells))
-        with np.errstate(all="ignore"):
-            for a in range(0, len(o), step):
-                found += [(r + a, i, t) for r, i, t in self._block(o[a : a + step], d[a : a + step], t_min, t_max)]
-        ray, prim, t = (np.concatenate(x) for x in zip(*found, strict=True))
         least = np.full(len(o), np.inf)
-        np.minimum.at(least, ray, t)
-        keep = _within(t, least[ray])
-        return ray[keep], prim[keep], t[keep]
 
-    def _block(self, o, d, t_min, t_max):
-        entry = _entries(o[:, None, :], d[:, None, :], self.lo[None], self.hi[None], t_max)
-        order = np.argsort(entry, axis=1)
-        least, active = np.full(len(o), np.inf), np.arange(len(o))
-        for turn in range(entry.shape[1]):
-            cell = order[active, turn]
-            ahead = entry[active, cell]
-            # entries and hits are rounded in other ways, so the next cell has to be clearly farther
-            open_ = np.isfinite(ahead) & _within(ahead, least[active], 8.0)
-            active, cell = active[open_], cell[open_]
-            if not len(active):
-                return
-            for k in range(0, len(active), max(1, CELLS // LEAF)):
-                rays, rows = active[k : k + CELLS // LEAF], self.cells[cell[k : k + CELLS // LEAF]]
-                own = self.coordinates[rows]
-                v = [[own[..., n * self.dims + x] for x in range(self.dims)] for n in range(own.shape[-1] // self.dims)]
-                t, good = _HITS[self.kind]([o[rays, x, None] for x in range(self.dims)], [d[rays, x, None] for x in range(self.dims)], v)
+        def test(rays: np.ndarray, own: np.ndarray, keep: bool) -> None:
+            step = max(1, CELLS // len(rays))
+            for k in range(0, len(own), step):
+                part = own[k : k + step]
+                v = self.coordinates[part].T[:, None, :]
+                v = [list(v[n : n + self.dims]) for n in range(0, len(v), self.dims)]
+                t, good = _HITS[self.kind](list(o[rays].T[:, :, None]), list(d[rays].T[:, :, None]), v)
                 t = np.where(good & (t >= t_min) & (t <= t_max), t, np.inf)
                 least[rays] = np.minimum(least[rays], t.min(axis=1))
-                i, j = np.nonzero(np.isfinite(t) & _within(t, least[rays][:, None]))
-                yield rays[i], self.ids[rows[i, j]], t[i, j]
+                if keep:
+                    i, j = np.nonzero(np.isfinite(t) & _within(t, least[rays][:, None]))
+                    found.append((rays[i], self.ids[part[j]], t[i, j]))
+
+        with np.errstate(all="ignore"):
+            for rays, own in self._groups(o, d, t_max, least, test):
+                test(rays, own, True)
+        ray, prim, t = (np.concatenate(x) for x in zip(*found, strict=True))
+        keep = np.flatnonzero(_within(t, least[ray]))
+        keep = keep[_first_of_ids(ray[keep], prim[keep], t[keep])]
+        return ray[keep], prim[keep], t[keep]
+
+    def _groups(self, o, d, t_max, least, test) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Rays and primitives that have to be tested; ``least`` is each ray's nearest hit so far."""
+        n = self.dims
+        if not len(self.ids) or not len(o):
+            return
+        t0, t1 = _span(o, d, self.sides[:n].min(axis=1), self.sides[n : 2 * n].max(axis=1), t_max)
+        rays = np.flatnonzero(np.isfinite(o).all(axis=1) & np.isfinite(d).all(axis=1) & (d != 0).any(axis=1) & (t0 <= t1))
+        t0, t1 = np.maximum(0.0, 2 * t0 - _reach(t0)), np.minimum(_reach(t1), np.finfo(float).max)
+        pad = 1e-9 * self.size + 1e-12 * np.abs(o).max(axis=1)
+        # rays, primitives, their sides, first and last place, primitives of the group it comes from, whether cut along the rays
+        stack = [(rays, np.arange(len(self.ids)), self.sides, t0[rays], t1[rays], len(self.ids), False)]
+        while stack:
+            rays, own, sides, t0, t1, before, halved = stack.pop()
+            t1 = np.minimum(t1, _reach(least[rays]))
+            ahead = t0 <= t1
+            if not ahead.all():
+                rays, t0, t1 = rays[ahead], t0[ahead], t1[ahead]
+            if not len(rays):
+                continue
+            x, v, p = o[rays], d[rays], pad[rays, None]
+            a, z = x + t0[:, None] * v, x + t1[:, None] * v
+            at = self._meeting(sides, (np.minimum(a, z) - p).min(axis=0), (np.maximum(a, z) + p).max(axis=0))
+            if not len(at):
+                continue
+            dull = halved and len(at) > 0.7 * before
+            if len(rays) * len(at) <= 128 * LEAF or len(rays) == 1 and dull:
+                yield rays, own[at]
+                continue
+            if len(at) < 0.6 * len(own):
+                own, sides = own[at], sides.take(at, axis=1)
+            if len(at) > 8 * LEAF:
+                test(rays, own[:LEAF], False)
+                t1 = np.minimum(t1, np.maximum(t0, _reach(least[rays])))
+                z = x + t1[:, None] * v
+            long = np.median(np.abs(z - a).max(axis=1)) > 2 * np.ptp(a, axis=0).max()
+            if len(rays) == 1 or long and not dull:
+                middle = 0.5 * (t0 + t1)
+                stack += [(rays, own, sides, middle, t1, len(at), True), (rays, own, sides, t0, middle, len(at), True)]
+            else:
+                ends = np.concatenate([a, z], axis=1)
+                order = np.argpartition(ends[:, int(np.argmax(np.ptp(ends, axis=0)))], len(rays) // 2)
+                stack += [(rays[i], own, sides, t0[i], t1[i], len(at), False) for i in (order[: len(rays) // 2], order[len(rays) // 2 :])]
 
 
 def _ray_names(kind: str) -> list[str]:
@@ -139,21 +224,38 @@ def _near_hits(rays: DataFrame, primitives: DataFrame, kind: str, t_min: float,
     sent = spark.sparkContext.broadcast({b: (own["prim_id"].to_numpy(np.int64), own[vertices].to_numpy(np.float64)) for b, own in table.groupby("b")})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scenes = {b: Scene(*own, kind) for b, own in sent.value.items()}
-        for batch in batches:
+        scenes: dict[object, Scene] = {}
+        for batch in _joined(batches):
             members: dict[object, list[int]] = {}
             for i, b in enumerate(batch.column("b").to_pylist()):
                 members.setdefault(b, []).append(i)
             o, d = _of_table(batch, names)
-            for b in members.keys() & scenes.keys():
+            for b in members.keys() & sent.value.keys():
+                if b not in scenes:
+                    scenes[b] = Scene(*sent.value[b], kind)
                 own = np.array(members[b])
                 ray, prim, t = scenes[b].hits(o[own], d[own], t_min, t_max)
                 yield pa.RecordBatch.from_pydict(_answer(batch, keys, (own[ray], prim, t)))
 
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    asked = rays.select(*dict.fromkeys([*keys, "b", *names])).repartition(parts, *keys)
+    asked = rays.select(*dict.fromkeys([*keys, "b", *names]))
+    # rays of a task start near each other, so they meet about the same primitives
+    placed = morton_encode(asked.withColumns({a: F.col(f"o{a}").cast("double") for a in "xyz"[: len(names) // 2]}))
+    dealt = placed.select(*asked.columns, "code").repartitionByRange(parts, "b", "code", *(k for k in keys if k != "b"))
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in asked.select(*keys).schema)
-    return asked.mapInArrow(run, f"{types}, prim_id long, t double")
+    return dealt.drop("code").mapInArrow(run, f"{types}, prim_id long, t double")
+
+
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of about TOGETHER rows."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(x.num_rows for x in held) >= TOGETHER:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held = []
+    if sum(x.num_rows for x in held):
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
 
 def _near_hits_in_blocks(rays: DataFrame, primitives: DataFrame, kind: str, t_min: float, t_max: float, keys: Sequence[str], n: int) -> DataFrame:
@@ -205,7 +307,8 @@ def raytrace(rays: DataFrame, primitives: DataFrame, kind: str, *, t_min: float
     if not math.isfinite(t_min) or math.isnan(t_max) or t_min < 0 or t_max <= t_min:
         raise ValueError("RayBVH.trace: expected finite 0 <= t_min < t_max")
     names = "xyz"[: len(vertex_names(kind)[0])]
-    own = primitives.select("b", "prim_id", *sum(vertex_names(kind), []))
+    # of equal primitives only the one of least id can be hit
+    own = materialize(primitives.groupBy("b", *sum(vertex_names(kind), [])).agg(F.min("prim_id").alias("prim_id")), "primitives")
     n = own.count()
     best = _nearest((_near_hits if n <= BROADCAST_PRIMITIVES else _near_hits_in_blocks)(rays, own, kind, t_min, t_max, keys, n), keys)
     out = rays.join(best, list(keys), "left")

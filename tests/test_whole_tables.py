@@ -48,3 +48,34 @@ def test_few_pairs_are_tested(monkeypatch):
     px, py = o[:, 0] % 1, o[:, 1] % 1
     want = {i: int(o[i, 1]) * n + int(o[i, 0]) for i in range(500) if px[i] + py[i] <= 1}
     assert dict(zip(found[0].tolist(), found[1].tolist(), strict=True)) == want
+
+
+@pytest.mark.parametrize(("kind", "dims"), [("segment", 2), ("triangle", 3)])
+def test_few_pairs_of_crossing_primitives_are_tested(monkeypatch, kind, dims):
+    """Primitives that all reach through the whole scene, some of them equal; hits are those of all pairs."""
+    rng, n, m = np.random.default_rng(4), 8000, 400
+    own = rng.normal(size=(n, dims * dims))
+    own[n // 2 : n // 2 + 50] = own[:50]
+    ids, rays = rng.permutation(n), rng.normal(size=(m, 2 * dims))
+    o, d = rays[:, :dims], rays[:, dims:]
+    tested, hits = [], ray._HITS[kind]
+    monkeypatch.setitem(ray._HITS, kind, lambda *a: tested.append((out := hits(*a))[0].size) or out)
+    found = ray.Scene(ids, own, kind).hits(o, d, 1e-7, np.inf)
+    assert sum(tested) < 0.4 * m * n
+    v = [[own[None, :, k * dims + x] for x in range(dims)] for k in range(dims)]
+    with np.errstate(all="ignore"):
+        t, good = hits([o[:, x, None] for x in range(dims)], [d[:, x, None] for x in range(dims)], v)
+    t = np.where(good & (t >= 1e-7), t, np.inf)
+    near = np.isfinite(t) & ray._within(t, t.min(axis=1, keepdims=True))
+    want = {int(i): int(ids[near[i]].min()) for i in np.flatnonzero(near.any(axis=1))}
+    got: dict[int, int] = {}
+    for i, prim in zip(found[0].tolist(), found[1].tolist(), strict=True):
+        got[i] = min(prim, got.get(i, n))
+    assert got == want
+
+
+def test_equal_primitives_are_one_hit():
+    """A ray that meets many copies of a primitive has one hit, the lowest id."""
+    wall = np.tile([1.0, -1.0, 1.0, 1.0], (1000, 1))
+    found = ray.Scene(np.arange(1000)[::-1], wall, "segment").hits(np.zeros((3, 2)), np.tile([1.0, 0.0], (3, 1)), 1e-7, np.inf)
+    assert found[0].tolist() == [0, 1, 2] and found[1].tolist() == [0, 0, 0]
