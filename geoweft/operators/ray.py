@@ -28,6 +28,8 @@ EPS = 8 * 1.1920928955078125e-07
 BROADCAST_PRIMITIVES = 2_000_000
 #: Primitives of a group that are tested first, and pairs of rays and primitives tested at once.
 LEAF, CELLS = 64, 1 << 18
+#: What rounding to single precision may add, in sizes of the scene.
+SLACK = 4e-6
 #: Rays that are met together.
 TOGETHER = 65_536
 
@@ -111,20 +113,23 @@ class Scene:
         self.ids, self.coordinates = ids[sound], coordinates[sound]
         v = [self.coordinates[:, n * self.dims : (n + 1) * self.dims].T for n in range(self.coordinates.shape[1] // self.dims)]
         lo, hi = reduce(np.minimum, v), reduce(np.maximum, v)
-        self.size = float(np.abs(self.coordinates).max(initial=0.0))
+        self.size = float(np.abs(self.coordinates).max(initial=0.0)) or 1.0
         pad = 2 * EPS * (hi - lo) + 1e-12 * np.maximum(np.abs(lo), np.abs(hi))
-        edges = [[x for x in w - v[0]] for w in v[1:]]
+        self.lo, self.hi = (lo - pad).min(axis=1, initial=np.inf), (hi + pad).max(axis=1, initial=-np.inf)
+        edges = [list(w / self.size - v[0] / self.size) for w in v[1:]]
         with np.errstate(all="ignore"):
-            normal = np.stack(cross3(*edges) if self.dims == 3 else [-edges[0][1], edges[0][0]])
-            slack = 1e-12 * self.size * reduce(np.multiply, [np.sqrt(dot(e, e)) for e in edges])
-            #: Least and greatest coordinates, and the line or plane with what rounding may add to its distance.
-            self.sides = np.concatenate([lo - pad, hi + pad, normal, np.abs(normal), dot(list(normal), list(v[0]))[None], slack[None]])
+            length = reduce(np.multiply, [np.sqrt(dot(e, e)) for e in edges])
+            normal = np.nan_to_num(np.stack(cross3(*edges) if self.dims == 3 else [-edges[0][1], edges[0][0]]) / length, posinf=0.0, neginf=0.0)
+        #: Least and greatest coordinates, and the line or plane with normals of at most 1; in sizes of the scene, SLACK too wide.
+        self.sides = np.concatenate([(lo - pad) / self.size - SLACK, (hi + pad) / self.size + SLACK, normal, np.abs(normal), dot(list(normal), list(v[0] / self.size))[None]]).astype(np.float32)
 
     def _meeting(self, sides: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
         """Primitives (columns of ``sides``) that may meet a box; the line or plane and the bounds are tested."""
-        n, middle, half, none = self.dims, 0.5 * (lo + hi), 0.5 * (hi - lo), np.zeros(self.dims)
-        gap, room = np.array([[*middle, *none, -1.0, 0.0], [*none, *half, 0.0, 1.0]]) @ sides[2 * n :]
-        at = np.flatnonzero(np.abs(gap, out=gap) <= room)
+        n, lo, hi = self.dims, np.clip(lo / self.size, -2.0, 2.0), np.clip(hi / self.size, -2.0, 2.0)
+        middle, half, none = 0.5 * (lo + hi), 0.5 * (hi - lo), np.zeros(n)
+        gap, room = np.array([[*middle, *none, -1.0], [*none, *half, 0.0]], np.float32) @ sides[2 * n :]
+        at = np.flatnonzero(np.abs(gap, out=gap) <= room + np.float32(SLACK))
+        lo, hi = lo.astype(np.float32), hi.astype(np.float32)
         for k in range(n):
             low, high = sides[k].take(at), sides[n + k].take(at)
             at = at[(low <= hi[k]) & (high >= lo[k])]
@@ -158,11 +163,10 @@ class Scene:
 
     def _groups(self, o, d, t_max, least, test) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Rays and primitives that have to be tested; ``least`` is each ray's nearest hit so far."""
-        n = self.dims
         if not len(self.ids) or not len(o):
             return
-        t0, t1 = _span(o, d, self.sides[:n].min(axis=1), self.sides[n : 2 * n].max(axis=1), t_max)
-        rays = np.flatnonzero(np.isfinite(o).all(axis=1) & np.isfinite(d).all(axis=1) & (d != 0).any(axis=1) & (t0 <= t1))
+        t0, t1 = _span(o, d, self.lo, self.hi, t_max)
+        rays = np.flatnonzero(np.isfinite(o).all(axis=1) & np.isfinite(d).all(axis=1) & (d != 0).any(axis=1) & np.isfinite(t0) & (t0 <= t1))
         t0, t1 = np.maximum(0.0, 2 * t0 - _reach(t0)), np.minimum(_reach(t1), np.finfo(float).max)
         pad = 1e-9 * self.size + 1e-12 * np.abs(o).max(axis=1)
         # rays, primitives, their sides, first and last place, primitives of the group it comes from, whether cut along the rays

@@ -79,3 +79,13 @@ def test_equal_primitives_are_one_hit():
     wall = np.tile([1.0, -1.0, 1.0, 1.0], (1000, 1))
     found = ray.Scene(np.arange(1000)[::-1], wall, "segment").hits(np.zeros((3, 2)), np.tile([1.0, 0.0], (3, 1)), 1e-7, np.inf)
     assert found[0].tolist() == [0, 1, 2] and found[1].tolist() == [0, 0, 0]
+
+
+@pytest.mark.parametrize("far", [1e-12, 1.0, 1e9])
+def test_rays_from_afar_and_scenes_of_any_size(far):
+    """Scenes of any size are met from near and from a billion of their sizes away; rows that are no numbers are misses."""
+    own = np.array([[1.0, -1, 1, 1], [2, -1, 2, 1], [np.nan, 0, 1, 1]]) * far
+    o = np.array([[-1.0, 0], [-1e9, 0], [np.nan, 0], [3, 0], [0, 5]]) * far
+    d = np.array([[1.0, 0], [1, 0], [1, 0], [-1, 0], [0, 0]]) * far
+    found = ray.Scene(np.arange(3), own, "segment").hits(o, d, 1e-7, np.inf)
+    assert dict(zip(found[0].tolist(), found[1].tolist(), strict=True)) == {0: 0, 1: 0, 3: 1}
